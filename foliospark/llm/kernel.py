@@ -68,11 +68,15 @@ class Slice:
         start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         return start, end, np.searchsorted(self.offsets, start, "right") - 1
 
-    def sums(self) -> np.ndarray:
-        """Prefix sums of the polynomial over lower-cased (A-Z) bytes."""
+    def sums(self, latin: bool = False) -> np.ndarray:
+        """Prefix sums of the polynomial over lower-cased bytes (A-Z; with latin, Latin-1 capitals too)."""
         power, _ = _powers(max(20, int(len(self.data)).bit_length()))
-        out = np.zeros(len(self.data) + 1, U)
-        np.cumsum((LOWER[self.data].astype(U) + U(1)) * power[: len(self.data)], out=out[1:])
+        out, low = np.zeros(len(self.data) + 1, U), LOWER[self.data]
+        if latin:
+            at = np.flatnonzero(low[:-1] == 0xC3) + 1
+            at = at[(low[at] >= 0x80) & (low[at] <= 0x9E) & (low[at] != 0x97)]
+            low[at] += 0x20
+        np.cumsum((low.astype(U) + U(1)) * power[: len(low)], out=out[1:])
         return out
 
     def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import line_dedup, mixing, pii
-from foliospark.llm.shared import read
+from foliospark.llm import decontaminate, jaccard_join, language, line_dedup, mixing, neighbours, pii, quality, secrets, toxicity
+from foliospark.llm.shared import fold, read
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, fold("doc_id", 5) == 0).select("doc_id", "held_out", "score", quality.predicted(), "top_attention")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return toxicity.score(docs, model, fold("doc_id", 5) == 0).select("doc_id", "held_out", "score", toxicity.predicted(), spans.alias("offending"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_components(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 3) == 1
+    return language.identify(docs, held_out, language.learn_profiles(docs.where(~held_out)))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +38,26 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("secrets")).alias("spans"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -26,12 +65,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_line_dedup, op10_pii)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_toxicity, op3_jaccard_join, op4_language, op5_mix_sources, op6_secrets, op7_line_dedup, op8_neighbours, op9_decontaminate, op10_pii)
+}
 
 #: Words per text for DuckDB, whose regular expressions know the same class.
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
 
 ORACLE_SQL = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM sets),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS seen FROM sizes UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.seen)
+SELECT s.doc_id, s.n_shingles, (SELECT min(seen) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id FROM sizes s
+""",
     "op5_mix_sources": rf"""
 WITH sized AS (SELECT doc_id, source, {_SIZE} AS size FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w FROM sized GROUP BY source),
