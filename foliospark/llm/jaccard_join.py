@@ -1,17 +1,22 @@
 """All pairs of texts whose sets of word shingles overlap enough, as components. Exact.
 
 1. A text becomes the sorted array of its distinct shingle hashes; equal arrays are one node, so any number
-   of exact copies costs what one does. The same pass counts hashes into a small table of counters.
+   of exact copies costs what one does. The same pass keeps each set's bitmap, and counts hashes into a
+   small table of counters.
 2. A set that overlaps another by the threshold shares one of its first n - ceil(t n) + 1 hashes with it,
    in any order that all sets agree on. The order puts hashes that the counters call frequent last, so
-   boilerplate rarely leads anywhere. Of the nodes under one hash, the least is the leader: two nodes that
-   share a hash both meet its leader, so tiles (a leader and all that meet it) hold every linked pair.
-3. Each tile compares its members with the leader, one pass, members dealt out in parts of bounded size.
-4. Where the members of a tile still lie in several components, they are sorted by size and cut into bands;
-   pairs of bands that sizes allow are compared all against all, but for what is already connected.
-
-A comparison is by size, then by bitmaps of hash parities (bits that differ are at most the hashes that
-differ, so their count bounds the overlap from above), then by intersection of the sorted arrays.
+   boilerplate rarely leads anywhere. Sizes are cut into bands so wide that linked sets lie in one band or
+   in neighbours; each set goes, by each such hash, to the tile of its band and of the band below. Of the
+   nodes under one hash and band, the least is the leader: two nodes that share both meet its leader, so
+   tiles (a leader and all that meet it) hold every linked pair.
+3. Bitmaps of each tile's members are compared with the leader's, and what may link is intersected exactly.
+4. Where the members of a tile still lie in several components, they are sorted by size and cut into
+   blocks; pairs of blocks that sizes allow are compared by bitmaps, all against all across components, and
+   the members that may link are intersected, but for what is connected by then.
+
+A bitmap has a bit for each hash value modulo its width, set if an odd number of the set's hashes falls
+there. The bits in which two differ are at most the hashes in which the sets differ, so their count bounds
+the overlap from above. Wider bitmaps are folded to the width of narrower ones.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ from foliospark.llm.kernel import DARK, U, mix, slices, windows
 from foliospark.llm.shared import Kept
 from foliospark.ship import ship
 
-#: Members of a tile compared with a leader in one part, and hashes (with 128 more for each set) in one band.
-PART, BAND = 512, 1 << 16
+#: Members of a tile compared with a leader in one part, and hashes (with 128 more for each set) in one block.
+PART, BLOCK = 2048, 1 << 18
+#: Sets up to this number are fetched by a broadcast of their ids (16 bytes each), more by a shuffle.
+BROADCAST_IDS = 100_000
 #: Counters travel in parts of so many.
 COUNTERS = 1 << 14
 
@@ -60,28 +67,36 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
+_FIRST = "doc_id long, version long, n long, node long, bits binary, part int, counts binary"
+
+
+def _batch(**columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def _first_pass(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = None
         for batch in batches:
-            n, node, seen = [], [], []
+            n, node, maps, seen, held = [], [], [], [], 0
             for _, hashes in shingle_sets(batch.column("text"), k):
                 n.append(len(hashes))
                 node.append(node_of(hashes) if len(hashes) else None)
+                maps.append(parity_bitmap(hashes).tobytes() if len(hashes) else None)
                 seen.append(hashes >> U(64 - bits))
-                if sum(map(len, seen[-64:])) > 1 << 18 or len(seen) > 2000:
-                    counts = _added(counts, seen, bits)
-                    seen = []
+                held += len(hashes)
+                if held > 1 << 20:
+                    counts, seen, held = _added(counts, seen, bits), [], 0
             counts = _added(counts, seen, bits)
             empty = len(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("version"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
-                names=["doc_id", "version", "n", "node", "part", "counts"],
-            )
+            yield _batch(
+                doc_id=batch.column("doc_id"), version=batch.column("version"), n=pa.array(n, pa.int64()), node=pa.array(node, pa.int64()),
+                bits=pa.array(maps, pa.binary()), part=pa.nulls(empty, pa.int32()), counts=pa.nulls(empty, pa.binary()),
+            )
         if counts is not None:
-            parts = [x.tobytes() for x in np.split(counts, max(1, len(counts) // COUNTERS))]
+            parts = [x.tobytes() for x in np.split(counts, len(counts) // COUNTERS)]
             none = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "version", "n", "node", "part", "counts"])
+            yield _batch(doc_id=none, version=none, n=none, node=none, bits=pa.nulls(len(parts), pa.binary()), part=pa.array(range(len(parts)), pa.int32()), counts=pa.array(parts, pa.binary()))
 
     return run
 
@@ -113,14 +128,15 @@ def _frequency_classes(first: DataFrame, bits: int) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / usual))).astype(np.uint8)
 
 
+def band_of(n: np.ndarray | int, percent: int) -> np.ndarray:
+    """Bands a little wider than the ratio of the sizes of linked sets, so that those never skip one."""
+    return np.floor(np.log(n) / (1.001 * np.log(100 / percent) + 1e-9)).astype(np.int64)
+
+
 def _prefixes(k: int, percent: int, bits: int, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         klass, seen = classes.value, set()
         tokens, nodes, n_rows = [], [], 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], names=["token", "node"])
-
         for batch in batches:
             for _, hashes in shingle_sets(batch.column("text"), k):
                 n = len(hashes)
@@ -131,14 +147,16 @@ def _prefixes(k: int, percent: int, bits: int, classes):
                 most = n - -(-percent * n // 100) + 1
                 rank = klass[hashes >> U(64 - bits)]
                 prefix = hashes[np.lexsort((hashes, rank))[:most]] if rank.any() else hashes[:most]
-                tokens.append(prefix)
-                nodes.append(np.full(most, node, np.int64))
-                n_rows += most
+                band = int(band_of(n, percent))
+                for tile in (band, band - 1):
+                    tokens.append(prefix ^ mix(np.array([tile + 2], U)))
+                    nodes.append(np.full(most, node, np.int64))
+                n_rows += 2 * most
                 if n_rows > 50_000:
-                    yield out()
+                    yield _batch(token=pa.array(np.concatenate(tokens).view(np.int64)), node=pa.array(np.concatenate(nodes)))
                     tokens, nodes, n_rows = [], [], 0
         if tokens:
-            yield out()
+            yield _batch(token=pa.array(np.concatenate(tokens).view(np.int64)), node=pa.array(np.concatenate(nodes)))
 
     return run
 
@@ -162,22 +180,31 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _arrays(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, data, held = [], [], [], 0
+            node, data, held = [], [], 0
             for _, hashes in shingle_sets(batch.column("text"), k):
-                node.append(node_of(hashes)), n.append(len(hashes)), data.append(hashes.tobytes())
-                held += len(data[-1])
+                if len(hashes):
+                    node.append(node_of(hashes)), data.append(hashes.tobytes())
+                    held += len(data[-1])
                 if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["node", "n", "hashes"])
-                    node, n, data, held = [], [], [], 0
+                    yield _batch(node=pa.array(node, pa.int64()), hashes=pa.array(data, pa.binary()))
+                    node, data, held = [], [], 0
             if node:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["node", "n", "hashes"])
+                yield _batch(node=pa.array(node, pa.int64()), hashes=pa.array(data, pa.binary()))
 
     return run
 
 
-def parity_bitmap(hashes: np.ndarray, width: int) -> np.ndarray:
-    """width bits: whether an odd number of hashes falls on each. As 64-bit words."""
-    return np.packbits(np.bincount((hashes & U(width - 1)).astype(np.int64), minlength=width) & 1).view(U)
+def parity_bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Twice as many bits as hashes, or up to twice that, as 64-bit words: whether an odd number falls on each."""
+    width = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & U(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").view(U)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    while len(bitmap) > words:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -190,24 +217,24 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Tile:
-    """Sets side by side, sorted by size, with their bitmaps."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.n = np.array([len(x) for x in sets])
-        width = max(64, 1 << int(2 * self.n.max() - 1).bit_length())
-        self.bitmaps = np.stack([parity_bitmap(x, width) for x in sets])
-
-    def linked(self, i: int, among: np.ndarray) -> Iterator[int]:
-        """Those of among that link with i; lazily, so that the caller may skip some in between."""
-        both, p = self.n[among] + self.n[i], self.percent
-        among = among[(np.minimum(self.n[among], self.n[i]) * 100 >= np.maximum(self.n[among], self.n[i]) * p)]
+    """Sizes and bitmaps side by side."""
+
+    def __init__(self, n: np.ndarray, bitmaps: list[np.ndarray], percent: int):
+        self.n, self.percent = n, percent
+        words = min(map(len, bitmaps))
+        self.bitmaps = np.stack([folded(x, words) for x in bitmaps])
+
+    def may_link(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of among that sizes and bitmaps allow to link with i."""
+        least, most = np.minimum(self.n[among], self.n[i]), np.maximum(self.n[among], self.n[i])
+        among = among[least * 100 >= most * self.percent]
         both = self.n[among] + self.n[i]
         differ = np.bitwise_count(self.bitmaps[among] ^ self.bitmaps[i]).sum(axis=1, dtype=np.int64)
-        for j in among[(both - differ) // 2 * (100 + p) >= p * both]:
-            shared = overlap(self.sets[i], self.sets[j])
-            if shared * (100 + p) >= p * (self.n[i] + self.n[j]):
-                yield int(j)
+        return among[(both - differ) // 2 * (100 + self.percent) >= self.percent * both]
+
+
+def link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    return overlap(a, b) * (100 + percent) >= percent * (len(a) + len(b))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -233,108 +260,184 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _sets_of(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), U) for x in table.column("hashes")]
+def _arrays_of(table: pa.Table, column: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), U) for x in table.column(column)]
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return _batch(a=pa.array([a for a, _ in pairs], pa.int64()), b=pa.array([b for _, b in pairs], pa.int64()))
+
 
+def _led(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    node, leader = table.column("node").to_numpy(), table.column("leader")[0].as_py()
+    return leader, node, np.flatnonzero(node == leader), np.flatnonzero(node != leader)
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
 
+def _may_link_leader(percent: int):
+    """(leader, node) that bitmaps allow, of rows (leader, salt, node, n, bits)."""
 
-def _with_leader(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[tuple[int, int]] = []
+        found: list[tuple[int, int]] = []
         for table in runs(batches, ["leader", "salt"]):
-            nodes, leader = table.column("node").to_numpy(), table.column("leader")[0].as_py()
-            lead = np.flatnonzero(nodes == leader)
-            rest = np.flatnonzero(nodes != leader)
+            leader, node, lead, rest = _led(table)
             if len(lead) and len(rest):
-                tile = Tile(_sets_of(table), percent)
-                edges += [(leader, int(nodes[j])) for j in tile.linked(int(lead[0]), rest)]
-            if len(edges) > 10_000:
-                yield _edge_batch(edges)
-                edges = []
-        if edges:
-            yield _edge_batch(edges)
+                tile = Tile(table.column("n").to_numpy(), _arrays_of(table, "bits"), percent)
+                found += [(leader, int(node[j])) for j in tile.may_link(int(lead[0]), rest)]
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+        if found:
+            yield _pairs(found)
+
+    return run
+
+
+def _link_leader(percent: int):
+    """(leader, node) that link, of rows (leader, salt, node, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["leader", "salt"]):
+            leader, node, lead, rest = _led(table)
+            sets = _arrays_of(table, "hashes")
+            if len(lead) and (found := [(leader, int(node[j])) for j in rest if link(sets[lead[0]], sets[j], percent)]):
+                yield _pairs(found)
+
+    return run
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Nodes, components, the rows to compare from, and which rows to compare with (None: those that follow)."""
+    node, root = table.column("node").to_numpy(), table.column("label").to_numpy().copy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    if i == j:
+        return node, root, np.arange(len(node)), None
+    second = table.column("block").to_numpy() == j
+    return node, root, np.flatnonzero(~second), np.flatnonzero(second)
+
+
+def _may_link_members(percent: int):
+    """(leader, i, j, node): members of a pair of blocks that bitmaps allow to link across components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["leader", "i", "j"]):
+            node, root, these, those = _sides(table)
+            if (root == root[0]).all():
+                continue
+            tile, may = Tile(table.column("n").to_numpy(), _arrays_of(table, "bits"), percent), np.zeros(len(node), bool)
+            for a in these:
+                others = those if those is not None else np.arange(a + 1, len(node))
+                if len(hit := tile.may_link(int(a), others[root[others] != root[a]])):
+                    may[a] = may[hit] = True
+            if may.any():
+                yield table.filter(pa.array(may)).select(["leader", "i", "j", "node"]).combine_chunks().to_batches()[0]
 
     return run
 
 
-def _among_members(percent: int):
+def _link_members(percent: int):
+    """Links across components, of rows (leader, i, j, block, node, label, hashes), but for what they connect."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["leader", "i", "j"]):
-            node, root = table.column("node").to_numpy(), table.column("label").to_numpy().copy()
-            same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-            second = np.zeros(len(node), bool) if same else table.column("band").to_numpy() == table.column("j")[0].as_py()
+            node, root, these, those = _sides(table)
             if (root == root[0]).all():
                 continue
-            tile, edges = Tile(_sets_of(table), percent), []
-            everyone = np.arange(len(node))
-            for a in everyone if same else np.flatnonzero(~second):
-                open_ = root != root[a]
-                for b in tile.linked(int(a), np.flatnonzero(open_ & ((everyone > a) if same else second))):
-                    if root[b] != root[a]:
-                        edges.append((int(node[a]), int(node[b])))
+            sets, found = _arrays_of(table, "hashes"), []
+            tile = Tile(np.array([len(x) for x in sets]), [parity_bitmap(x) for x in sets], percent)
+            for a in these:
+                others = those if those is not None else np.arange(a + 1, len(node))
+                for b in tile.may_link(int(a), others[root[others] != root[a]]):
+                    if root[b] != root[a] and link(sets[a], sets[b], percent):
+                        found.append((int(node[a]), int(node[b])))
                         root[root == root[b]] = root[a]
-            if edges:
-                yield _edge_batch(edges)
+            if found:
+                yield _pairs(found)
 
     return run
 
 
+def _fetch(docs: DataFrame, sets: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, hashes) of the nodes (node), each from one of its texts."""
+    chosen = sets.join(nodes.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("of"))
+    chosen = Kept(chosen.select(F.col("of.doc_id").alias("_doc"), F.col("of.version").alias("_version")).distinct(), "chosen").frame
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")), "left_semi")
+    return Kept(texts.select("text").mapInArrow(_arrays(k), "node long, hashes binary").dropDuplicates(["node"]), "arrays").frame
+
+
+def _dealt(tiles: DataFrame, held: DataFrame) -> DataFrame:
+    """Tiles (leader, node) with what held has of each node, in parts of about PART members, the leader in each."""
+    parts = tiles.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = tiles.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), "node")
+    leaders = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("leader").alias("node"))
+    return members.unionByName(leaders).join(held, "node").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "node")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, version, n_shingles, component_id) of each row of docs (doc_id, text).
+    """(doc_id, version, n_shingles, component_id, component) of each row of docs (doc_id, text).
 
     Two texts link when 100 * intersection >= percent * union of their sets of k-word shingles.
-    component_id: the least doc_id reachable by links, the own one included; version: xxhash64 of the text.
+    component_id: the least doc_id reachable by links, the own one included; component: an equal number for
+    linked rows (null without shingles); version: xxhash64 of the text.
     Defined results: a null, empty or blank text has 0 shingles and stands alone; a null doc_id links like
     any other but never names a component (null where a component has no id); rows that repeat stay.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
-    bits = int(np.clip(int(docs.count()).bit_length() + 2, 14, 24))
-    first = Kept(docs.mapInArrow(_first_pass(k, bits), "doc_id long, version long, n long, node long, part int, counts binary"), "sets").frame
+    counters = int(np.clip(int(docs.count()).bit_length() + 2, 14, 24))
+    first = Kept(docs.mapInArrow(_first_pass(k, counters), _FIRST), "sets").frame
     sets = first.where(F.col("part").isNull()).select("doc_id", "version", F.col("n").alias("n_shingles"), "node")
-    classes = docs.sparkSession.sparkContext.broadcast(_frequency_classes(first, bits))
+    bitmaps = Kept(first.where(F.col("node").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"]), "bitmaps").frame
+    classes = docs.sparkSession.sparkContext.broadcast(_frequency_classes(first, counters))
 
-    prefixes = docs.select("text").mapInArrow(_prefixes(k, percent, bits, classes), "token long, node long")
+    prefixes = docs.select("text").mapInArrow(_prefixes(k, percent, counters, classes), "token long, node long")
     led = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_leaders, "leader long, node long")
     tiles = Kept(led.distinct(), "tiles").frame
 
-    # The arrays of all nodes in tiles, each from one of its texts.
-    wanted = tiles.select("node").unionByName(tiles.select(F.col("leader").alias("node"))).distinct()
-    chosen = sets.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("of")).select("of.*").distinct()
-    chosen = chosen.toDF("_doc", "_version")
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")), "left_semi")
-    arrays = Kept(texts.select("text").mapInArrow(_arrays(k), "node long, n long, hashes binary").dropDuplicates(["node"]), "arrays").frame
-
-    parts = tiles.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = tiles.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), "node")
-    leaders = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("leader").alias("node"))
-    filled = members.unionByName(leaders).join(arrays.select("node", "hashes"), "node")
-    filled = filled.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "node")
-    direct = Kept(filled.mapInArrow(_with_leader(percent), "a long, b long"), "direct").frame
+    may = Kept(_dealt(tiles, bitmaps).mapInArrow(_may_link_leader(percent), "a long, b long").toDF("leader", "node"), "may-link").frame
+    arrays = _fetch(docs, sets, may.select("node").unionByName(may.select(F.col("leader").alias("node"))), k)
+    direct = Kept(_dealt(may, arrays).mapInArrow(_link_leader(percent), "a long, b long"), "direct").frame
     labels = Kept(components(direct), "labels").frame
 
     # What is not settled: tiles whose members lie in several components.
     placed = tiles.join(labels, "node", "left").select("leader", "node", F.coalesce("label", "node").alias("label"))
     torn = placed.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("leader")
-    sized = placed.join(torn, "leader").join(arrays.select("node", "n"), "node")
+    sized = placed.join(torn, "leader").join(bitmaps.select("node", "n"), "node")
     by_size = Window.partitionBy("leader").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    banded = Kept(sized.withColumn("band", F.floor(F.sum(F.col("n") + 128).over(by_size) / BAND).cast("int")), "bands").frame
-    bands = banded.groupBy("leader", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    i, j = bands.toDF("leader", "i", "i_least", "i_most"), bands.toDF("leader", "j", "j_least", "j_most")
-    blocks = i.join(j, "leader").where((F.col("i") <= F.col("j")) & (F.col("j_least") * percent <= F.col("i_most") * 100)).select("leader", "i", "j")
-    sides = banded.join(blocks.withColumn("band", F.explode(F.array_distinct(F.array("i", "j")))), ["leader", "band"])
-    sides = sides.join(arrays.select("node", "hashes"), "node").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "n", "node")
-    rest = Kept(sides.select("leader", "i", "j", "band", "node", "label", "hashes").mapInArrow(_among_members(percent), "a long, b long"), "rest").frame
-    edges = direct.unionByName(rest)
-    labels = labels if rest.isEmpty() else Kept(components(edges), "labels").frame
+    cut = Kept(sized.withColumn("block", F.floor(F.sum(F.col("n") + 128).over(by_size) / BLOCK).cast("int")), "blocks").frame
+    ends = cut.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    i, j = ends.toDF("leader", "i", "i_least", "i_most"), ends.toDF("leader", "j", "j_least", "j_most")
+    pairs = i.join(j, "leader").where((F.col("i") <= F.col("j")) & (F.col("j_least") * percent <= F.col("i_most") * 100)).select("leader", "i", "j")
+    sides = cut.join(pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))), ["leader", "block"])
+    by_block = ["leader", "i", "j"]
+    mapped = sides.join(bitmaps.select("node", "bits"), "node").repartition(*by_block).sortWithinPartitions(*by_block, "n", "node")
+    near = Kept(mapped.select(*by_block, "block", "node", "n", "label", "bits").mapInArrow(_may_link_members(percent), "leader long, i int, j int, node long"), "near").frame
+    if not near.isEmpty():
+        filled = sides.join(near, [*by_block, "node"], "left_semi").join(_fetch(docs, sets, near, k), "node")
+        filled = filled.repartition(*by_block).sortWithinPartitions(*by_block, "n", "node")
+        rest = filled.select(*by_block, "block", "node", "label", "hashes").mapInArrow(_link_members(percent), "a long, b long")
+        labels = Kept(components(direct.unionByName(Kept(rest, "rest").frame)), "labels").frame
 
     least = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc")).join(labels, "node", "left")
-    least = least.select("node", "doc", F.coalesce("label", "node").alias("label"))
-    names = least.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = Kept(least.join(names, "label").select("node", "component_id"), "named").frame
+    least = least.select("node", "doc", F.coalesce("label", "node").alias("component"))
+    names = least.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = Kept(least.join(names, "component").select("node", "component_id", "component"), "named").frame
     found = sets.join(named, "node", "left")
-    return found.select("doc_id", "version", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", "version", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: the least doc_id, or the least text by hash where none has an id.
+
+    Rows equal in doc_id and text are one document; texts without words all stay.
+    """
+    found = jaccard_components(docs, k, percent).where(F.col("component").isNotNull()).select("component", "doc_id", "version")
+    found = Kept(found.distinct(), "grouped").frame
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
+    stay = Kept(found.groupBy("component").agg(F.min(rank).alias("stay")), "stay").frame
+    gone = found.join(stay, "component").where(~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("version") == F.col("stay.version"))))
+    gone = Kept(gone.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")), "gone").frame
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left_anti")
