@@ -152,12 +152,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
     x = sample.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(sample.num_rows, -1)
     coder = fit(unit(x), k)
     queries = v.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
-    # Shards meet blocks of queries: both are numbered, and each shard is sent to each number once.
-    groups = max(1, -(-queries.count() // TOGETHER))
-    packed = Kept(queries.coalesce(groups).mapInArrow(_pack("queries"), "queries_ids binary, queries binary").select("*", F.monotonically_increasing_id().alias("block")), "queries").frame
-    shards = v.mapInArrow(_pack("rows"), "rows_ids binary, rows binary")
-    numbers = packed.agg(F.collect_list("block").alias("blocks"))
-    met = shards.join(F.broadcast(numbers)).select("rows_ids", "rows", F.explode("blocks").alias("block")).join(packed, "block")
+    # Shards meet blocks of queries. Shards are dealt into groups, and each group gets a copy of each block,
+    # so that no task has more than a few shards to search.
+    n_groups = max(1, -(-v.count() // SHARD))
+    blocks = max(1, -(-queries.count() // TOGETHER))
+    packed = Kept(queries.coalesce(blocks).mapInArrow(_pack("queries"), "queries_ids binary, queries binary").select("*", F.monotonically_increasing_id().alias("block")), "queries").frame
+    copies = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
+    shards = v.mapInArrow(_pack("rows"), "rows_ids binary, rows binary").withColumn("group", F.pmod(F.xxhash64("rows_ids"), F.lit(n_groups)).cast("int"))
+    met = shards.join(copies, "group").drop("group", "block")
     best = met.mapInArrow(_search_all(coder, k), "query_id long, vec_id long, score double")
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

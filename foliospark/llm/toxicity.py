@@ -119,8 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: in
 def score_slice(s: Slice, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Score of each text; then text, start byte, end byte and score of each sentence."""
     start, end, sentence, first, text = sentences(s)
+    if not len(start):
+        return np.zeros(len(s)), text, start, end, np.zeros(0)
     z = np.full(len(text), model.bias)
-    for words, bucket in features(s, start, end) if len(start) else ():
+    for words, bucket in features(s, start, end):
         z += np.bincount(sentence[words], model.weights[bucket], minlength=len(text))
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     none = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(s))
