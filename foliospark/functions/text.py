@@ -98,7 +98,7 @@ def state_name(code: Column) -> Column:
 def state_label(code: Column) -> Column:
     """"NN - Name", or the code alone where it has no name."""
     padded = F.lpad(code, 2, "0")
-    return F.concat_ws(" - ", padded, state_name(padded))
+    return F.when(padded.isNotNull(), F.concat_ws(" - ", padded, state_name(padded)))
 
 
 def state_in(address: Column) -> Column:

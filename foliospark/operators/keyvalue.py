@@ -86,7 +86,7 @@ def by_table(docs: DataFrame) -> DataFrame:
     cut = r"\s*\|\s*|\t+| {3,}"
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     parts = F.filter(F.split(F.trim(F.regexp_replace("line", r"^\s*\||\|\s*$", "")), cut), lambda c: F.trim(c) != "")
-    lines = lines.withColumn("cells", F.transform(parts, F.trim))
+    lines = lines.withColumn("cells", F.transform(parts, lambda c: F.trim(c)))
     every_label = F.array(*[F.lit(x) for labels in LABELS.values() for x in labels])
     known = F.size(F.filter("cells", lambda c: F.array_contains(every_label, F.lower(c))))
     so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
