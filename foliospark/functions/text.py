@@ -107,3 +107,17 @@ def state_in(address: Column) -> Column:
     found = F.try_element_at(F.filter(named, lambda s: F.contains(F.lower(address), F.lower(s))), F.lit(1))
     last = F.when(F.contains(address, F.lit(",")), F.nullif(F.substring(F.trim(F.substring_index(address, ",", -1)), 1, 60), F.lit("")))
     return F.coalesce(found, last)
+
+
+def shown_money(value: Column) -> Column:
+    """₹1,234.50, or a dash where there is none."""
+    return F.coalesce(F.concat(F.lit("₹"), F.format_number(value, 2)), F.lit("-"))
+
+
+def shown_percent(share: Column) -> Column:
+    return F.coalesce(F.concat(F.format_number(share * 100, 1), F.lit("%")), F.lit("-"))
+
+
+def csv_cell(value: Column) -> Column:
+    """Quoted where it holds a comma, a quote or a line end."""
+    return F.when(value.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(value, F.lit("")))

@@ -64,13 +64,20 @@ def label_values(docs: DataFrame) -> DataFrame:
 
 
 def match_labels(pairs: DataFrame) -> DataFrame:
-    """pairs with the field of the label: the same words, else the first known label that one contains in the other."""
+    """pairs with the field of the label: the same words; else nearly the same, in any order; else one contained in the other.
+
+    Nearly: of the words sorted, at most a fifth of the characters differ. Labels are compared once each, with
+    a table of known labels of fixed size.
+    """
     known = _labels(pairs.sparkSession)
     plain = pairs.withColumn("_label", F.trim(F.lower(F.regexp_replace("label", r"[.\s]+", " "))))
     same = F.col("_label") == F.col("known")
     either = F.contains(F.col("_label"), F.col("known")) | F.contains(F.col("known"), F.col("_label"))
+    in_order = lambda c: F.array_join(F.array_sort(F.split(F.col(c), " ")), " ")
+    nearly = F.levenshtein(in_order("_label"), in_order("known")) * 5 <= F.greatest(F.char_length("_label"), F.char_length("known"))
     keys = plain.select("_label").distinct()
-    fields = keys.join(known, either & (F.char_length("_label") > 2)).groupBy("_label").agg(F.min_by("field", F.struct((~same).alias("inexact"), "rank")).alias("field"))
+    order = F.struct((~same).alias("inexact"), (~nearly).alias("far"), "rank")
+    fields = keys.join(known, (either | nearly) & (F.char_length("_label") > 2)).groupBy("_label").agg(F.min_by("field", order).alias("field"))
     return plain.join(fields, "_label").drop("_label")
 
 

@@ -111,3 +111,9 @@ def answer(question: Column, facts: dict[str, Column], passages: Column | None =
     said = F.coalesce(*[F.when(rule(question) == f, F.coalesce(v.cast("string"), F.lit("N/A"))) for f, v in facts.items()])
     rest = [x for x in (model, said, F.substring(passages, 1, 600) if passages is not None else None) if x is not None]
     return F.coalesce(*rest)
+
+
+def facts_context(facts: dict[str, Column], text: Column, most: int = 1200) -> Column:
+    """Lines "label: value" of the facts that are known, then the first characters of the text."""
+    lines = [F.concat(F.lit(f"{name}: "), F.nullif(value.cast("string"), F.lit(""))) for name, value in facts.items()]
+    return F.concat_ws("\n", *lines, F.substring(text, 1, most))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import identifiers, text
 from foliospark.functions.dims import BANK_WORDS, INVOICE_WORDS, MISREAD, PLATFORMS, RUN_TOGETHER, STATES
 from foliospark.operators import bank, classify, invoice, keyvalue, layout, merge, ocr, retrieve, validate
-from foliospark.plans import batch
+from foliospark.plans import batch, index
 from foliospark.sources import render
 from foliospark.streaming import events as streams
 
@@ -502,6 +502,35 @@ def kv_extract_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "field", F.when(F.col("amount").isNull(), F.col("value")).alias("text_value"), F.col("amount").cast("double").alias("amount"))
 
 
+@registered(
+    _LINES
+    + """, b AS (SELECT stmt_id, count(*) AS n, arg_max(balance, seq)::DOUBLE AS closing FROM lines GROUP BY stmt_id) SELECT stmt_id, n AS total_transactions, closing AS closing_balance FROM b"""
+)
+def bank_region_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements cut into header, table and footer, put together again and read."""
+    whole = statements(spark, sf_dir)
+    part = lambda name, pattern: F.struct(F.lit(name).alias("label"), F.regexp_extract("text", pattern, 1).alias("text"))
+    parts = F.array(part("footer", r"(?s)(Closing Balance:.*)$"), part("table", r"(?s)Opening Balance: [\d,.]+\n(.*)\nClosing Balance:"), part("header", r"(?s)^(.*?Opening Balance: [\d,.]+)\n"))
+    text_ = bank.text_of_regions(whole.select("stmt_id", F.explode(parts).alias("p")).select("stmt_id", "p.label", "p.text"))
+    counted = bank.analytics(bank.settled(text_)).select("stmt_id", "total_transactions")
+    return counted.join(bank.balances(text_), "stmt_id").select("stmt_id", "total_transactions", *double("closing_balance"))
+
+
+@registered(
+    _FACTS
+    + """SELECT inv_id, concat_ws(chr(10), 'Invoice: ' || invoice_number, 'Total: ' || total_shown::VARCHAR, 'Tax Invoice' || chr(10)) AS context FROM shown"""
+)
+def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = invoices(spark, sf_dir)
+    found = invoice.extract(docs).select("inv_id", "invoice_number", "total_amount").join(docs, "inv_id")
+    return found.select("inv_id", retrieve.facts_context({"Invoice": F.col("invoice_number"), "Total": F.col("total_amount")}, F.col("text"), 12).alias("context"))
+
+
+@registered(f"SELECT (i - 1)::INT AS priority, {_sql_list([*PLATFORMS, 'unknown'])}[i] AS platform FROM range(1, {len(PLATFORMS) + 2}) t(i)")
+def platform_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.platforms(spark)
+
+
 # --- beyond the document operators: what the tables exercise ---------------------------------------------
 
 

@@ -70,3 +70,9 @@ def test_cascade_takes_the_next_pattern_not_the_next_match(spark):
 
 def test_lines_and_case(spark):
     assert one(spark, lambda x: patterns.every(x, r"^tot[ae]l (\d+)$"), "TOTAL 1\nTotel 2\r\ntotal 3") == ["1", "3"]
+
+
+def test_display(spark):
+    frame = spark.createDataFrame([(1234.5, 0.8765, 'a "b", c'), (None, None, None)], "m double, p double, c string")
+    got = [tuple(r) for r in frame.select(text.shown_money(F.col("m")), text.shown_percent(F.col("p")), text.csv_cell(F.col("c"))).collect()]
+    assert got == [("₹1,234.50", "87.7%", '"a ""b"", c"'), ("-", "-", "")]

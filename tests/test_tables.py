@@ -54,6 +54,11 @@ def test_region_parse(spark):
     assert got["n_dated_lines"] == 2 and set(got["region_text"]) == {"table", "header"}
 
 
+def test_labels_misspelt_or_turned_around(spark):
+    pairs = spark.createDataFrame([(1, "Invoce Number"), (2, "number invoice"), (3, "Weather"), (4, "Your Grand Total incl. tax")], "doc_id long, label string")
+    assert {r["doc_id"]: r["field"] for r in keyvalue.match_labels(pairs).collect()} == {1: "invoice_number", 2: "invoice_number", 4: "total_amount"}
+
+
 def test_key_values(spark):
     text = "Invoice No: A-1234\nGrand Total\n:\n₹1,500.00\nCustomer Name\nAsha Rao\n\nSubtotal | Total Tax\n1,200.00 | 300.00\nend\nGSTIN 29AABCT1234F1Z5 here"
     got = {r["field"]: r for r in keyvalue.extract(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
@@ -152,3 +157,16 @@ def test_stream_windows(spark, tmp_path):
     want = streams.per_window(events).toPandas().sort_values(["start", "event_type"]).reset_index(drop=True)
     got = spark.table("hours").toPandas().sort_values(["start", "event_type"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_passage_index(spark, tmp_path):
+    from foliospark.plans import index
+
+    passages = retrieve.chunks_fixed(spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 40"))
+    path = str(tmp_path / "passages")
+    index.write(passages, path)
+    n, of7 = passages.count(), passages.where("doc_id = 7").count()
+    assert index.load(spark, path).count() == n and index.load(spark, path, 7).count() == of7 > 0
+    index.clear(spark, path, 7)
+    assert index.load(spark, path).count() == n - of7 and index.load(spark, path, 7).count() == 0
+    assert index.platforms(spark).count() == 10
