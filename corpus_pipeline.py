@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, jaccard_join, line_dedup, mixing, toxicity
-from foliospark.llm.shared import Kept, read
+from foliospark.llm.shared import Kept, read, set_aside
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in five documents or more stay in one; texts and n_chars follow."""
-    done = line_dedup.dedup_lines(docs)
+    renamed, back = set_aside(docs, line_dedup.ADDED)
+    done = line_dedup.dedup_lines(renamed)
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     changed = {"text": text.alias("text"), "n_chars": n_chars.alias("n_chars")}
-    return done.select(*[changed.get(c, F.col(c)) for c in docs.columns])
+    return done.select(*[changed.get(name, column) for name, column in back.items()])
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import Kept
+from foliospark.llm.shared import Kept, Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node in edges (a, b): equal labels, same component.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of every node in edges (a, b): equal labels, same component. It reads tables of scratch.
 
     Each round every node points to the least of itself and its neighbours, and edges are redrawn between
     what their ends point to. Ids should be hashes: then the nodes left shrink by a constant factor a round.
@@ -18,16 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = kept.frame.unionByName(kept.frame.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = Kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")), "parents")
+        parents = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")), "parents")
         if labels is None:
-            labels = parents.frame.withColumnRenamed("up", "label")
+            labels = parents.withColumnRenamed("up", "label")
         else:
-            up = parents.frame.select(F.col("node").alias("label"), "up")
+            up = parents.select(F.col("node").alias("label"), "up")
             labels = labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-        a, b = parents.frame.toDF("a", "ua"), parents.frame.toDF("b", "ub")
+        a, b = parents.toDF("a", "ua"), parents.toDF("b", "ub")
         redrawn = kept.frame.join(a, "a").join(b, "b").where(F.col("ua") != F.col("ub"))
         after = Kept(redrawn.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
         kept.drop()
         kept = after
         if kept.frame.isEmpty():
+            kept.drop()
             return labels

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernel import ALNUM, U, Slice, mix, slices
-from foliospark.llm.shared import Kept
+from foliospark.llm.shared import Kept, Scratch
 from foliospark.ship import ship
 
 WINDOW, SUBSTITUTIONS, SHORTEST = 13, 2, 5
@@ -149,12 +149,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     table[[r["word"] for r in rows]] = [r["bits"] for r in rows]
     found = docs.select("doc_id", "text").mapInArrow(_document_seeds(masks, bits, spark.sparkContext.broadcast(table.view(U))), "doc_id long, seed long, doc_words binary")
     sides = items.drop("mask")
-    pairs = found.join(F.broadcast(sides) if n <= BROADCAST_SEEDS else sides, "seed")
-    verified = pairs.select("doc_id", "item_id", "width", "doc_words", "item_words").mapInArrow(_verify, "doc_id long, item_id long, matched_words int, window int")
-    return verified.groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"), F.max("window").alias("window"), F.count("*").alias("hits"))
+    pairs = found.join(F.broadcast(sides) if n <= BROADCAST_SEEDS else sides, "seed").select("doc_id", "item_id", "width", "doc_words", "item_words")
+    # Kept in between, so that a task never needs two Python workers at once.
+    scratch = Scratch()
+    pairs = scratch.keep(pairs, "hits")
+    verified = pairs.mapInArrow(_verify, "doc_id long, item_id long, matched_words int, window int")
+    found = Kept(verified.groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"), F.max("window").alias("window"), F.count("*").alias("hits")), "leaks").frame
+    scratch.clear()
+    return found
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = 100_000) -> DataFrame:
     """docs without those that hold an item; columns as they came."""
-    ids = Kept(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct(), "leaking").frame
-    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
+    ids = Kept(leaks(docs, benchmark).select(F.col("doc_id").alias("_fs_leaking")).distinct(), "leaking").frame
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, F.col("doc_id").eqNullSafe(F.col("_fs_leaking")), "left_anti")

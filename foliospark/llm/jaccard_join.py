@@ -31,13 +31,11 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
 from foliospark.llm.kernel import DARK, U, mix, slices, windows
-from foliospark.llm.shared import Kept
+from foliospark.llm.shared import Kept, Scratch
 from foliospark.ship import ship
 
 #: Members of a tile compared with a leader in one part, and hashes (with 128 more for each set) in one block.
 PART, BLOCK = 2048, 1 << 18
-#: Sets up to this number are fetched by a broadcast of their ids (16 bytes each), more by a shuffle.
-BROADCAST_IDS = 100_000
 #: Counters travel in parts of so many.
 COUNTERS = 1 << 14
 
@@ -76,9 +74,9 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
 
 def _first_pass(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        counts, seen, held = None, [], 0
         for batch in batches:
-            n, node, maps, seen, held = [], [], [], [], 0
+            n, node, maps = [], [], []
             for _, hashes in shingle_sets(batch.column("text"), k):
                 n.append(len(hashes))
                 node.append(node_of(hashes) if len(hashes) else None)
@@ -87,12 +85,12 @@ def _first_pass(k: int, bits: int):
                 held += len(hashes)
                 if held > 1 << 20:
                     counts, seen, held = _added(counts, seen, bits), [], 0
-            counts = _added(counts, seen, bits)
             empty = len(n)
             yield _batch(
                 doc_id=batch.column("doc_id"), version=batch.column("version"), n=pa.array(n, pa.int64()), node=pa.array(node, pa.int64()),
                 bits=pa.array(maps, pa.binary()), part=pa.nulls(empty, pa.int32()), counts=pa.nulls(empty, pa.binary()),
             )
+        counts = _added(counts, seen, bits)
         if counts is not None:
             parts = [x.tobytes() for x in np.split(counts, len(counts) // COUNTERS)]
             none = pa.nulls(len(parts), pa.int64())
@@ -356,14 +354,12 @@ def _link_members(percent: int):
     return run
 
 
-def _fetch(docs: DataFrame, sets: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _fetch(docs: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(node, hashes) of the nodes (node), each from one of its texts."""
     chosen = sets.join(nodes.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("of"))
-    chosen = Kept(chosen.select(F.col("of.doc_id").alias("_doc"), F.col("of.version").alias("_version")).distinct(), "chosen").frame
-    if chosen.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")), "left_semi")
-    return Kept(texts.select("text").mapInArrow(_arrays(k), "node long, hashes binary").dropDuplicates(["node"]), "arrays").frame
+    chosen = scratch.keep(chosen.select(F.col("of.doc_id").alias("_fs_doc"), F.col("of.version").alias("_fs_version")).distinct(), "chosen")
+    texts = docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_fs_doc")) & (F.col("version") == F.col("_fs_version")), "left_semi")
+    return scratch.keep(texts.select("text").mapInArrow(_arrays(k), "node long, hashes binary").dropDuplicates(["node"]), "arrays")
 
 
 def _dealt(tiles: DataFrame, held: DataFrame) -> DataFrame:
@@ -374,7 +370,7 @@ def _dealt(tiles: DataFrame, held: DataFrame) -> DataFrame:
     return members.unionByName(leaders).join(held, "node").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "node")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, result: Scratch | None = None) -> DataFrame:
     """(doc_id, version, n_shingles, component_id, component) of each row of docs (doc_id, text).
 
     Two texts link when 100 * intersection >= percent * union of their sets of k-word shingles.
@@ -382,47 +378,50 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     linked rows (null without shingles); version: xxhash64 of the text.
     Defined results: a null, empty or blank text has 0 shingles and stands alone; a null doc_id links like
     any other but never names a component (null where a component has no id); rows that repeat stay.
+    What is returned reads tables kept in ``result``.
     """
     ship(docs.sparkSession)
+    result, scratch = result or Scratch(), Scratch()
     docs = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
     counters = int(np.clip(int(docs.count()).bit_length() + 2, 14, 24))
-    first = Kept(docs.mapInArrow(_first_pass(k, counters), _FIRST), "sets").frame
+    first = result.keep(docs.mapInArrow(_first_pass(k, counters), _FIRST), "sets")
     sets = first.where(F.col("part").isNull()).select("doc_id", "version", F.col("n").alias("n_shingles"), "node")
-    bitmaps = Kept(first.where(F.col("node").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"]), "bitmaps").frame
+    bitmaps = scratch.keep(first.where(F.col("node").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"]), "bitmaps")
     classes = docs.sparkSession.sparkContext.broadcast(_frequency_classes(first, counters))
 
     prefixes = docs.select("text").mapInArrow(_prefixes(k, percent, counters, classes), "token long, node long")
     led = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_leaders, "leader long, node long")
-    tiles = Kept(led.distinct(), "tiles").frame
+    tiles = scratch.keep(led.distinct(), "tiles")
 
-    may = Kept(_dealt(tiles, bitmaps).mapInArrow(_may_link_leader(percent), "a long, b long").toDF("leader", "node"), "may-link").frame
-    arrays = _fetch(docs, sets, may.select("node").unionByName(may.select(F.col("leader").alias("node"))), k)
-    direct = Kept(_dealt(may, arrays).mapInArrow(_link_leader(percent), "a long, b long"), "direct").frame
-    labels = Kept(components(direct), "labels").frame
+    may = scratch.keep(_dealt(tiles, bitmaps).mapInArrow(_may_link_leader(percent), "a long, b long").toDF("leader", "node"), "may-link")
+    arrays = _fetch(docs, sets, may.select("node").unionByName(may.select(F.col("leader").alias("node"))), k, scratch)
+    direct = scratch.keep(_dealt(may, arrays).mapInArrow(_link_leader(percent), "a long, b long"), "direct")
+    labels = scratch.keep(components(direct, scratch), "labels")
 
     # What is not settled: tiles whose members lie in several components.
     placed = tiles.join(labels, "node", "left").select("leader", "node", F.coalesce("label", "node").alias("label"))
     torn = placed.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("leader")
     sized = placed.join(torn, "leader").join(bitmaps.select("node", "n"), "node")
     by_size = Window.partitionBy("leader").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = Kept(sized.withColumn("block", F.floor(F.sum(F.col("n") + 128).over(by_size) / BLOCK).cast("int")), "blocks").frame
+    cut = scratch.keep(sized.withColumn("block", F.floor(F.sum(F.col("n") + 128).over(by_size) / BLOCK).cast("int")), "blocks")
     ends = cut.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     i, j = ends.toDF("leader", "i", "i_least", "i_most"), ends.toDF("leader", "j", "j_least", "j_most")
     pairs = i.join(j, "leader").where((F.col("i") <= F.col("j")) & (F.col("j_least") * percent <= F.col("i_most") * 100)).select("leader", "i", "j")
     sides = cut.join(pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))), ["leader", "block"])
     by_block = ["leader", "i", "j"]
     mapped = sides.join(bitmaps.select("node", "bits"), "node").repartition(*by_block).sortWithinPartitions(*by_block, "n", "node")
-    near = Kept(mapped.select(*by_block, "block", "node", "n", "label", "bits").mapInArrow(_may_link_members(percent), "leader long, i int, j int, node long"), "near").frame
+    near = scratch.keep(mapped.select(*by_block, "block", "node", "n", "label", "bits").mapInArrow(_may_link_members(percent), "leader long, i int, j int, node long"), "near")
     if not near.isEmpty():
-        filled = sides.join(near, [*by_block, "node"], "left_semi").join(_fetch(docs, sets, near, k), "node")
+        filled = sides.join(near, [*by_block, "node"], "left_semi").join(_fetch(docs, sets, near, k, scratch), "node")
         filled = filled.repartition(*by_block).sortWithinPartitions(*by_block, "n", "node")
-        rest = filled.select(*by_block, "block", "node", "label", "hashes").mapInArrow(_link_members(percent), "a long, b long")
-        labels = Kept(components(direct.unionByName(Kept(rest, "rest").frame)), "labels").frame
+        rest = scratch.keep(filled.select(*by_block, "block", "node", "label", "hashes").mapInArrow(_link_members(percent), "a long, b long"), "rest")
+        labels = scratch.keep(components(direct.unionByName(rest), scratch), "labels")
 
     least = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc")).join(labels, "node", "left")
     least = least.select("node", "doc", F.coalesce("label", "node").alias("component"))
     names = least.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = Kept(least.join(names, "component").select("node", "component_id", "component"), "named").frame
+    named = result.keep(least.join(names, "component").select("node", "component_id", "component"), "named")
+    scratch.clear()
     found = sets.join(named, "node", "left")
     return found.select("doc_id", "version", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
@@ -432,12 +431,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows equal in doc_id and text are one document; texts without words all stay.
     """
-    found = jaccard_components(docs, k, percent).where(F.col("component").isNotNull()).select("component", "doc_id", "version")
-    found = Kept(found.distinct(), "grouped").frame
+    scratch = Scratch()
+    found = jaccard_components(docs, k, percent, scratch).where(F.col("component").isNotNull()).select("component", "doc_id", "version")
+    found = scratch.keep(found.distinct(), "grouped")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
-    stay = Kept(found.groupBy("component").agg(F.min(rank).alias("stay")), "stay").frame
+    stay = scratch.keep(found.groupBy("component").agg(F.min(rank).alias("stay")), "stay")
     gone = found.join(stay, "component").where(~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("version") == F.col("stay.version"))))
-    gone = Kept(gone.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")), "gone").frame
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left_anti")
+    gone = Kept(gone.select(F.col("doc_id").alias("_fs_doc"), F.col("version").alias("_fs_version")), "gone").frame
+    scratch.clear()
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_fs_doc")) & (F.xxhash64("text") == F.col("_fs_version")), "left_anti")

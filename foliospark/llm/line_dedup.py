@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import BLANKS, Kept
+from foliospark.llm.shared import BLANKS, Kept, Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,26 +34,32 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc, version, dropped): dropped maps a word of 64 lines to the bits of the lines to drop."""
-    found = Kept(occurrences(docs, min_chars), "lines").frame
+    scratch = Scratch()
+    found = scratch.keep(occurrences(docs, min_chars), "lines")
     once = found.where(F.col("doc").isNotNull()).repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", F.desc("doc"), "pos")
     once = once.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("first_pos"))
     shared = once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("owner")).where(F.col("n_docs") >= min_docs)
-    shared = Kept(shared.select("h1", "h2", "owner"), "shared").frame
+    shared = scratch.keep(shared.select("h1", "h2", "owner"), "shared")
     drops = found.join(shared, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("owner")))
     words = drops.groupBy("doc", "version", F.expr("pos div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
-    return words.groupBy("doc", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    bitmaps = Kept(words.groupBy("doc", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped")), "bitmaps").frame
+    scratch.clear()
+    return bitmaps
+
+
+#: Columns that dedup_lines adds; columns of docs with these names are replaced.
+ADDED = ["kept_text", "n_lines", "n_dropped", "dropped"]
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with kept_text, n_lines (before), n_dropped and the bitmap ``dropped`` (null: nothing)."""
-    bitmaps = drop_bitmaps(docs, min_chars, min_docs).select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("dropped").alias("_dropped"))
-    taken = ["kept_text", "n_lines", "n_dropped", "dropped"]
-    joined = docs.drop(*taken).join(bitmaps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left")
-    kept = F.expr("array_join(filter(split(coalesce(text, ''), '\\n', -1), (x, i) -> getbit(coalesce(try_element_at(_dropped, i div 64), 0L), i % 64) = 0), '\\n')")
+    bitmaps = drop_bitmaps(docs, min_chars, min_docs).select(F.col("doc").alias("_fs_doc"), F.col("version").alias("_fs_version"), F.col("dropped").alias("_fs_dropped"))
+    joined = docs.drop(*ADDED).join(bitmaps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_fs_doc")) & (F.xxhash64("text") == F.col("_fs_version")), "left")
+    kept = F.expr("array_join(filter(split(coalesce(text, ''), '\\n', -1), (x, i) -> getbit(coalesce(try_element_at(_fs_dropped, i div 64), 0L), i % 64) = 0), '\\n')")
     return joined.select(
-        *[c for c in docs.columns if c not in taken],
-        F.when(F.col("_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"),
+        *[c for c in docs.columns if c not in ADDED],
+        F.when(F.col("_fs_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"),
         F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce(F.expr("aggregate(map_values(_dropped), 0L, (n, bits) -> n + bit_count(bits))"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.col("_dropped").alias("dropped"),
+        F.coalesce(F.expr("aggregate(map_values(_fs_dropped), 0L, (n, bits) -> n + bit_count(bits))"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.col("_fs_dropped").alias("dropped"),
     )

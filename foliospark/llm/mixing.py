@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import WORD, Kept
+from foliospark.llm.shared import WORD, Kept, set_aside
 
 #: Sources up to this number are sent to every executor (about 100 bytes each); more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -54,23 +54,26 @@ def coin(seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / float(2**52)
 
 
+#: Columns that rates adds; columns of docs with these names are replaced.
+ADDED = ["size", "source_size", "target", "rate", "copies"]
+
+
 def rates(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target, rate and copies."""
-    taken = ["size", "source_size", "target", "rate", "copies"]
-    docs = docs.drop(*taken)
-    sized = docs.withColumn("size", size_of(F.col("text")))
+    sized = docs.drop(*ADDED).withColumn("size", size_of(F.col("text")))
     sums = Kept(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources").frame
-    goal = targets(sums, weights, most).withColumnRenamed("source", "_source")
+    goal = targets(sums, weights, most).withColumnRenamed("source", "_fs_source")
     if sums.count() <= BROADCAST_SOURCES:
         goal = F.broadcast(goal)
-    joined = sized.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = sized.join(goal, F.col("source").eqNullSafe(F.col("_fs_source"))).drop("_fs_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("rate", rate)
     return joined.withColumn("copies", F.floor("rate") + (coin(seed) < F.col("rate") - F.floor("rate")).cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
-    """The mix itself: each document as often as it is taken, numbered by ``copy`` from 1."""
-    mixed = rates(docs, weights, most, seed).where(F.col("copies") > 0)
-    columns = [c for c in docs.columns if c != "copy"]
-    return mixed.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    """The mix itself: each document as often as it is taken, numbered by ``copy`` from 1 (which replaces a column of that name)."""
+    renamed, back = set_aside(docs, ADDED)
+    mixed = rates(renamed, weights, most, seed).where(F.col("copies") > 0)
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return mixed.select(*[c for name, c in back.items() if name != "copy"], number)

@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """docs with columns of these names under others, and how to select each column of docs back."""
+    other = {c: f"_fs_own_{c}" if c in names else c for c in docs.columns}
+    return docs.withColumnsRenamed({a: b for a, b in other.items() if a != b}), {a: F.col(b).alias(a) for a, b in other.items()}
+
+
 class Kept:
     """A DataFrame written to the shared folder and read again: cuts the lineage, survives lost executors."""
 
@@ -71,3 +77,19 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, most: int, he
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
     found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     return found.withColumn("weight", F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+
+
+class Scratch:
+    """Kept tables of one job, deleted together when nothing lazy reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[Kept] = []
+
+    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+        self.tables.append(Kept(frame, name))
+        return self.tables[-1].frame
+
+    def clear(self) -> None:
+        for table in self.tables:
+            table.drop()
+        self.tables.clear()

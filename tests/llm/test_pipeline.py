@@ -76,9 +76,10 @@ def test_run_and_odd_rows(spark, stages):
     odd = spark.createDataFrame(
         [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "x" * 50_000, None, "a", None), (2, "words in a row " * 9000, "en", None, 5)], "doc_id long, text string, lang string, source string, n_chars long"
     )
-    odd = odd.withColumn("size", F.lit("clash")).withColumn("component_id", F.lit(1)).withColumn("score", F.array(F.lit(1)))
+    odd = odd.withColumn("size", F.lit("clash")).withColumn("n_lines", F.lit("clash")).withColumn("component_id", F.lit(1)).withColumn("score", F.array(F.lit(1)))
     for docs in (odd, odd.limit(0)):
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             after = stage(spark, docs, DATA)
             assert after.columns[: len(odd.columns)] == odd.columns or i == 4
-            assert after.count() <= 5 * 3
+            rows = after.collect()
+            assert len(rows) <= 5 * 3 and all(r["size"] == r["n_lines"] == "clash" and r["component_id"] == 1 for r in rows)
