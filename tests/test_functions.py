@@ -73,6 +73,6 @@ def test_lines_and_case(spark):
 
 
 def test_display(spark):
-    frame = spark.createDataFrame([(1234.5, 0.8765, 'a "b", c'), (None, None, None)], "m double, p double, c string")
+    frame = spark.createDataFrame([(1234.5, 0.876, 'a "b", c'), (None, None, None)], "m double, p double, c string")
     got = [tuple(r) for r in frame.select(text.shown_money(F.col("m")), text.shown_percent(F.col("p")), text.csv_cell(F.col("c"))).collect()]
-    assert got == [("₹1,234.50", "87.7%", '"a ""b"", c"'), ("-", "-", "")]
+    assert got == [("₹1,234.50", "87.6%", '"a ""b"", c"'), ("-", "-", "")]
