@@ -105,13 +105,26 @@ def search(coder: Coder, queries: np.ndarray, query_ids: np.ndarray, rows: np.nd
 
 
 def _pack(name: str):
+    """Rows of a partition in shards of SHARD, ids and vectors as bytes."""
+
+    def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids = table.column("id").to_numpy().astype(np.int64).tobytes()
+        data = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([data], pa.binary())], names=[f"{name}_ids", name])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                part = batch.slice(at, SHARD)
-                ids = part.column("id").to_numpy().astype(np.int64).tobytes()
-                data = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([data], pa.binary())], names=[f"{name}_ids", name])
+            while batch.num_rows:
+                part = batch.slice(0, SHARD - n)
+                held.append(part)
+                n, batch = n + part.num_rows, batch.slice(part.num_rows)
+                if n == SHARD:
+                    yield shard(held)
+                    held, n = [], 0
+        if n:
+            yield shard(held)
 
     return run
 
