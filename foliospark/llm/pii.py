@@ -6,7 +6,7 @@ characters (possessive, anchored by look-behind), which keeps them linear on ver
 stands behind a cheap test, so most texts never reach it.
 
 Base kinds (email, ip, card, phone) are exactly those of the published contract; the method adds
-``iban`` (mod 97). Defined results: a null text is an empty one; it has no spans.
+``iban`` (the country's length and mod 97, tried at each end of a token, so that words after it do not matter). Defined results: a null text is an empty one; it has no spans.
 """
 
 from __future__ import annotations
@@ -22,9 +22,15 @@ PATTERNS = {
     # The whole chain of digits, where it has 14 to 19 of them.
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Country and check digits; then a run that may hold the number (1), and what a token cut off by its bound goes on with (2).
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+)([A-Za-z0-9]?))",
 }
 BASE = ("email", "ip", "card", "phone")
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: Words that make a kind likelier if they stand within NEAR code points before the span.
 CONTEXT = {
     "email": ("mail", "contact", "write to", "kontakt", "correo"),
@@ -49,14 +55,23 @@ def _gate(text: Column, kind: str) -> Column:
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """array<struct<start, text>> of the pattern's matches."""
+    """array<struct<start, text>> of the pattern's matches; of ibans, those that _account_number finds in them."""
     shape = "struct<at:int,out:array<struct<start:int,text:string>>>"
     pattern = PATTERNS[kind]
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    part = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    groups = [part(1).alias("run"), part(2).alias("cut")] if kind == "iban" else []
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), part(0).alias("hit"), *groups)
+    if kind == "iban":
+        pairs = F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), _account_number(p["hit"], p["run"], p["cut"]).alias("found")))
 
     def step(done: Column, pair: Column) -> Column:
         start = done["at"] + F.char_length(pair["gap"])
-        added = F.array(F.struct(start.alias("start"), pair["hit"].alias("text")))
+        found = pair["found"] if kind == "iban" else pair["hit"]
+        added = F.array(F.struct(start.alias("start"), found.alias("text")))
+        if kind == "iban":
+            last = F.try_element_at(done["out"], F.lit(-1))
+            free = found.isNotNull() & (F.coalesce(last["start"] + F.char_length(last["text"]), F.lit(0)) <= start)
+            added = F.when(free, added).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
         more = F.struct((start + F.char_length(pair["hit"])).alias("at"), F.concat(done["out"], added).alias("out"))
         return F.when(pair["hit"].isNull(), done).otherwise(more).cast(shape)
 
@@ -64,6 +79,26 @@ def _matches(text: Column, kind: str) -> Column:
     return F.when(_gate(text, kind), F.aggregate(pairs, nothing, step, lambda done: done["out"])).otherwise(nothing["out"])
 
 
+def _account_number(head: Column, run: Column, cut: Column) -> Column:
+    """The account number that begins with head and ends at the end of a token of run; null if there is none.
+
+    It has the country's length and passes mod 97. Where the country has no set length, the longest of 15 to 34
+    characters that passes.
+    """
+    tokens = F.split(run, " ")
+    whole = F.size(tokens) - (cut != "").cast("int")
+    ends = F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>"))
+    numbers = F.transform(ends, lambda n: F.concat(head, F.array_join(F.slice(tokens, F.lit(1), n), " ")))
+    country = F.substring(head, 1, 2)
+    length = F.coalesce(*[F.when(country.isin(names.split()), F.lit(n)) for n, names in IBAN_LENGTHS.items()])
+
+    def fits(number: Column) -> Column:
+        n = F.char_length(F.replace(number, F.lit(" "), F.lit("")))
+        return F.when(n.between(15, 34) & (n == F.coalesce(length, n)), mod97(number)).otherwise(False)
+
+    return F.try_element_at(F.filter(numbers, fits), F.lit(-1))
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -97,8 +132,6 @@ def _valid(kind: str, text: Column) -> Column:
         return luhn(text)
     if kind == "phone":
         return F.char_length(_digits(text)).between(10, 15)
-    if kind == "iban":
-        return mod97(text)
     return F.lit(True)
 
 

@@ -53,6 +53,29 @@ def test_pii_is_the_contract(spark):
     assert [s["score"] for s in got[10] if s["kind"] == "iban"][0] == 1.0
 
 
+IBANS = {
+    "DE89370400440532013000 Please pay": ["DE89370400440532013000"],
+    "GB82 WEST 1234 5698 7654 32 Then": ["GB82 WEST 1234 5698 7654 32"],
+    "é💥 DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": ["DE89 3704 0044 0532 0130 00"],
+    "NO9386011117947 12 times, BE68 5390 0754 7034 2026 A": ["NO9386011117947", "BE68 5390 0754 7034"],
+    "DE89370400440532013000 GB82WEST12345698765432": ["DE89370400440532013000", "GB82WEST12345698765432"],
+    "DE00 1234 5678 GB82WEST12345698765432 X": ["GB82WEST12345698765432"],
+    "MT84 MALT 0110 0001 2345 MTLC AST0 01S AND MORE WORDS": ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"],
+    "DE89370400440532013000please DE893704004405320130001 xDE89370400440532013000": [],
+    "ZZ68 5390 0754 7034 Z": [],
+}
+
+
+def test_pii_words_after_an_iban(spark):
+    # A country without a set length: any end that passes.
+    check = next(f"ZZ{n:02d}539007547034" for n in range(2, 99) if int(f"5390075470343535{n:02d}") % 97 == 1)
+    texts = [*IBANS, f"{check} PLEASE 12"]
+    for r in pii.find_pii(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect():
+        spans = [s for s in r["pii"] if s["kind"] == "iban"]
+        assert [s["text"] for s in spans] == IBANS.get(r["text"], [check]), r["text"]
+        assert all(r["text"][s["start"] : s["end"]] == s["text"] for s in spans)
+
+
 def test_pii_on_documents(spark):
     table = spark.read.parquet(f"{DATA}/documents.parquet")
     for r in pii.find_pii(table.withColumn("pii", table.lang)).collect():
