@@ -5,7 +5,8 @@ structural confirmation only:
 
 - ``jwt``: three base64url parts whose first decodes to a JSON object with an ``alg`` string and whose
   second decodes to a JSON object;
-- ``pem``: a PRIVATE KEY block whose body decodes to DER with exact nested lengths, or to an OpenSSH key;
+- ``pem``: a PRIVATE KEY block whose body decodes to DER with exact nested lengths, or to an OpenSSH key, or that has
+  the header of an encrypted one and decodes; as it is or escaped in a string literal;
 - ``key``: bare base64, or hex of whole bytes, that decodes to the DER of a private key, or to an OpenSSH
   private key.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -34,9 +36,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: The body, which may have headers with dashes, ends at the next boundary of a block, so each part is read once.
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+)-----END \1-----")
+_ESCAPE = re.compile(r"(?<!\\)\\++(?:u([0-9A-Fa-f]{4})|[nrt]|(?=[/\r\n]))")
+_HEADER = re.compile(r"^[A-Za-z-]+: .*$", re.M)
 #: DER sequences and OpenSSH keys start with these characters in base64.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{38,}={0,2}")
+_START64 = r"(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{38,}={0,2}"
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])" + _START64)
+#: After the letter of an escaped line end.
+_ESCAPED64 = re.compile(r"(?<=\\[nrt])" + _START64)
 _HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9a-fA-F]{2}){30,}(?![0-9a-fA-F])")
 _SSH = b"openssh-key-v1\0"
 
@@ -52,6 +60,11 @@ def decode64(text: str) -> bytes | None:
         return None
 
 
+def unescaped(text: str) -> str:
+    """text as it was before it became part of a string literal (JSON and the like): line ends, slashes, code points."""
+    return _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else "\n" if m[0][-1] in "nrt" else "", text) if "\\" in text else text
+
+
 def _header(data: bytes, at: int) -> tuple[int, int, int] | None:
     """(tag, start, end) of the DER element at at, if it lies within data and its length is in least form."""
     if at + 2 > len(data):
@@ -129,12 +142,13 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     blocks = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            body = decode64(re.sub(r"^[A-Za-z-]+: .*$", "", m[2], flags=re.M))
-            if body and (is_private_der(body) or is_openssh(body) or "Proc-Type: 4,ENCRYPTED" in m[2]):
+            inner = unescaped(m[2])
+            body = decode64(_HEADER.sub("", inner))
+            if body and (is_private_der(body) or is_openssh(body) or "Proc-Type: 4,ENCRYPTED" in inner):
                 blocks.append((m.start(), 4, m.end()))
     found += blocks
     inside = lambda at: any(a <= at < b for a, _, b in blocks)
-    for m in _BASE64.finditer(text):
+    for m in itertools.chain(_BASE64.finditer(text), _ESCAPED64.finditer(text) if "\\" in text else ()):
         data = decode64(m[0])
         if data and (is_private_der(data) or is_openssh(data)) and not inside(m.start()):
             found.append((m.start(), 5, m.end()))

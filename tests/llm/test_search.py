@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -65,6 +66,30 @@ def test_secrets_by_structure():
     assert kinds(encoded(ssh[:-5])) == []
 
 
+def test_secrets_pem_with_headers_or_escaped():
+    kinds = lambda text: [secrets.KINDS[k] for _, k, _ in secrets.spans(text) if k >= 3]
+    lines = lambda x: re.sub("(.{64})", r"\1\n", base64.b64encode(x).decode()).strip()
+    block = lambda body, name="PRIVATE KEY": f"-----BEGIN {name}-----\n{body}\n-----END {name}-----\n"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    encrypted = block(headers + lines(bytes(range(7, 103))), "RSA PRIVATE KEY")
+    plain = block(lines(PKCS8))
+    for text in (encrypted, plain, encrypted.replace("\n", "\r\n")):
+        for written in (text, json.dumps({"private_key": text}), json.dumps(json.dumps(text)), json.dumps(text).replace("/", "\\/").replace("+", "\\u002b").replace("=", "\\u003D")):
+            assert kinds(f"a - b\n{written} c -- d") == ["pem"], written
+            (start, _, end) = next(s for s in secrets.spans(written) if s[1] == 4)
+            assert written[start:end].startswith("-----BEGIN ") and written[start:end].endswith(" PRIVATE KEY-----")
+    assert kinds(encrypted + plain + encrypted) == ["pem"] * 3
+    assert kinds(block(headers + "no-base64!", "RSA PRIVATE KEY")) == []
+    assert kinds(block("Key-Info: none\n\n" + lines(bytes(range(7, 103))))) == []
+    # A block without an end does not take the next one's.
+    assert kinds("-----BEGIN PRIVATE KEY-----\nAAAA\n" + plain) == ["pem"]
+    assert kinds('"\\n' + base64.b64encode(PKCS8).decode() + '\\n"') == ["key"]
+    started = time.perf_counter()
+    for text in ("-----BEGIN PRIVATE KEY-----" * 20_000, "-----BEGIN PRIVATE KEY-----\n" + "-" * 500_000, "-----BEGIN " + "A " * 300_000, "\\" * 500_000):
+        assert kinds(text) == [] == kinds("-----BEGIN PRIVATE KEY-----" + text + "-----END PRIVATE KEY-----")
+    assert time.perf_counter() - started < 10
+
+
 def test_neighbours_recall(spark):
     table = spark.read.parquet(f"{DATA}/embeddings.parquet")
     rows = table.collect()
