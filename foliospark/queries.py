@@ -526,6 +526,19 @@ def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("inv_id", retrieve.facts_context({"Invoice": F.col("invoice_number"), "Total": F.col("total_amount")}, F.col("text"), 12).alias("context"))
 
 
+@registered(None)
+def chat_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled facts and as much of the text as facts_context takes; chat_context has two facts and 12 characters, as its SQL."""
+    docs = invoices(spark, sf_dir)
+    found = validate.validate(invoice.extract(docs), AS_OF).join(docs, "inv_id")
+    labelled = {
+        "Platform": "platform", "Invoice Number": "invoice_number", "Order ID": "order_number", "Date": "invoice_date", "Seller": "seller_name", "GSTIN": "seller_gst", "Buyer": "buyer_name", "Subtotal": "subtotal", "CGST": "cgst_amount",
+        "SGST": "sgst_amount", "IGST": "igst_amount", "Total Tax": "total_tax", "Discount": "discount", "Delivery": "delivery_charge", "Total": "total_amount", "Payment": "payment_method", "Validated": "passed",
+    }
+    known = {label: F.col(c) for label, c in labelled.items()} | {"Warnings": F.array_join("validation_warnings", "; ")}
+    return found.select("inv_id", retrieve.facts_context(known, F.col("text")).alias("context"))
+
+
 @registered(f"SELECT (i - 1)::INT AS priority, {_sql_list([*PLATFORMS, 'unknown'])}[i] AS platform FROM range(1, {len(PLATFORMS) + 2}) t(i)")
 def platform_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.platforms(spark)
