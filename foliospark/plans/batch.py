@@ -33,9 +33,9 @@ def counts(results: DataFrame) -> DataFrame:
     )
 
 
-def flat(invoices: DataFrame) -> DataFrame:
-    """The export's columns as text, empty where nothing was found; columns that are missing too."""
-    return invoices.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in invoices.columns else F.lit("").alias(c) for c in EXPORT])
+def flat(invoices: DataFrame, *keys: str) -> DataFrame:
+    """keys, then the export's columns as text, empty where nothing was found; columns that are missing too."""
+    return invoices.select(*keys, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in invoices.columns else F.lit("").alias(c) for c in EXPORT])
 
 
 def write_csv(invoices: DataFrame, path: str) -> None:

@@ -284,6 +284,12 @@ def export_flat_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("inv_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("platform", "seller_gst", "invoice_number", "total_tax", "total_amount")], F.lit(len(wide)).alias("n_columns"))
 
 
+@registered(None)
+def export_flat_csv_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the export; export_flat_csv has five of them, as its SQL."""
+    return batch.flat(invoice.extract(invoices(spark, sf_dir)), "inv_id")
+
+
 _LLM = ("invoice_number", "seller_gst", "total_amount")
 
 
@@ -326,6 +332,12 @@ def field_value_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.field_values(found)
 
 
+@registered(None)
+def field_value_sheet_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each filled column of the export; field_value_sheet has four of them, as its SQL."""
+    return batch.field_values(invoice.extract(invoices(spark, sf_dir)))
+
+
 # --- retrieval ------------------------------------------------------------------------------------------
 
 

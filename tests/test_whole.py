@@ -3,6 +3,7 @@
 import pytest
 
 from foliospark import queries
+from foliospark.plans import batch
 from foliospark.sources import render
 
 DATA = "/root/testdata/sf0.001"
@@ -49,3 +50,16 @@ def test_chat_context_whole(spark, facts):
         rest = r["context"][len(head) + 1 : -len(text)].strip("\n")
         assert rest.startswith("Warnings: ") if fault in (1, *FAILED) else rest == ""
         assert fault not in warnings or rest == f"Warnings: {warnings[fault]}"
+
+
+def test_export_and_sheet_whole(spark, facts):
+    wide = queries.export_flat_csv_whole(spark, DATA)
+    assert wide.columns == ["inv_id", *batch.EXPORT] and len(batch.EXPORT) == 36
+    want = {i: stated(r) for i, r in facts.items()}
+    got = wide.collect()
+    assert len(got) == len(facts)
+    for r in got:
+        filled = {c: r[c] for c in batch.EXPORT if r[c]}
+        assert filled == want[r["inv_id"]] and None not in tuple(r)
+    sheet = sorted(map(tuple, queries.field_value_sheet_whole(spark, DATA).select("inv_id", "field", "value").collect()))
+    assert sheet == sorted((i, field, value) for i, fields in want.items() for field, value in fields.items())
