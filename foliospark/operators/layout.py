@@ -124,6 +124,25 @@ def columns_by_amounts(rows: DataFrame, width: float) -> DataFrame:
 FALLBACK_COLUMNS = {"date": (0.0, 0.14), "narration": (0.14, 0.5), "ref": (0.5, 0.58), "debit": (0.58, 0.72), "credit": (0.72, 0.86), "balance": (0.86, 1.0)}
 
 
+def columns_of_pages(rows: DataFrame, width: float) -> DataFrame:
+    """(doc_id, page, column, lo, hi) for every page: by its header row, else by its amounts, else FALLBACK_COLUMNS.
+
+    By amounts, a column reaches 11 % of the width to either side; the date lies left of 11 %, the narration between.
+    """
+    page = ["doc_id", "page"]
+    by_header = columns_by_header(rows, width)
+    range_ = lambda column, lo, hi: F.struct(F.lit(column).alias("column") if isinstance(column, str) else column.alias("column"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    reach, start = 0.11 * width, F.lit(0.11 * width)
+    left = F.min("center") - reach
+    end = F.when((left - start > 0.30 * width) & (F.count("*") >= 3), F.lit(0.50 * width)).otherwise(left)
+    amounts = F.collect_list(range_(F.col("column"), F.col("center") - reach, F.col("center") + reach))
+    by_amounts = columns_by_amounts(rows, width).groupBy(*page).agg(F.concat(amounts, F.array(range_("date", F.lit(0.0), start), range_("narration", start, end))).alias("found"))
+    fixed = F.array(*[range_(c, F.lit(lo * width), F.lit(hi * width)) for c, (lo, hi) in FALLBACK_COLUMNS.items()])
+    bare = rows.select(*page).distinct().join(by_header.select(*page).distinct(), page, "left_anti")
+    rest = bare.join(by_amounts, page, "left").select(*page, F.explode(F.coalesce("found", fixed)).alias("f")).select(*page, "f.column", "f.lo", "f.hi")
+    return by_header.unionByName(rest)
+
+
 def cells(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """(doc_id, page, row_id, column, text): words whose middle lies in a column's range, from left to right.
 

@@ -467,9 +467,9 @@ def region_relabel_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN is_debit THEN amount::DOUBLE END AS debit, CASE WHEN NOT is_debit THEN amount::DOUBLE END AS credit, balance::DOUBLE AS balance FROM lines"""
 )
 def words_to_cells_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word boxes to rows, columns by the header row, words into cells by range."""
+    """Word boxes to rows, columns by the header row or what else tells, words into cells by range."""
     rows = layout.cluster_rows(render.word_boxes(read(spark, sf_dir, "events")))
-    found = layout.transactions_of_cells(layout.cells(rows, layout.columns_by_header(rows, 800.0)))
+    found = layout.transactions_of_cells(layout.cells(rows, layout.columns_of_pages(rows, 800.0)))
     return found.select("doc_id", "page", "row_id", "date", "narration", *[text.parse_amount(F.col(c)).cast("double").alias(c) for c in ("debit", "credit", "balance")])
 
 

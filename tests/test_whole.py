@@ -3,6 +3,7 @@
 import pytest
 
 from foliospark import queries
+from foliospark.operators import layout
 from foliospark.plans import batch
 from foliospark.sources import render
 
@@ -63,3 +64,25 @@ def test_export_and_sheet_whole(spark, facts):
         assert filled == want[r["inv_id"]] and None not in tuple(r)
     sheet = sorted(map(tuple, queries.field_value_sheet_whole(spark, DATA).select("inv_id", "field", "value").collect()))
     assert sheet == sorted((i, field, value) for i, fields in want.items() for field, value in fields.items())
+
+
+def test_pages_without_header(spark):
+    boxes = []
+
+    def line(page, y, words):
+        boxes.extend((1, page, len(boxes), t, a, y - 8.0, b, y + 8.0) for t, a, b in words)
+
+    for page in (0, 1):
+        if page == 0:
+            line(page, 20.0, [("Date", 20.0, 60.0), ("Narration", 140.0, 220.0), ("Debit", 430.0, 480.0), ("Credit", 550.0, 600.0), ("Balance", 690.0, 760.0)])
+        line(page, 50.0, [("01/02/2024", 20.0, 80.0), ("SHOP", 140.0, 220.0), ("10.00", 420.0, 490.0), ("990.00", 680.0, 770.0)])
+        line(page, 80.0, [("02/02/2024", 20.0, 80.0), ("PAY", 140.0, 220.0), ("20.00", 540.0, 610.0), ("1,010.00", 680.0, 770.0)])
+    line(2, 50.0, [("03/02/2024", 20.0, 80.0), ("NOTICE", 140.0, 220.0)])
+    frame = spark.createDataFrame(boxes, "doc_id long, page int, word_id int, text string, x1 double, y1 double, x2 double, y2 double")
+    rows = layout.cluster_rows(frame)
+    columns = layout.columns_of_pages(rows, 800.0)
+    got = layout.transactions_of_cells(layout.cells(rows, columns)).select("page", "date", "narration", "debit", "credit", "balance").collect()
+    shop, pay = ("SHOP", "10.00", None, "990.00"), ("PAY", None, "20.00", "1,010.00")
+    cells = sorted((r["page"], r["date"], r["narration"].split()[-1], *tuple(r)[3:]) for r in got)
+    assert cells == [(p, d, *x) for p in (0, 1) for d, x in (("01/02/2024", shop), ("02/02/2024", pay))] + [(2, "03/02/2024", "NOTICE", None, None, None)]
+    assert {r["column"] for r in columns.where("page = 2").collect()} == set(layout.FALLBACK_COLUMNS)
