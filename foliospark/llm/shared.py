@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
+from typing import ClassVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,37 +24,72 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share; one of our own only where all run in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         import tempfile
 
-        found = tempfile.mkdtemp(prefix="foliospark-")
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """docs with columns of these names under others, and how to select each column of docs back."""
-    other = {c: f"_fs_own_{c}" if c in names else c for c in docs.columns}
-    return docs.withColumnsRenamed({a: b for a, b in other.items() if a != b}), {a: F.col(b).alias(a) for a, b in other.items()}
+def sealed(docs: DataFrame, uses: tuple[str, ...]) -> tuple[DataFrame, dict[int, Column]]:
+    """docs with every column but those that an operator uses under a name that clashes with none, and the way back.
+
+    Columns are renamed by place, so dots, names of the operator's own and names that differ by case do no
+    harm. The second value has, for the place of each column, the column under its own name.
+    """
+    names = [c if c in uses else f"own {i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), {i: F.col(f"`{n}`").alias(c) for i, (n, c) in enumerate(zip(names, docs.columns, strict=True))}
 
 
 class Kept:
-    """A DataFrame written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """A DataFrame written to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    The files go with drop(), at the end of the scope in which they were written, or with the application.
+    """
+
+    open: ClassVar[list[Kept]] = []
+    written: ClassVar[bool] = False
 
     def __init__(self, frame: DataFrame, name: str):
         spark = frame.sparkSession
         self.path = f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
+        self._at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not Kept.written:
+            Kept.written = True
+            atexit.register(_drop_all)
+        Kept.open.append(self)
         frame.write.parquet(self.path)
         self.frame = spark.read.schema(frame.schema).parquet(self.path)
 
     def drop(self) -> None:
-        """Delete the files; for intermediate tables that nothing lazy reads any more."""
-        jvm, conf = self.frame.sparkSession._jvm, self.frame.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(conf).delete(path, True)
+        """Delete the files; for tables that nothing lazy reads any more."""
+        if self in Kept.open:
+            Kept.open.remove(self)
+        with contextlib.suppress(Exception):  # what is left goes with the folder
+            self._files.delete(self._at, True)
+
+
+def _drop_all() -> None:
+    for table in list(Kept.open):
+        table.drop()
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[list[Kept]]:
+    """Tables kept within are deleted at the end but for those in the list that it gives; what reads them has to be written by then."""
+    before, spared = list(Kept.open), []
+    try:
+        yield spared
+    finally:
+        for table in list(Kept.open):
+            if table not in before and table not in spared:
+                table.drop()
 
 
 def fold(column: str, buckets: int) -> Column:
@@ -56,12 +97,17 @@ def fold(column: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
 
 
-def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out: int = 0, folds: int = 5) -> DataFrame:
-    """Texts of at most ``most`` labelled documents outside the held-out fold, with 0/1 label and weight.
+#: Bytes of text that a training sample may have in all; it goes to the driver.
+SAMPLE_BYTES = 24 << 20
+
+
+def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out: int = 0, folds: int = 5, most_bytes: int = SAMPLE_BYTES) -> pa.Table:
+    """(doc_id, text, y, weight) of at most ``most`` labelled documents outside the held-out fold, by doc_id.
 
     Up to half of the sample is positive and up to half negative, each the first by hash of the id, so
-    reruns agree; the weights restore the shares among all labelled rows. Labels of one id are averaged
-    (a half counts as 1); null ids, labels and texts are left out.
+    reruns agree; a text that no longer fits into ``most_bytes`` is passed over. The weights restore the
+    shares among all labelled rows. Labels of one id are averaged (a half counts as 1); null ids, labels and
+    texts are left out.
     """
     y = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held_out))
@@ -71,12 +117,30 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, most: int, he
     counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     half = most // 2
     parts = [y.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for v in (0, 1)]
-    share = {v: max(1.0, counts.get(v, 0) / half) for v in (0, 1)}
     ids = parts[0].unionByName(parts[1])
     # The ids number ``most`` at most, so this side is small whatever the corpus holds.
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
-    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    return found.withColumn("weight", F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    found = Kept(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample")
+    sizes = found.frame.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fits, held = [], 0
+    for r in sizes:
+        if held + r["size"] <= most_bytes:
+            held += r["size"]
+            fits.append((r["doc_id"],))
+    frame = found.frame
+    if len(fits) < len(sizes):
+        chosen = docs.sparkSession.createDataFrame(fits, frame.select("doc_id").schema)
+        frame = frame.join(F.broadcast(chosen), "doc_id", "left_semi")
+    sample = frame.select("doc_id", "text", "y").toArrow().sort_by("doc_id").combine_chunks()
+    found.drop()
+    y, weight = sample.column("y").to_numpy(), np.ones(sample.num_rows)
+    for v in (0, 1):
+        weight[y == v] = max(1.0, counts.get(v, 0) / max(1, (y == v).sum()))
+    return sample.append_column("weight", pa.array(weight))
+
+
+def id_type(docs: DataFrame, column: str = "doc_id") -> str:
+    return docs.schema[column].dataType.simpleString()
 
 
 class Scratch:
