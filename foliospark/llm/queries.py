@@ -86,7 +86,8 @@ reach AS (SELECT doc_id, doc_id AS seen FROM sizes UNION SELECT r.doc_id, e.b FR
 SELECT s.doc_id, s.n_shingles, (SELECT min(seen) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id FROM sizes s
 """,
     "op5_mix_sources": rf"""
-WITH sized AS (SELECT doc_id, source, {_SIZE} AS size FROM documents),
+WITH hashed AS (SELECT doc_id, source, {_SIZE} AS size, md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')), CASE WHEN source IS NULL THEN '' ELSE '=' || source END)) AS row_hash FROM documents),
+sized AS (SELECT *, row_number() OVER (PARTITION BY row_hash) AS nth FROM hashed),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w FROM sized GROUP BY source),
 run AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total,
   coalesce(sum(source_size * 3) OVER before, 0)::BIGINT AS capped,
@@ -96,7 +97,7 @@ capped AS (SELECT *, (total - capped) * w >= source_size * 3 * w_left AS at_cap
 level AS (SELECT *, arg_min(capped, capped) FILTER (NOT at_cap) OVER () AS lc, arg_min(w_left, capped) FILTER (NOT at_cap) OVER () AS lw FROM capped),
 goal AS (SELECT source, source_size, CASE WHEN at_cap THEN (source_size * 3)::DOUBLE ELSE (total - lc)::DOUBLE * w / lw END AS target FROM level),
 rated AS (SELECT s.doc_id, s.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-  ('0x' || substr(md5('17:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS coin
+  ('0x' || substr(md5('17:' || s.row_hash || ':' || s.nth), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS coin
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated
 """,
