@@ -4,7 +4,7 @@ A document is a bag of passages of 64 words. Each passage is encoded: shares of
 character classes, word statistics, hashed words, and how much of it repeats elsewhere in the document. A small net
 maps it to a hidden vector, gated attention weighs the passages (softmax of w . (tanh(V h) * sigmoid(U h))),
 and the weighted sum is classified. All of it is learned from document labels, on the driver, from a bounded
-sample of labelled documents (MOST_DOCS); scoring is one pass over all texts.
+sample of labelled documents (MOST_DOCS, SAMPLE_BYTES); scoring is one pass over all texts.
 
 Defined results: null and empty texts have one passage without words and are scored like any other;
 labels that contradict each other are averaged; without labels of both kinds everything scores the share
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernel import DARK, U, Slice, mix, slices, windows
-from foliospark.llm.shared import sampled_labels
+from foliospark.llm.shared import id_type, sampled_labels, sealed
 from foliospark.ship import ship
 
-#: Bound of the training sample, half of it for either label.
+#: Bound of the training sample, half of it for either label (and SAMPLE_BYTES of text in all).
 MOST_DOCS = 4000
 WORDS, BUCKETS = 64, 64
 THRESHOLD = 0.3
@@ -158,7 +158,7 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, hidden: int = 32, ga
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: int = 0, folds: int = 5, most: int = MOST_DOCS) -> Model | float:
     """A model, or the share of label 1 where there is but one label."""
-    sample = sampled_labels(docs, labels, label, most, held_out, folds).toArrow().sort_by("doc_id").combine_chunks()
+    sample = sampled_labels(docs, labels, label, most, held_out, folds)
     y = sample.column("y").to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -189,7 +189,8 @@ def _score(model: Model | float):
 def score(docs: DataFrame, model: Model | float, held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, top_attention) of docs (doc_id, text)."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, top_attention double")
+    docs, _ = sealed(docs, ("doc_id", "text"))
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_score(model), f"doc_id {id_type(docs)}, held_out boolean, score double, top_attention double")
 
 
 def predicted(threshold: float = THRESHOLD) -> Column:

@@ -1,8 +1,8 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learned from document labels.
 
-A sentence ends at . ! ? or a line end, or after 40 words. Its score is a logistic function of hashed words
-and word beginnings; a document is toxic unless none of its sentences is: p = 1 - product(1 - p_s). Weights
-are fitted on the driver from a bounded sample of labelled documents (MOST_DOCS); scoring is one pass over
+A sentence ends at . ! ? or a line end, or after 40 words. Its score is a logistic function of the hashed words
+and word beginnings that it has, however often; a document is toxic unless none of its sentences is: p = 1 - product(1 - p_s). Weights
+are fitted on the driver from a bounded sample of labelled documents (MOST_DOCS, SAMPLE_BYTES); scoring is one pass over
 all texts, and returns the sentences that offend.
 
 Defined results: null and empty texts have no sentence and score 0; labels that contradict each other are
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernel import ALNUM, U, Slice, mix, slices
-from foliospark.llm.shared import sampled_labels
+from foliospark.llm.shared import id_type, sampled_labels, sealed
 from foliospark.ship import ship
 
-#: Bound of the training sample, half of it for either label.
+#: Bound of the training sample, half of it for either label (and SAMPLE_BYTES of text in all).
 MOST_DOCS = 4000
 BITS, WORDS = 18, 40
 #: Beginnings of words, in bytes.
@@ -110,7 +110,7 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, steps: int = 150, ra
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, folds: int = 5, most: int = MOST_DOCS) -> Model | None:
-    sample = sampled_labels(docs, labels, label, most, held_out, folds).toArrow().sort_by("doc_id").combine_chunks()
+    sample = sampled_labels(docs, labels, label, most, held_out, folds)
     if not sample.num_rows:
         return None
     return fit(sample.column("text").combine_chunks(), sample.column("y").to_numpy(), sample.column("weight").to_numpy())
@@ -121,9 +121,13 @@ def score_slice(s: Slice, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     start, end, sentence, first, text = sentences(s)
     if not len(start):
         return np.zeros(len(s)), text, start, end, np.zeros(0)
-    z = np.full(len(text), model.bias)
+    # Whether a sentence has a feature counts, not how often; so it was fitted.
+    keys = []
     for words, bucket in features(s, start, end):
-        z += np.bincount(sentence[words], model.weights[bucket], minlength=len(text))
+        counts = np.flatnonzero(model.weights[bucket])
+        keys.append(sentence[words[counts]] << BITS | bucket[counts])
+    keys = np.unique(np.concatenate(keys))
+    z = model.bias + np.bincount(keys >> BITS, model.weights[keys & ((1 << BITS) - 1)], minlength=len(text))
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     none = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(s))
     last = np.append(first[1:], len(start)) - 1
@@ -155,13 +159,14 @@ def _score(model: Model | None):
 def score(docs: DataFrame, model: Model | None, held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, offending) of docs (doc_id, text); offending: sentences of THRESHOLD or more, in code points."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_score(model), f"doc_id long, held_out boolean, score double, offending {_SPANS}")
+    docs, _ = sealed(docs, ("doc_id", "text"))
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_score(model), f"doc_id {id_type(docs)}, held_out boolean, score double, offending {_SPANS}")
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score threshold or more; columns as they came."""
     ship(docs.sparkSession)
-    schema = docs.schema
+    docs, back = sealed(docs, ("text",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +175,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
                 scores[s.first : s.first + len(s)] = score_slice(s, model)[0]
             yield batch.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema).select(*back.values())
 
 
 def predicted(threshold: float = THRESHOLD) -> Column:
