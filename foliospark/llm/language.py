@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernel import U, mix
+from foliospark.llm.shared import id_type, sealed
 from foliospark.ship import ship
 
 BUCKETS = 1 << 15
@@ -27,24 +28,27 @@ BUCKETS = 1 << 15
 RANKS = 400
 
 
+#: Counts of a language are added up in so many parts, whose best are then put together.
+PARTS = 64
+
+
 @lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """For each code point: itself if it is a letter or a mark, else 0."""
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: itself if it is a letter or a mark (which goes on with a word), else 0; and whether it is a letter."""
     import unicodedata
 
-    out = np.zeros(0x110000, np.uint32)
-    for c in range(0x110000):
-        if unicodedata.category(chr(c))[0] in "LM":
-            out[c] = c
-    return out
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    kind = np.array(kinds)
+    return np.where(np.isin(kind, ("L", "M")), np.arange(0x110000, dtype=np.uint32), np.uint32(0)), kind == "L"
 
 
 def grams(text: str) -> np.ndarray:
     """Buckets of all n-grams of a text; empty if it has no letter."""
     raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _letters()[raw]
-    if not c.any():
+    dark, letter = _letters()
+    if not letter[raw].any():
         return np.zeros(0, np.int64)
+    c = dark[raw]
     blank = c == 0
     c = c[~(blank & np.concatenate(([False], blank[:-1])))]
     c = np.concatenate(([0] * int(c[0] != 0), c, [0] * int(c[-1] != 0))).astype(U)
@@ -63,44 +67,59 @@ def top(counts: np.ndarray, most: int = RANKS) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, part, counts): this task's counts of each language, one row for each part that has any."""
     total: dict[str, np.ndarray] = {}
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["lang", "counts"])
+    def out() -> pa.RecordBatch:
+        rows = [(lang, i, part.tobytes()) for lang, counts in total.items() for i, part in enumerate(np.split(counts, PARTS)) if part.any()]
+        langs, parts, counts = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], names=["lang", "part", "counts"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             counts = np.bincount(grams(text.as_py()), minlength=BUCKETS)
             total[lang] = total[lang] + counts if lang in total else counts
-            if len(total) > 200:
+            if len(total) > 100:
                 yield out()
                 total.clear()
-    if total:
-        yield out()
+    yield out()
+
+
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, best) of rows sorted by (lang, part): the RANKS largest counts of each part with their buckets."""
+    key, total = None, None
 
+    def out() -> pa.RecordBatch:
+        at = top(total)
+        best = [{"less": -int(total[b]), "bucket": int(b) + key[1] * len(total)} for b in at]
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([best], _BEST)], names=["lang", "best"])
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of rows sorted by lang; one language is held at a time."""
-    lang, total = None, None
     for batch in batches:
-        for name, counts in zip(batch.column("lang").to_pylist(), batch.column("counts"), strict=True):
+        for lang, part, counts in zip(batch.column("lang").to_pylist(), batch.column("part").to_pylist(), batch.column("counts"), strict=True):
             counts = np.frombuffer(counts.as_buffer(), np.int64)
-            if name != lang:
-                if total is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([top(total).tolist()], pa.list_(pa.int32()))], names=["lang", "profile"])
-                lang, total = name, counts
-            else:
+            if (lang, part) == key:
                 total = total + counts
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([top(total).tolist()], pa.list_(pa.int32()))], names=["lang", "profile"])
+                continue
+            if key:
+                yield out()
+            key, total = (lang, part), counts
+    if key:
+        yield out()
+
+
+_BEST = pa.list_(pa.struct([("less", pa.int64()), ("bucket", pa.int32())]))
 
 
 def learn_profiles(docs: DataFrame) -> dict[str, list[int]]:
     """Profiles from docs (text, lang): one list of RANKS buckets a language, all that reaches the driver."""
     ship(docs.sparkSession)
+    docs, _ = sealed(docs, ("lang", "text"))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    summed = known.mapInArrow(_count, "lang string, counts binary").repartition("lang").sortWithinPartitions("lang").mapInArrow(_add, "lang string, profile array<int>")
-    return {r["lang"]: r["profile"] for r in sorted(summed.collect()) if r["profile"]}
+    counted = known.mapInArrow(_count, "lang string, part int, counts binary").repartition("lang", "part").sortWithinPartitions("lang", "part")
+    best = counted.mapInArrow(_best, "lang string, best array<struct<less:bigint,bucket:int>>")
+    # PARTS rows of RANKS pairs a language at most.
+    whole = best.groupBy("lang").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, RANKS)["bucket"].alias("profile"))
+    return {r["lang"]: r["profile"] for r in sorted(whole.collect())}
 
 
 def _predict(profiles: dict[str, list[int]]):
@@ -131,4 +150,5 @@ def _predict(profiles: dict[str, list[int]]):
 def identify(docs: DataFrame, held_out: Column, profiles: dict[str, list[int]]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of docs (doc_id, text); score: 1 at distance 0, 0 at the largest."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_predict(profiles), "doc_id long, held_out boolean, lang_pred string, score double")
+    docs, _ = sealed(docs, ("doc_id", "text"))
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_predict(profiles), f"doc_id {id_type(docs)}, held_out boolean, lang_pred string, score double")
