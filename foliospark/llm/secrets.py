@@ -3,10 +3,11 @@
 Base kinds (assign, access, hex) are exactly those of the published contract. The method adds, after
 structural confirmation only:
 
-- ``jwt``: three base64url parts whose first decodes to a JSON object with an ``alg`` string and whose
-  second decodes to a JSON object;
-- ``pem``: a PRIVATE KEY block whose body decodes to DER with exact nested lengths, or to an OpenSSH key, or that has
-  the header of an encrypted one and decodes; as it is or escaped in a string literal;
+- ``jwt``: three base64url parts whose first decodes to a JSON object with an ``alg`` string, whose second
+  decodes to a JSON object, and whose third decodes (is empty, where alg is none);
+- ``pem``: a PRIVATE KEY block whose body decodes to the DER of a key, parsed down to its last element, or to an
+  OpenSSH key, or that has the headers of an encrypted one and decodes to whole blocks of a cipher; as it is or
+  escaped in a string literal;
 - ``key``: bare base64, or hex of whole bytes, that decodes to the DER of a private key, or to an OpenSSH
   private key.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import itertools
 import json
 import re
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from foliospark.llm.shared import id_type, sealed
 from foliospark.ship import ship
 
 #: In the order in which kinds are listed where spans start together.
@@ -82,39 +85,113 @@ def _header(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (tag, start, start + length) if start + length <= len(data) else None
 
 
-def is_private_der(data: bytes) -> bool:
-    """PKCS#1, PKCS#8 (plain or encrypted), SEC1 or DSA: one sequence over all bytes, elements that fill it."""
-    outer = _header(data, 0)
-    if not outer or outer[0] != 0x30 or outer[2] != len(data):
-        return False
-    found, at = [], outer[1]
-    while at < len(data):
+def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the elements that fill data from at to end; None if they don't."""
+    found = []
+    while at < end:
         element = _header(data, at)
-        if not element:
-            return False
+        if not element or element[2] > end:
+            return None
         found.append(element)
         at = element[2]
-    tags = [tag for tag, _, _ in found]
-    if len(tags) >= 3 and tags[0] == 0x02 and found[0][2] - found[0][1] == 1 and data[found[0][1]] in (0, 1):
-        return tags[1:3] == [0x30, 0x04] or tags[1] == 0x04 or tags[:9] == [0x02] * 9 or tags == [0x02] * 6
-    # An encrypted key: an algorithm with an identifier, then octets.
-    return tags == [0x30, 0x04] and (_header(data, found[0][1]) or (0,))[0] == 0x06
+    return found
+
+
+def is_der(data: bytes, start: int, end: int) -> bool:
+    """Whether elements fill the range, and so on within each that is made of others; plain ones hold what their tag allows."""
+    todo = [(start, end)]
+    while todo:
+        found = _elements(data, *todo.pop())
+        if not found:
+            return False
+        for tag, a, b in found:
+            if tag & 0x20:
+                if a < b:
+                    todo.append((a, b))
+            elif tag == 0x02 and (a == b or (b - a > 1 and data[a] in (0, 0xFF) and data[a] >> 7 == data[a + 1] >> 7)):
+                return False
+            elif (tag == 0x05 and a != b) or (tag == 0x06 and (a == b or data[b - 1] & 0x80)) or (tag == 0x03 and (a == b or data[a] > 7)):
+                return False
+    return True
+
+
+#: Object identifiers, DER-encoded: fixed values of PKCS #1, #5 and #12, X9.62 and RFC 8410.
+_RSA, _EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+_CURVES = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def _is_inner_key(kind: bytes, data: bytes) -> bool:
+    """The octets of a PKCS#8 key of this kind, parsed in their turn."""
+    outer = _header(data, 0)
+    if not outer or outer[2] != len(data):
+        return False
+    if kind in _CURVES:
+        return outer[0] == 0x04 and outer[2] - outer[1] == _CURVES[kind]
+    if not is_der(data, 0, len(data)):
+        return False
+    if kind in (_RSA, _EC):
+        tags = [tag for tag, _, _ in _elements(data, outer[1], outer[2]) or ()] if outer[0] == 0x30 else []
+        return tags[:9] == [0x02] * 9 if kind == _RSA else tags[:2] == [0x02, 0x04]
+    return True
+
+
+def is_private_der(data: bytes) -> bool:
+    """PKCS#1, PKCS#8 (plain or encrypted), SEC1 or DSA: one sequence over all bytes, parsed down to its last element."""
+    outer = _header(data, 0)
+    if not outer or outer[0] != 0x30 or outer[2] != len(data) or not is_der(data, 0, len(data)):
+        return False
+    found = _elements(data, outer[1], outer[2]) or []
+    tags, part = [tag for tag, _, _ in found], [data[a:b] for _, a, b in found]
+
+    def identifier(at: int) -> bytes | None:
+        first = _header(data, found[at][1]) if found[at][1] < found[at][2] else None
+        return data[first[1] : first[2]] if first and first[0] == 0x06 else None
+
+    if tags[:1] == [0x02] and part[0] in (b"\0", b"\1"):
+        if tags[1:3] == [0x30, 0x04]:
+            kind = identifier(1)
+            return kind is not None and _is_inner_key(kind, part[2])
+        return (tags[1:2] == [0x04] and part[0] == b"\1") or tags[:9] == [0x02] * 9 or tags == [0x02] * 6
+    # An encrypted key: the identifier of a cipher by password, then octets. (A signed digest has the same shape, but a hash's.)
+    return tags == [0x30, 0x04] and len(part[1]) > 0 and (identifier(0) or b"").startswith(_ENCRYPTION)
+
+
+def _fields(data: bytes, at: int, most: int) -> tuple[list[bytes], int] | None:
+    """Up to ``most`` fields with four bytes of length before each, and where they end."""
+    out = []
+    while at < len(data) and len(out) < most:
+        start = at + 4
+        at = start + int.from_bytes(data[at:start], "big")
+        if start > len(data) or at > len(data):
+            return None
+        out.append(data[start:at])
+    return out, at
+
+
+#: Ciphers that append a tag of 16 bytes.
+_TAGGED = (b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com")
 
 
 def is_openssh(data: bytes) -> bool:
-    """Length-prefixed cipher, derivation, options; the number of keys; a public and a private part to the end."""
+    """Cipher, derivation and options; the number of keys; as many public keys, of fields themselves; the private part to the last byte."""
     if not data.startswith(_SSH):
         return False
-    at = len(_SSH)
-    for step in range(5):
-        if step == 3:
-            at += 4
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        if step == 3 and not data[at - 1 : at]:
-            return False
-    return at <= len(data)
+    head = _fields(data, len(_SSH), 3)
+    if not head or len(head[0]) < 3:
+        return False
+    (cipher, _, _), at = head
+    n = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= n <= len(data):
+        return False
+    keys = _fields(data, at + 4, n + 1)
+    if not keys or len(keys[0]) <= n or len(data) - keys[1] != (16 if cipher in _TAGGED else 0):
+        return False
+    private = keys[0][n]
+    if cipher == b"none" and (len(private) < 8 or private[:4] != private[4:8]):
+        return False
+    public = (_fields(key, 0, len(key)) for key in keys[0][:n])
+    return all(found and found[0] and found[0][0] for found in public)
 
 
 def _object(text: str) -> dict | None:
@@ -137,17 +214,20 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             head = _object(m[1])
-            if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
+            signed = bool(m[3]) and decode64(m[3]) is not None
+            if head and isinstance(head.get("alg"), str) and signed == (head["alg"].lower() != "none") and _object(m[2]) is not None:
                 found.append((m.start(), 3, m.end()))
     blocks = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
             inner = unescaped(m[2])
             body = decode64(_HEADER.sub("", inner))
-            if body and (is_private_der(body) or is_openssh(body) or "Proc-Type: 4,ENCRYPTED" in inner):
+            encrypted = "Proc-Type: 4,ENCRYPTED" in inner and "DEK-Info: " in inner and body and len(body) % 8 == 0
+            if body and (is_private_der(body) or is_openssh(body) or encrypted):
                 blocks.append((m.start(), 4, m.end()))
     found += blocks
-    inside = lambda at: any(a <= at < b for a, _, b in blocks)
+    starts = [a for a, _, _ in blocks]
+    inside = lambda at: bool(n := bisect.bisect_right(starts, at)) and at < blocks[n - 1][2]
     for m in itertools.chain(_BASE64.finditer(text), _ESCAPED64.finditer(text) if "\\" in text else ()):
         data = decode64(m[0])
         if data and (is_private_der(data) or is_openssh(data)) and not inside(m.start()):
@@ -174,4 +254,5 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, secrets: array<struct<kind, start, end, text>>) of docs (doc_id, text); code points, end exclusive."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_find, f"doc_id long, secrets {_SCHEMA}")
+    docs, _ = sealed(docs, ("doc_id", "text"))
+    return docs.select("doc_id", "text").mapInArrow(_find, f"doc_id {id_type(docs)}, secrets {_SCHEMA}")
