@@ -6,12 +6,16 @@ leaks an item if some WINDOW words in a row of it agree with the item but for at
 masks together hit every such window: whichever two words differ, one mask has a place that ignores them.
 
 Shorter items must agree whole, with proportionally fewer substitutions, and get a mask of words in a row
-that such agreement always contains; items under SHORTEST words are left out, as they say nothing.
+that such agreement always contains; items under ``shortest`` words say little by themselves and leak only
+into texts that have these words and no others (with shortest=1, into any text that has them in a row).
 
-Words are runs of ASCII letters, digits and anything beyond ASCII, lower-cased; punctuation never counts.
+Words are runs of ASCII letters, digits and anything beyond ASCII, lower-cased; punctuation never counts. In
+scripts without spaces (Chinese, Japanese, Thai, Lao) each character is a word.
 A table of bits of fixed size tells documents' seeds that occur nowhere in the benchmark before anything is
 joined. The benchmark's seeds are sent to every executor up to BROADCAST_SEEDS rows and joined by shuffle beyond.
 
+Equal surroundings of a seed are verified once, however many items have them.
+
 Defined results: null and empty texts hold nothing; a null doc_id or item_id is carried as it is; rows that
 repeat an id give one row with it.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernel import ALNUM, U, Slice, mix, slices
-from foliospark.llm.shared import Kept, Scratch
+from foliospark.llm.shared import Kept, id_type, sealed
 from foliospark.ship import ship
 
 WINDOW, SUBSTITUTIONS, SHORTEST = 13, 2, 5
@@ -35,7 +39,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: Words kept around a seed for verification: no window that holds a seed reaches further.
 BEFORE, AFTER = 10, 12
 BROADCAST_SEEDS = 200_000
-_ITEM = "seed long, item_id long, width int, item_words binary"
+#: Beyond it, seeds are joined in so many parts each.
+SALTS = 16
 
 
 def short_mask(n: int) -> tuple[int, ...]:
@@ -58,6 +63,15 @@ def seeds(words: np.ndarray, text: np.ndarray, mask: tuple[int, ...]) -> tuple[n
 
 def _words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end, text = s.words(ALNUM)
+    lead = s.data[:-2]
+    alone = np.flatnonzero(((lead >= 0xE3) & (lead <= 0xE9)) | ((lead == 0xE0) & (s.data[1:-1] >= 0xB8) & (s.data[1:-1] <= 0xBB))) if len(s.data) > 2 else lead
+    if len(alone):
+        cut = np.union1d(alone, alone + 3)
+        cut = cut[cut < len(s.data)]
+        word = np.searchsorted(start, cut, "right") - 1
+        cut = cut[(word >= 0) & (cut > start[word]) & (cut < end[word])]
+        start, end = np.union1d(start, cut), np.union1d(end, cut)
+        text = np.searchsorted(s.offsets, start, "right") - 1
     words = s.hashes(s.sums(latin=True), start, end)
     return words, text, (words >> U(32)).astype(np.uint32) | np.uint32(1)
 
@@ -71,39 +85,49 @@ def _around(short: np.ndarray, text: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in np.where(inside, short[place], 0).astype(np.uint32)], pa.binary())
 
 
-def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("item_id").to_pylist()
-        for s in slices(batch.column("text")):
-            words, text, short = _words(s)
-            bounds = s.bounds(text)
-            for i in range(len(s)):
-                a, b = bounds[i], bounds[i + 1]
-                if b - a < SHORTEST:
-                    continue
-                for mask in MASKS if b - a >= WINDOW else (short_mask(int(b - a)),):
-                    seed, at = seeds(words[a:b], text[a:b], mask)
-                    n = len(seed)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(seed.view(np.int64)), pa.array([ids[s.first + i]] * n, pa.int64()), pa.array([min(int(b - a), WINDOW)] * n, pa.int32()), _around(short[a:b], text[a:b], at), pa.array([",".join(map(str, mask))] * n)],
-                        names=["seed", "item_id", "width", "item_words", "mask"],
-                    )
-
-
-def _document_seeds(masks: list[tuple[int, ...]], bits: int, table):
+def _item_seeds(shortest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("item_id")
+            for s in slices(batch.column("text")):
+                words, text, short = _words(s)
+                bounds = s.bounds(text)
+                for i in range(len(s)):
+                    a, b = bounds[i], bounds[i + 1]
+                    # An item that says little leaks into texts that are nothing else: width 0.
+                    whole = bool(b - a < min(shortest, BEFORE))
+                    for mask in () if a == b else MASKS if b - a >= WINDOW else (short_mask(int(b - a)),):
+                        seed, at = seeds(words[a:b], text[a:b], mask)
+                        n, width = len(seed), 0 if whole else min(int(b - a), WINDOW)
+                        of = ids.take(pa.array([s.first + i] * n, pa.int64()))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(seed.view(np.int64)), of, pa.array([width] * n, pa.int32()), _around(short[a:b], text[a:b], at), pa.array([",".join(map(str, mask))] * n)],
+                            names=["seed", "item_id", "width", "item_words", "mask"],
+                        )
+
+    return run
+
+
+def _document_seeds(masks: dict[tuple[int, ...], bool], bits: int, table):
+    """masks: each with whether only texts that have no other words are of interest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, versions = batch.column("doc_id"), batch.column("version")
             for s in slices(batch.column("text")):
                 words, text, short = _words(s)
-                for mask in masks:
+                n_words = np.diff(s.bounds(text))
+                for mask, whole in masks.items():
                     seed, at = seeds(words, text, mask)
                     slot = (seed >> U(64 - bits)).astype(np.int64)
                     hit = np.flatnonzero(known[slot >> 6] >> (slot & 63).astype(U) & U(1))
+                    if whole:
+                        hit = hit[n_words[text[at[hit]]] == len(mask)]
                     for part in np.array_split(hit, -(-len(hit) // 20_000)) if len(hit) else ():
+                        rows = pa.array(text[at[part]] + s.first)
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(text[at[part]] + s.first)), pa.array(seed[part].view(np.int64)), _around(short, text, at[part])], names=["doc_id", "seed", "doc_words"]
+                            [ids.take(rows), versions.take(rows), pa.array(seed[part].view(np.int64)), _around(short, text, at[part])], names=["doc_id", "version", "seed", "doc_words"]
                         )
 
     return run
@@ -126,40 +150,75 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matched = np.zeros(batch.num_rows, np.int32)
         for w in np.unique(width):
             at = np.flatnonzero(width == w)
-            matched[at] = agreement(a[at], b[at], int(w))
-        keep = np.flatnonzero(matched >= width - width * SUBSTITUTIONS // WINDOW)
+            # Width 0: all words around are the same, and none are beyond.
+            matched[at] = agreement(a[at], b[at], int(w)) if w else np.where((a[at] == b[at]).all(axis=1), (b[at] != 0).sum(axis=1), -1)
+        keep = pa.array(np.flatnonzero(matched >= width - width * SUBSTITUTIONS // WINDOW))
         if len(keep):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep)), batch.column("item_id").take(pa.array(keep)), pa.array(matched[keep]), pa.array(width[keep])], names=["doc_id", "item_id", "matched_words", "window"])
+            found = [batch.column(c).take(keep) for c in ("doc_id", "version", "context")]
+            window = np.where(width, width, matched)
+            yield pa.RecordBatch.from_arrays([*found, pa.array(matched).take(keep), pa.array(window.astype(np.int32)).take(keep)], names=["doc_id", "version", "context", "matched_words", "window"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched_words, window, hits): each pair of a document and an item that it holds.
+def _item_side(benchmark: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (seed, width, item_words, context, mask), however many items have them; (context, item_id)."""
+    benchmark, _ = sealed(benchmark, ("item_id", "text"))
+    schema = f"seed long, item_id {id_type(benchmark, 'item_id')}, width int, item_words binary, mask string"
+    found = Kept(benchmark.select("item_id", "text").mapInArrow(_item_seeds(shortest), schema), "item-seeds").frame
+    found = found.withColumn("context", F.xxhash64("seed", "width", "item_words"))
+    return found.drop("item_id").distinct(), found.select("context", "item_id").distinct()
 
-    matched_words: the most that agree among ``window`` words in a row; hits: seeds that were verified.
+
+def hits(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, context, matched_words, window) of seeds that were verified, and (context, item_id).
+
+    version is xxhash64 of the text, which tells rows of one doc_id apart.
     """
     spark = docs.sparkSession
     ship(spark)
-    items = Kept(benchmark.select("item_id", "text").mapInArrow(_item_seeds, _ITEM + ", mask string"), "item-seeds").frame
-    masks = [tuple(map(int, r["mask"].split(","))) for r in items.select("mask").distinct().orderBy("mask").collect()]
-    n = items.count()
+    docs, _ = sealed(docs, ("doc_id", "text"))
+    contexts, members = _item_side(benchmark, shortest)
+    contexts = Kept(contexts, "contexts").frame
+    used = contexts.groupBy("mask").agg(F.max("width").alias("width")).orderBy("mask").collect()
+    masks = {tuple(map(int, r["mask"].split(","))): r["width"] == 0 for r in used}
+    n = contexts.count()
     bits = int(np.clip(n.bit_length() + 6, 16, 27))
     slot = F.shiftrightunsigned("seed", 64 - bits)
-    rows = items.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).collect()
+    # At most 2 ** (bits - 6) rows.
+    rows = contexts.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
-    table[[r["word"] for r in rows]] = [r["bits"] for r in rows]
-    found = docs.select("doc_id", "text").mapInArrow(_document_seeds(masks, bits, spark.sparkContext.broadcast(table.view(U))), "doc_id long, seed long, doc_words binary")
-    sides = items.drop("mask")
-    pairs = found.join(F.broadcast(sides) if n <= BROADCAST_SEEDS else sides, "seed").select("doc_id", "item_id", "width", "doc_words", "item_words")
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    kind = id_type(docs)
+    seen = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    found = seen.mapInArrow(_document_seeds(masks, bits, spark.sparkContext.broadcast(table.view(U))), f"doc_id {kind}, version long, seed long, doc_words binary")
+    sides, by = contexts.drop("mask"), ["seed"]
+    if n <= BROADCAST_SEEDS:
+        sides = F.broadcast(sides)
+    else:  # A passage that very many documents hold is dealt out by salt.
+        sides, by = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["seed", "salt"]
+        found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.lit(SALTS)).cast("int"))
+    pairs = found.join(sides, by).select("doc_id", "version", "context", "width", "doc_words", "item_words")
     # Kept in between, so that a task never needs two Python workers at once.
-    scratch = Scratch()
-    pairs = scratch.keep(pairs, "hits")
-    verified = pairs.mapInArrow(_verify, "doc_id long, item_id long, matched_words int, window int")
-    found = Kept(verified.groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"), F.max("window").alias("window"), F.count("*").alias("hits")), "leaks").frame
-    scratch.clear()
-    return found
-
-
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = 100_000) -> DataFrame:
-    """docs without those that hold an item; columns as they came."""
-    ids = Kept(leaks(docs, benchmark).select(F.col("doc_id").alias("_fs_leaking")).distinct(), "leaking").frame
-    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, F.col("doc_id").eqNullSafe(F.col("_fs_leaking")), "left_anti")
+    pairs = Kept(pairs, "pairs")
+    verified = Kept(pairs.frame.mapInArrow(_verify, f"doc_id {kind}, version long, context long, matched_words int, window int"), "verified").frame
+    pairs.drop()
+    return verified, members
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """(doc_id, item_id, matched_words, window, hits): each pair of a document and an item that it holds.
+
+    matched_words: the most that agree among ``window`` words in a row; hits: seeds that were verified.
+    """
+    verified, members = hits(docs, benchmark, shortest)
+    best = F.max("matched_words").alias("matched_words"), F.max("window").alias("window"), F.count("*").alias("hits")
+    return verified.join(members, "context").groupBy("doc_id", "item_id").agg(*best)
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 100_000, shortest: int = SHORTEST) -> DataFrame:
+    """docs without the rows that hold an item; columns as they came. Rows that share a doc_id, or have none, are told apart by their texts."""
+    docs, back = sealed(docs, ("doc_id", "text"))
+    found, _ = hits(docs, benchmark, shortest)
+    gone = Kept(found.select(F.col("doc_id").alias("leaking"), "version").distinct(), "leaking").frame
+    side = F.broadcast(gone) if gone.limit(broadcast_rows + 1).count() <= broadcast_rows else gone.hint("merge")
+    same = F.col("doc_id").eqNullSafe(F.col("leaking")) & (F.xxhash64("text") == F.col("version"))
+    return docs.join(side, same, "left_anti").select(*back.values())

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.shared import sealed
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: In the order in which kinds are listed where spans start together.
 PATTERNS = {
@@ -140,9 +142,10 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Score: 0.5 for the pattern, 0.3 where a checksum or range test confirmed it, 0.2 for a context word.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in docs.columns if c != "pii"]
-    found = docs.select(*kept, *[_matches(whole, k).alias(f"_pii_{k}") for k in PATTERNS])
+    names = docs.columns
+    docs, back = sealed(docs, (text,))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    found = docs.select("*", *[_matches(whole, k).alias(f"pii {k}") for k in PATTERNS])
 
     def scored(kind: str, rank: int) -> Column:
         def one(x: Column) -> Column:
@@ -154,10 +157,12 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             score = F.lit(0.5 if kind == "email" else 0.8) + F.when(near, 0.2).otherwise(0.0)
             return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + length).alias("end"), x["text"].alias("text"), score.alias("score"))
 
-        return F.transform(F.filter(f"_pii_{kind}", lambda x: _valid(kind, x["text"])), one)
+        return F.transform(F.filter(f"`pii {kind}`", lambda x: _valid(kind, x["text"])), one)
 
     spans = F.sort_array(F.concat(*[scored(k, i) for i, k in enumerate(PATTERNS)]))
-    return found.select(*kept, spans.alias("pii"))
+    # Names come back in a step of their own, so that no column of docs is taken for one of these.
+    done = found.select(*docs.columns, spans.alias("pii"))
+    return done.select(*[back[i] for i, c in enumerate(names) if c != "pii"], "pii")
 
 
 def joined(spans: Column) -> Column:
