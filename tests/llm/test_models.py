@@ -59,6 +59,68 @@ def test_offending_sentences(spark):
     assert left.columns == ["doc_id", "text", "extra"] and sorted(r["doc_id"] for r in left.collect()) == list(range(0, 200, 2))
 
 
+def test_scores_are_the_models(spark):
+    """Whole scores against plain loops: presence of features by sentence and noisy-or; gated attention over passages."""
+    import numpy as np
+    import pyarrow as pa
+
+    from foliospark.llm.kernel import slices
+
+    rng = np.random.default_rng(5)
+    texts = ["bad bad bad bad bad bad bad. Good words here! bad", "fine", "", "one two\nthree bad four", "w " * 300 + "bad"]
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -3.0)
+    for s in slices(pa.array(texts), most=1):
+        start, end, sentence, first, _ = toxicity.sentences(s)
+        none = 1.0
+        for i in range(len(first)):
+            seen = {int(b) for words, bucket in toxicity.features(s, start, end) for w, b in zip(words, bucket, strict=True) if sentence[w] == i}
+            none *= 1 - 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[b]) for b in seen))))
+        assert abs(toxicity.score_slice(s, model)[0][0] - (1 - none)) < 1e-6
+    once, often = ("You are bad today", "You are bad bad bad bad bad bad bad bad bad bad today")
+    one = next(slices(pa.array([once, often])))
+    assert np.ptp(toxicity.score_slice(one, model)[0]) < 1e-9
+
+    hidden, gate = 5, 3
+    net = {"E": rng.normal(size=(quality.WIDTH, hidden)), "e": rng.normal(size=hidden), "V": rng.normal(size=(hidden, gate)), "U": rng.normal(size=(hidden, gate)), "w": rng.normal(size=gate), "c": rng.normal(size=hidden), "b": 0.1}
+    whole = quality.Model(np.zeros(quality.WIDTH), np.ones(quality.WIDTH), net)
+    s = next(slices(pa.array(texts)))
+    x, owner = quality.encode(s)
+    scores, _ = quality.score_slice(s, whole)
+    for i in range(len(texts)):
+        h = [np.tanh(row @ net["E"] + net["e"]) for row in x[owner == i].astype(float)]
+        a = [np.exp(net["w"] @ (np.tanh(v @ net["V"]) / (1 + np.exp(-(v @ net["U"]))))) for v in h]
+        z = sum(p * v for p, v in zip(a, h, strict=True)) / sum(a)
+        assert abs(scores[i] - 1 / (1 + np.exp(-(z @ net["c"] + net["b"])))) < 1e-4
+
+
+def test_sample_is_bounded(spark):
+    from foliospark.llm.shared import sampled_labels
+
+    docs = spark.createDataFrame([(str(i), "x" * (10**6 if i == 3 else 100)) for i in range(40)], "doc_id string, text string")
+    labels = spark.createDataFrame([(str(i), i % 2) for i in range(40)], "doc_id string, toxic int")
+    whole = sampled_labels(docs, labels, "toxic", 100, held_out=7)
+    some = sampled_labels(docs, labels, "toxic", 100, held_out=7, most_bytes=1500)
+    assert whole.num_rows == 40 and some.num_rows == 15 and "3" not in some.column("doc_id").to_pylist()
+    y, weight = some.column("y").to_numpy(), some.column("weight").to_numpy()
+    assert abs(weight[y == 1].sum() - 20) < 1e-9 and abs(weight[y == 0].sum() - 20) < 1e-9
+
+
+def test_rank_order_distance(spark):
+    """Distances against the definition, over lists of ranks."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60").select("doc_id", "text", "lang")
+    profiles = language.learn_profiles(docs)
+    import numpy as np
+
+    for r in language.identify(docs, F.lit(True), profiles).join(docs, "doc_id").collect():
+        mine = language.top(np.bincount(language.grams(r["text"] or ""), minlength=language.BUCKETS)).tolist()
+        far = {n: sum(abs(p.index(b) - i) if b in p else language.RANKS for i, b in enumerate(mine)) for n, p in profiles.items()}
+        best = min(far, key=lambda n: (far[n], n))
+        if mine:
+            assert (r["lang_pred"], round(r["score"], 9)) == (best, round(1 - far[best] / (language.RANKS * len(mine)), 9))
+    marks = spark.createDataFrame([("m", "\u0301\u0302 1 \u0303"), ("l", "e\u0301")], "doc_id string, text string")
+    assert {r["doc_id"]: r["lang_pred"] != "und" for r in language.identify(marks, F.lit(True), profiles).collect()} == {"m": False, "l": True}
+
+
 def test_language(spark):
     got = QUERIES["op4_language"](spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").where("held_out")
     accuracy, n = got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.count("*")).first()

@@ -4,6 +4,9 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from foliospark.llm import line_dedup, mixing, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -104,8 +107,6 @@ def test_line_dedup(spark):
     rows += [(3, f"{line}\nanother version", "s"), (6, f"{line}\n{line}", "s"), (None, f"{line}\nnull id", "s"), (None, None, "s"), (20, "", "s"), (21, "\n" * 200 + line, "s"), (22, "x" * 100_000, "s")]
     rows += [rows[2], rows[2]] + [(i, "Only four documents hold this line of their own, all told.", "s") for i in range(30, 34)]
     rows += [(40 + i, "\n".join(f"line {j} of many that are long enough to be counted" for j in range(150)), "s") for i in range(6)]
-    from pyspark.sql import functions as F
-
     frame = docs(spark, rows).withColumn("n_lines", F.lit("clash")).withColumn("_h", F.lit(1))
     got = [(r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in line_dedup.dedup_lines(frame).collect()]
     order = lambda x: (x[0] is None, x[0] or 0, x[1:])
@@ -113,6 +114,53 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == []
 
 
+def test_line_dedup_streams_in_order(spark):
+    """One exchange, by ranges of hash and document, and a sort by position too, that no optimizer takes away."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    streamed = line_dedup.streamed(line_dedup.occurrences(table, 40))
+    plan = streamed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange rangepartitioning(h1") == 1
+    assert re.search(r"Window \[row_number.*\n.*Sort \[h1#\w+ ASC NULLS FIRST, h2#\w+ ASC NULLS FIRST, doc#\w+ ASC NULLS FIRST, spread#\w+ ASC NULLS FIRST, pos#", plan)
+    # A line that all documents hold, with and without ids, lies in several ranges, and no document in two.
+    rows = [(i % 700 if i % 3 else None, f"{'x' * 50}\n{i}\n{'x' * 50}") for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = line_dedup.streamed(line_dedup.occurrences(spark.createDataFrame(rows, "doc_id long, text string"), 40)).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["part"] for r in got}) > 1 and sum(r["first"] for r in got) == len({d for d, _ in rows if d is not None})
+    where = defaultdict(set)
+    for r in got:
+        where[r["doc"]].add(r["part"])
+    assert len(where[None]) > 1 and all(len(p) == 1 for d, p in where.items() if d is not None)
+
+
+def test_line_dedup_by_join_and_bitmap(spark):
+    lines = [f"line {j} of those that are shared by all documents here" for j in range(300)]
+    rows = [(i, "\n".join(lines[:: i + 1] + [f"own {i}"] * 200 + lines[290:]), "s") for i in range(8)]
+    frame = docs(spark, rows)
+    found = [sorted((r["doc_id"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(frame, broadcast_docs=n).collect()) for n in (100, 0)]
+    assert found[0] == found[1]
+    want = {i: (dropped, sha) for i, _, dropped, sha in dedup(rows)}
+    for r in line_dedup.dedup_lines(frame).collect():
+        assert (r["n_dropped"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) == want[r["doc_id"]]
+        listed = {x["word"]: x["bits"] for x in r["keep"] or []}
+        text = r["text"].split("\n")
+        kept = [x for i, x in enumerate(text) if listed.get(i // 64, -1) >> i % 64 & 1]
+        assert "\n".join(kept) == r["kept_text"] and len(listed) <= -(-len(text) // 64)
+
+
+CLASHING = ["_fs_doc", "_fs_source", "_pii_email", "pii email", "a.b", "own 1", "row_hash", "nth", "of", "version", "words", "spread", "part", "doc", "salt", "again", "leaking"]
+
+
+def test_clashing_names(spark):
+    """Columns named like the operators' own, with a dot, or twice."""
+    frame = docs(spark, [(1, "mail a@b.cd", "x"), (None, "some words", None)])
+    frame = frame.select("*", *[F.lit(f"own {n}").alias(n) for n in CLASHING], F.lit("twice").alias("n_chars"))
+    for done in (line_dedup.dedup_lines(frame), mixing.rates(frame), mixing.mix(frame), pii.find_pii(frame)):
+        rows = done.collect()
+        assert rows and done.columns[: len(frame.columns)] == frame.columns
+        assert all(r[5 + i] == f"own {n}" for r in rows for i, n in enumerate(CLASHING))
+
+
 def fill(sizes, most=3):
     """Shares by weight, what is over a cap reshared, again and again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -146,9 +194,28 @@ def test_mixing(spark):
         taken[r["source"]] += r["size"] * r["copies"]
     for s, t in want.items():
         assert abs(taken[s] - t) <= 0.12 * max(t, 1)
+    # Rows without an id, and equal rows, toss coins of their own.
+    few = [(i, "w " * 40, "big") for i in range(3000)] + [(None, f"{i} " * 20, "nulls") for i in range(500)] + [(9, "same " * 20, "equal")] * 500 + [(None, "same " * 20, None)] * 500
+    for table in (docs(spark, few), docs(spark, few).repartition(7)):
+        sums, goal = defaultdict(int), {}
+        copies = []
+        for r in mixing.rates(table).collect():
+            sums[r["source"]] += r["size"] * r["copies"]
+            goal[r["source"]] = r["target"]
+            copies.append((r["doc_id"] or 0, r["text"], r["source"] or "", r["copies"]))
+        assert all(abs(sums[s] - goal[s]) <= 0.12 * goal[s] for s in goal), (sums, goal)
+        assert (first := locals().get("first", sorted(copies))) == sorted(copies)
     again = mixing.rates(docs(spark, rows).repartition(7)).collect()
     assert sorted((r["doc_id"] or -1, r["copies"]) for r in got) == sorted((r["doc_id"] or -1, r["copies"]) for r in again)
     mixed = mixing.mix(docs(spark, rows))
     assert mixed.count() == sum(r["copies"] for r in got) and mixed.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert mixing.rates(docs(spark, [])).collect() == []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mixing, "BROADCAST_SOURCES", 0)
+        patch.setattr(mixing, "BROADCAST_REPEATS", 0)
+        salted = mixing.rates(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"] or -1, r["copies"], r["target"]) for r in got) == sorted((r["doc_id"] or -1, r["copies"], r["target"]) for r in salted)
+    # Sources in many ranges take their weights in turn.
+    many = mixing.targets(spark.createDataFrame([(f"s{i:03d}", 1000) for i in range(299)] + [(None, 1000)], "source string, source_size long").repartition(5)).orderBy(F.col("source").asc_nulls_last()).collect()
+    assert [round(r["target"]) for r in many] == [500, 1000, 1500] * 100
     assert [r["target"] for r in mixing.rates(docs(spark, [(1, None, None)])).collect()] == [0.0]

@@ -61,9 +61,32 @@ def test_secrets_by_structure():
         assert kinds(f"-----BEGIN PRIVATE KEY-----\n{encoded(key[:-3])}\n-----END PRIVATE KEY-----") == []
         assert "key" in kinds(f"hex {key.hex()} end")
     field = lambda x: len(x).to_bytes(4, "big") + x
-    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"k" * 90)
-    assert kinds(encoded(ssh)) == ["key"]
-    assert kinds(encoded(ssh[:-5])) == []
+    public, private = field(b"ssh-ed25519") + field(b"p" * 32), b"1234" * 2 + b"k" * 80
+    ssh = lambda cipher, public, private: b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(private)
+    assert kinds(encoded(ssh(b"none", public, private))) == ["key"]
+    assert kinds(encoded(ssh(b"aes256-gcm@openssh.com", public, private[3:]) + b"t" * 16)) == ["key"]
+    for junk in (ssh(b"none", public, private)[:-5], ssh(b"none", public, private) + b"x" * 80, ssh(b"none", b"p" * 51, private), ssh(b"none", public, private[1:])):
+        assert kinds(encoded(junk)) == []
+    assert kinds("-----BEGIN OPENSSH PRIVATE KEY-----\n" + encoded(ssh(b"none", public, private)) + "\n-----END OPENSSH PRIVATE KEY-----") == ["pem"]
+
+
+def test_secrets_nested_lengths():
+    kinds = lambda x: [secrets.KINDS[k] for _, k, _ in secrets.spans(base64.b64encode(x).decode())]
+    ids = {"rsa": "2a864886f70d010101", "ec": "2a8648ce3d0201", "ed25519": "2b6570", "pbes2": "2a864886f70d01050d", "sha256": "608648016503040201", "other": "2b0601040101"}
+    algorithm = lambda name, *more: der(0x30, der(6, bytes.fromhex(ids[name])), *more)
+    shell = lambda name, inner: der(0x30, der(2, b"\0"), algorithm(name), der(4, inner))
+    ec = der(0x30, der(2, b"\1"), der(4, b"k" * 32), der(0xA1, der(3, b"\0" + b"q" * 65)))
+    good = [RSA, ec, shell("rsa", RSA), shell("ec", ec), shell("ed25519", der(4, b"e" * 32)), shell("other", RSA), der(0x30, algorithm("pbes2", der(0x30, der(5))), der(4, b"c" * 64)), der(0x30, der(2, b"\0"), *[der(2, b"\1" * 20)] * 5)]
+    bad = [shell("rsa", b"\xff" * 200), shell("rsa", ec), shell("ec", RSA), shell("rsa", RSA[:-1] + b""), shell("ed25519", der(4, b"e" * 31)), shell("other", b"\xff" * 60), der(0x30, algorithm("sha256", der(5)), der(4, b"h" * 32))]
+    bad += [der(0x30, der(2, b"\0"), der(0x30, b"\x06\x09abc"), der(4, RSA)), der(0x30, der(2, b"\0"), der(0x30), der(4, RSA)), der(0x30, der(2, b"\0"), *[der(2, b"")] * 30), der(0x30, *[der(0xA0, b"\xff\xff")] * 20)]
+    assert [kinds(x) for x in good] == [["key"]] * len(good)
+    assert [kinds(x) for x in bad] == [[]] * len(bad)
+    deep = der(2, b"\1")
+    for _ in range(3000):
+        deep = der(0x30, deep)
+    assert kinds(deep) == []
+    unsigned = f"{part({'alg': 'none'})}.{part({'sub': 1})}."
+    assert [secrets.KINDS[k] for _, k, _ in secrets.spans(unsigned)] == ["jwt"] and secrets.spans(JWT.rsplit(".", 1)[0] + ".") == []
 
 
 def test_secrets_pem_with_headers_or_escaped():
@@ -162,6 +185,43 @@ def test_decontamination(spark):
     assert decontaminate.leaks(frame, bench.limit(0)).collect() == [] and decontaminate.leaks(frame.limit(0), bench).collect() == []
 
 
+def test_decontamination_by_windows(spark):
+    """Against every window of every item at every place of every document."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(2)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [draw(n) for n in (1, 2, 4, 5, 6, 8, 12, 13, 15, 20)] + [["same", "start", *vocabulary, *vocabulary, *draw(8)] for _ in range(5)]
+    docs = [draw(rng.randrange(1, 40)) for _ in range(60)] + [list(items[i]) for i in (0, 1, 2)] + [[*items[2], "x"]] + [draw(6) + items[-1][2:17] + draw(3)]
+
+    def holds(doc, item, shortest=decontaminate.SHORTEST):
+        n = min(len(item), 13)
+        if len(item) < shortest:
+            return doc == item
+        spans = [item[j : j + n] for j in range(len(item) - n + 1)]
+        return any(sum(x == y for x, y in zip(doc[i : i + n], span, strict=True)) >= n - n * 2 // 13 for i in range(len(doc) - n + 1) for span in spans)
+
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id int, text string")
+    bench = spark.createDataFrame([(str(i), ", ".join(x)) for i, x in enumerate(items)], "item_id string, text string")
+    for shortest in (5, 1):
+        want = {(i, str(j)) for i, d in enumerate(docs) for j, x in enumerate(items) if holds(d, x, shortest)}
+        got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(frame, bench, shortest).collect()}
+        assert set(got) == want and len(want) > 30
+    chinese = spark.createDataFrame([(1, "他说春眠不觉晓处处闻啼鸟夜来风雨声。"), (2, "今天天气很好我们去公园散步吧。")], "doc_id int, text string")
+    poem = spark.createDataFrame([(1, "春眠不觉晓，处处闻啼鸟。夜来风雨声，花落知多少。")], "item_id int, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(chinese, poem).collect()] == [(1, 1)]
+
+
+def test_leaking_rows_not_ids(spark):
+    passage = " ".join(f"word{i}" for i in range(20))
+    rows = [(None, passage), (None, "clean one"), (None, "clean two"), (7, f"see {passage}"), (7, "clean too"), (None, None), (8, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").toDF("doc_id", "text").withColumn("leaking", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("version", F.lit(3))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    for broadcast_rows in (100, 0):
+        left = decontaminate.drop_leaking(docs, bench, broadcast_rows)
+        assert left.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == [(0, ""), (0, "clean one"), (0, "clean two"), (7, "clean too")]
+
+
 def test_decontamination_by_shuffle(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(decontaminate.leaks(docs, bench).collect())
