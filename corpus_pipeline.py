@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, jaccard_join, line_dedup, mixing, toxicity
-from foliospark.llm.shared import Kept, read, set_aside
+from foliospark.llm.shared import Kept, read, scope, sealed
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in five documents or more stay in one; texts and n_chars follow."""
-    renamed, back = set_aside(docs, line_dedup.ADDED)
-    done = line_dedup.dedup_lines(renamed)
+    names = docs.columns
+    docs, back = sealed(docs, ("doc_id", "text", "n_chars"))
+    done = line_dedup.dedup_lines(docs)
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     changed = {"text": text.alias("text"), "n_chars": n_chars.alias("n_chars")}
-    return done.select(*[changed.get(name, column) for name, column in back.items()])
+    return done.select(*[changed.get(name, back[i]) for i, name in enumerate(names)])
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Kept(stage(spark, docs, sf_dir), f"stage-{name}").frame
+        with scope() as spared:
+            after = Kept(stage(spark, docs, sf_dir), f"stage-{name}")
+            spared.append(after)
+        if before:
+            before.drop()
+        docs, before = after.frame, after
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
