@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import Kept, Scratch
+from foliospark.llm.shared import Kept, Scratch, spread_join
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -18,14 +18,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     labels = None
     while True:
         both = kept.frame.unionByName(kept.frame.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")), "parents")
+        parents = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"), F.count("*").alias("rows"))
+        parents = scratch.keep(parents.select("node", F.least("node", "up").alias("up"), "rows"), "parents")
         if labels is None:
-            labels = parents.withColumnRenamed("up", "label")
+            labels = parents.select("node", F.col("up").alias("label"))
         else:
-            up = parents.select(F.col("node").alias("label"), "up")
-            labels = labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-        a, b = parents.toDF("a", "ua"), parents.toDF("b", "ub")
-        redrawn = kept.frame.join(a, "a").join(b, "b").where(F.col("ua") != F.col("ub"))
+            sizes = labels.groupBy("label").agg(F.count("*").alias("rows"))
+            # Labels that have no edge left stay as they are.
+            left = labels.select("label").distinct().join(parents, F.col("label") == F.col("node"), "left").select("label", F.coalesce("up", "label").alias("up"))
+            labels = scratch.keep(spread_join(labels, left, "label", sizes, "node").select("node", F.col("up").alias("label")), "labels")
+        # Ends with very many edges, hubs and giant components, are dealt out by the other end.
+        redrawn = kept.frame
+        for end, other in (("a", "b"), ("b", "a")):
+            redrawn = spread_join(redrawn, parents.select(F.col("node").alias(end), F.col("up").alias(f"u{end}")), end, parents.select(F.col("node").alias(end), "rows"), other)
+        redrawn = redrawn.where(F.col("ua") != F.col("ub"))
         after = Kept(redrawn.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
         kept.drop()
         kept = after

@@ -1,18 +1,19 @@
 """All pairs of texts whose sets of word shingles overlap enough, as components. Exact.
 
 1. A text becomes the sorted array of its distinct shingle hashes; equal arrays are one node, so any number
-   of exact copies costs what one does. The same pass keeps each set's bitmap, and counts hashes into a
-   small table of counters.
+   of exact copies costs what one does. The same pass keeps each set's bitmap, and counts hashes into a table
+   of counters, of which each task reports those that stand out.
 2. A set that overlaps another by the threshold shares one of its first n - ceil(t n) + 1 hashes with it,
    in any order that all sets agree on. The order puts hashes that the counters call frequent last, so
    boilerplate rarely leads anywhere. Sizes are cut into bands so wide that linked sets lie in one band or
    in neighbours; each set goes, by each such hash, to the tile of its band and of the band below. Of the
    nodes under one hash and band, the least is the leader: two nodes that share both meet its leader, so
-   tiles (a leader and all that meet it) hold every linked pair.
+   tiles (a leader and all that meet it) hold every linked pair. What meets under a frequent hash is dealt
+   out in parts, whose leaders make way for the least of them.
 3. Bitmaps of each tile's members are compared with the leader's, and what may link is intersected exactly.
-4. Where the members of a tile still lie in several components, they are sorted by size and cut into
-   blocks; pairs of blocks that sizes allow are compared by bitmaps, all against all across components, and
-   the members that may link are intersected, but for what is connected by then.
+4. Where the members of a tile still lie in several components, they are dealt into blocks by hash; pairs of
+   blocks are compared by bitmaps, all against all that sizes allow across components, and the members that
+   may link are intersected, but for what is connected by then.
 
 A bitmap has a bit for each hash value modulo its width, set if an odd number of the set's hashes falls
 there. The bits in which two differ are at most the hashes in which the sets differ, so their count bounds
@@ -26,18 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
 from foliospark.llm.kernel import DARK, U, mix, slices, windows
-from foliospark.llm.shared import Kept, Scratch
+from foliospark.llm.shared import WORD, Kept, Scratch, id_type, sealed, spread_join
 from foliospark.ship import ship
 
 #: Members of a tile compared with a leader in one part, and hashes (with 128 more for each set) in one block.
 PART, BLOCK = 2048, 1 << 18
-#: Counters travel in parts of so many.
-COUNTERS = 1 << 14
+#: Counters of hashes, whatever the corpus; and the most parts into which those that meet under one hash are dealt.
+COUNTER_BITS, MOST_PARTS = 21, 1024
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,65 +66,57 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
-_FIRST = "doc_id long, version long, n long, node long, bits binary, part int, counts binary"
+def _first_schema(docs: DataFrame) -> str:
+    return f"doc_id {id_type(docs)}, version long, n long, node long, bits binary, counter int, count long"
 
 
 def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _first_pass(k: int, bits: int):
+def _first_pass(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, held = None, [], 0
+        counts, total, seen, held, kind = None, 0, [], 0, None
         for batch in batches:
-            n, node, maps = [], [], []
+            n, node, maps, kind = [], [], [], batch.column("doc_id").type
             for _, hashes in shingle_sets(batch.column("text"), k):
                 n.append(len(hashes))
                 node.append(node_of(hashes) if len(hashes) else None)
                 maps.append(parity_bitmap(hashes).tobytes() if len(hashes) else None)
-                seen.append(hashes >> U(64 - bits))
+                seen.append(hashes >> U(64 - COUNTER_BITS))
                 held += len(hashes)
                 if held > 1 << 20:
-                    counts, seen, held = _added(counts, seen, bits), [], 0
+                    counts, total, seen, held = _added(counts, seen), total + held, [], 0
             empty = len(n)
             yield _batch(
                 doc_id=batch.column("doc_id"), version=batch.column("version"), n=pa.array(n, pa.int64()), node=pa.array(node, pa.int64()),
-                bits=pa.array(maps, pa.binary()), part=pa.nulls(empty, pa.int32()), counts=pa.nulls(empty, pa.binary()),
+                bits=pa.array(maps, pa.binary()), counter=pa.nulls(empty, pa.int32()), count=pa.nulls(empty, pa.int64()),
             )
-        counts = _added(counts, seen, bits)
+        counts, total = _added(counts, seen), total + held
         if counts is not None:
-            parts = [x.tobytes() for x in np.split(counts, len(counts) // COUNTERS)]
-            none = pa.nulls(len(parts), pa.int64())
-            yield _batch(doc_id=none, version=none, n=none, node=none, bits=pa.nulls(len(parts), pa.binary()), part=pa.array(range(len(parts)), pa.int32()), counts=pa.array(parts, pa.binary()))
+            # At most a quarter of the counters, or half of the hashes.
+            high = np.flatnonzero(counts >= max(2, 4 * total / len(counts)))
+            none = pa.nulls(len(high), pa.int64())
+            yield _batch(doc_id=pa.nulls(len(high), kind), version=none, n=none, node=none, bits=pa.nulls(len(high), pa.binary()), counter=pa.array(high.astype(np.int32)), count=pa.array(counts[high].astype(np.int64)))
 
     return run
 
 
-def _added(counts: np.ndarray | None, seen: list[np.ndarray], bits: int) -> np.ndarray | None:
+def _added(counts: np.ndarray | None, seen: list[np.ndarray]) -> np.ndarray | None:
     if not seen:
         return counts
-    new = np.bincount(np.concatenate(seen).astype(np.int64), minlength=1 << bits)
+    new = np.bincount(np.concatenate(seen).astype(np.int64), minlength=1 << COUNTER_BITS)
     return new if counts is None else counts + new
 
 
-def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-            counts = np.frombuffer(counts.as_buffer(), np.int64)
-            total[part] = total[part] + counts if part in total else counts
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
-
-
-def _frequency_classes(first: DataFrame, bits: int) -> np.ndarray:
+def _frequency_classes(first: DataFrame) -> np.ndarray:
     """One byte a counter: 0 for the usual, more for each doubling over four times the mean."""
-    rows = first.where(F.col("part").isNotNull()).select("part", "counts").repartition("part").mapInArrow(_add_parts, "part int, counts binary").collect()
-    counts = np.zeros(1 << bits, np.int64)
-    for r in rows:
-        counts[r["part"] * COUNTERS :][:COUNTERS] = np.frombuffer(r["counts"], np.int64)[:COUNTERS]
-    usual = max(16.0, 4.0 * counts.mean())
-    return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / usual))).astype(np.uint8)
+    total = first.agg(F.sum("n")).first()[0] or 0
+    usual = max(16.0, 4.0 * total / (1 << COUNTER_BITS))
+    high = first.where(F.col("counter").isNotNull()).groupBy("counter").agg(F.sum("count").alias("count")).where(F.col("count") > usual).toArrow()
+    classes = np.zeros(1 << COUNTER_BITS, np.uint8)
+    classes[high.column("counter").to_numpy()] = np.ceil(np.log2(high.column("count").to_numpy() / usual))
+    return classes
 
 
 def band_of(n: np.ndarray | int, percent: int) -> np.ndarray:
@@ -131,10 +124,16 @@ def band_of(n: np.ndarray | int, percent: int) -> np.ndarray:
     return np.floor(np.log(n) / (1.001 * np.log(100 / percent) + 1e-9)).astype(np.int64)
 
 
-def _prefixes(k: int, percent: int, bits: int, classes):
+def _prefixes(k: int, percent: int, classes):
+    """(token, part, node); part: 0, or for a frequent hash a number by node from 1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         klass, seen = classes.value, set()
-        tokens, nodes, n_rows = [], [], 0
+        tokens, parts, nodes, n_rows = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return _batch(token=pa.array(np.concatenate(tokens).view(np.int64)), part=pa.array(np.concatenate(parts)), node=pa.array(np.concatenate(nodes)))
+
         for batch in batches:
             for _, hashes in shingle_sets(batch.column("text"), k):
                 n = len(hashes)
@@ -143,36 +142,54 @@ def _prefixes(k: int, percent: int, bits: int, classes):
                 if len(seen) < 200_000:  # copies within a task need not be sent twice
                     seen.add(node)
                 most = n - -(-percent * n // 100) + 1
-                rank = klass[hashes >> U(64 - bits)]
-                prefix = hashes[np.lexsort((hashes, rank))[:most]] if rank.any() else hashes[:most]
+                rank = klass[hashes >> U(64 - COUNTER_BITS)]
+                if rank.any():
+                    first = np.lexsort((hashes, rank))[:most]
+                    prefix, rank = hashes[first], rank[first].astype(np.int32)
+                else:
+                    prefix, rank = hashes[:most], np.zeros(most, np.int32)
+                of = int(mix(np.array([node]).view(U))[0] & U(MOST_PARTS - 1))
+                part = np.where(rank > 0, 1 + of % np.minimum(1 << np.minimum(rank, 20), MOST_PARTS), 0).astype(np.int32)
                 band = int(band_of(n, percent))
                 for tile in (band, band - 1):
                     tokens.append(prefix ^ mix(np.array([tile + 2], U)))
+                    parts.append(part)
                     nodes.append(np.full(most, node, np.int64))
                 n_rows += 2 * most
                 if n_rows > 50_000:
-                    yield _batch(token=pa.array(np.concatenate(tokens).view(np.int64)), node=pa.array(np.concatenate(nodes)))
-                    tokens, nodes, n_rows = [], [], 0
+                    yield out()
+                    tokens, parts, nodes, n_rows = [], [], [], 0
         if tokens:
-            yield _batch(token=pa.array(np.concatenate(tokens).view(np.int64)), node=pa.array(np.concatenate(nodes)))
+            yield out()
 
     return run
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leader, node) of rows sorted by (token, node): the first node of a token leads."""
-    last_token = last_leader = None
+    """(leader, node, token, part) of rows sorted by (token, part, node): the first node leads. token: null where part is 0; leaders of parts lead themselves too."""
+    last = (None, None)
+    last_leader = 0
     for batch in batches:
-        token, node = batch.column("token").to_numpy(), batch.column("node").to_numpy()
+        token, part, node = (batch.column(c).to_numpy() for c in ("token", "part", "node"))
         if not len(token):
             continue
-        new = np.concatenate(([token[0] != last_token], token[1:] != token[:-1]))
+        new = np.concatenate(([(token[0], part[0]) != last], (token[1:] != token[:-1]) | (part[1:] != part[:-1])))
         at = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-        leader = np.where(at >= 0, node[np.maximum(at, 0)], last_leader if last_leader is not None else 0)
-        last_token, last_leader = token[-1], leader[-1]
-        other = np.flatnonzero(leader != node)
-        if len(other):
-            yield pa.RecordBatch.from_arrays([pa.array(leader[other]), pa.array(node[other])], names=["leader", "node"])
+        leader = np.where(at >= 0, node[np.maximum(at, 0)], last_leader)
+        last, last_leader = (token[-1], part[-1]), leader[-1]
+        rows = np.flatnonzero((leader != node) | (part > 0))
+        if len(rows):
+            plain = part[rows] == 0
+            yield _batch(leader=pa.array(leader[rows]), node=pa.array(node[rows]), token=pa.array(token[rows], mask=plain), part=pa.array(part[rows], mask=plain))
+
+
+def _tiles(led: DataFrame) -> DataFrame:
+    """(leader, node), once each, of what _leaders gives; the parts of a token get the least of their leaders."""
+    dealt = led.where(F.col("token").isNotNull())
+    heads = dealt.groupBy("token", "part").agg(F.min("leader").alias("head"))
+    tops = heads.join(heads.groupBy("token").agg(F.min("head").alias("top")), "token").select("token", "part", "top")
+    under = dealt.join(tops, ["token", "part"]).select(F.col("top").alias("leader"), "node").where(F.col("leader") != F.col("node"))
+    return led.where(F.col("token").isNull()).select("leader", "node").unionByName(under).distinct()
 
 
 def _arrays(k: int):
@@ -357,15 +374,16 @@ def _link_members(percent: int):
 def _fetch(docs: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(node, hashes) of the nodes (node), each from one of its texts."""
     chosen = sets.join(nodes.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("of"))
-    chosen = scratch.keep(chosen.select(F.col("of.doc_id").alias("_fs_doc"), F.col("of.version").alias("_fs_version")).distinct(), "chosen")
-    texts = docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_fs_doc")) & (F.col("version") == F.col("_fs_version")), "left_semi")
+    chosen = scratch.keep(chosen.select(F.col("of.doc_id").alias("chosen"), F.col("of.version").alias("its_version")).distinct(), "chosen")
+    texts = docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("version") == F.col("its_version")), "left_semi")
     return scratch.keep(texts.select("text").mapInArrow(_arrays(k), "node long, hashes binary").dropDuplicates(["node"]), "arrays")
 
 
-def _dealt(tiles: DataFrame, held: DataFrame) -> DataFrame:
+def _dealt(tiles: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
     """Tiles (leader, node) with what held has of each node, in parts of about PART members, the leader in each."""
-    parts = tiles.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = tiles.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), "node")
+    parts = scratch.keep(tiles.groupBy("leader").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / PART).cast("int")), "parts")
+    members = spread_join(tiles, parts.drop("rows"), "leader", parts.select("leader", "rows"), "node")
+    members = members.select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), "node")
     leaders = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("leader").alias("node"))
     return members.unionByName(leaders).join(held, "node").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "node")
 
@@ -382,32 +400,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, result: S
     """
     ship(docs.sparkSession)
     result, scratch = result or Scratch(), Scratch()
+    docs, _ = sealed(docs, ("doc_id", "text"))
     docs = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
-    counters = int(np.clip(int(docs.count()).bit_length() + 2, 14, 24))
-    first = result.keep(docs.mapInArrow(_first_pass(k, counters), _FIRST), "sets")
-    sets = first.where(F.col("part").isNull()).select("doc_id", "version", F.col("n").alias("n_shingles"), "node")
+    first = result.keep(docs.mapInArrow(_first_pass(k), _first_schema(docs)), "sets")
+    sets = first.where(F.col("counter").isNull()).select("doc_id", "version", F.col("n").alias("n_shingles"), "node")
     bitmaps = scratch.keep(first.where(F.col("node").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"]), "bitmaps")
-    classes = docs.sparkSession.sparkContext.broadcast(_frequency_classes(first, counters))
+    classes = docs.sparkSession.sparkContext.broadcast(_frequency_classes(first))
 
-    prefixes = docs.select("text").mapInArrow(_prefixes(k, percent, counters, classes), "token long, node long")
-    led = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_leaders, "leader long, node long")
-    tiles = scratch.keep(led.distinct(), "tiles")
+    prefixes = docs.select("text").mapInArrow(_prefixes(k, percent, classes), "token long, part int, node long")
+    led = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "node").mapInArrow(_leaders, "leader long, node long, token long, part int")
+    led = scratch.keep(led, "led")
+    tiles = scratch.keep(_tiles(led), "tiles")
 
-    may = scratch.keep(_dealt(tiles, bitmaps).mapInArrow(_may_link_leader(percent), "a long, b long").toDF("leader", "node"), "may-link")
+    may = scratch.keep(_dealt(tiles, bitmaps, scratch).mapInArrow(_may_link_leader(percent), "a long, b long").toDF("leader", "node"), "may-link")
     arrays = _fetch(docs, sets, may.select("node").unionByName(may.select(F.col("leader").alias("node"))), k, scratch)
-    direct = scratch.keep(_dealt(may, arrays).mapInArrow(_link_leader(percent), "a long, b long"), "direct")
+    direct = scratch.keep(_dealt(may, arrays, scratch).mapInArrow(_link_leader(percent), "a long, b long"), "direct")
     labels = scratch.keep(components(direct, scratch), "labels")
 
     # What is not settled: tiles whose members lie in several components.
-    placed = tiles.join(labels, "node", "left").select("leader", "node", F.coalesce("label", "node").alias("label"))
-    torn = placed.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("leader")
-    sized = placed.join(torn, "leader").join(bitmaps.select("node", "n"), "node")
-    by_size = Window.partitionBy("leader").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = scratch.keep(sized.withColumn("block", F.floor(F.sum(F.col("n") + 128).over(by_size) / BLOCK).cast("int")), "blocks")
-    ends = cut.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    i, j = ends.toDF("leader", "i", "i_least", "i_most"), ends.toDF("leader", "j", "j_least", "j_most")
-    pairs = i.join(j, "leader").where((F.col("i") <= F.col("j")) & (F.col("j_least") * percent <= F.col("i_most") * 100)).select("leader", "i", "j")
-    sides = cut.join(pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))), ["leader", "block"])
+    placed = tiles.join(labels, "node", "left").join(bitmaps.select("node", "n"), "node").select("leader", "node", "n", F.coalesce("label", "node").alias("label"))
+    placed = scratch.keep(placed, "placed")
+    weight = F.sum(F.col("n") + 128)
+    torn = placed.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(weight / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")).where("lo < hi")
+    torn = scratch.keep(torn.select("leader", "blocks", "rows"), "torn")
+    cut = spread_join(placed, torn.drop("rows"), "leader", torn.select("leader", "rows"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cut = cut.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = scratch.keep(cut.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "label"), "sides")
     by_block = ["leader", "i", "j"]
     mapped = sides.join(bitmaps.select("node", "bits"), "node").repartition(*by_block).sortWithinPartitions(*by_block, "n", "node")
     near = scratch.keep(mapped.select(*by_block, "block", "node", "n", "label", "bits").mapInArrow(_may_link_members(percent), "leader long, i int, j int, node long"), "near")
@@ -418,25 +437,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, result: S
         labels = scratch.keep(components(direct.unionByName(rest), scratch), "labels")
 
     least = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc")).join(labels, "node", "left")
-    least = least.select("node", "doc", F.coalesce("label", "node").alias("component"))
-    names = least.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = result.keep(least.join(names, "component").select("node", "component_id", "component"), "named")
+    least = scratch.keep(least.select("node", "doc", F.coalesce("label", "node").alias("component")), "least")
+    names = scratch.keep(least.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("rows")), "names")
+    named = spread_join(least, names.drop("rows"), "component", names.select("component", "rows"), "node")
+    named = result.keep(named.select("node", "component_id", "component"), "named")
+    # Exact copies may be a large share of all rows.
+    copies = result.keep(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1"), "copies")
     scratch.clear()
-    found = sets.join(named, "node", "left")
-    return found.select("doc_id", "version", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
+    alone = sets.where(F.col("node").isNull()).select("doc_id", "version", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    found = spread_join(sets.where(F.col("node").isNotNull()), named, "node", copies, "version", "doc_id")
+    return found.select("doc_id", "version", "n_shingles", "component_id", "component").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: the least doc_id, or the least text by hash where none has an id.
 
-    Rows equal in doc_id and text are one document; texts without words all stay.
+    Rows equal in doc_id and text are one document, and stay or go together; of equal texts without an id one
+    row stays, if any; texts without words all stay.
     """
     scratch = Scratch()
+    docs, back = sealed(docs, ("doc_id", "text"))
     found = jaccard_components(docs, k, percent, scratch).where(F.col("component").isNotNull()).select("component", "doc_id", "version")
     found = scratch.keep(found.distinct(), "grouped")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
-    stay = scratch.keep(found.groupBy("component").agg(F.min(rank).alias("stay")), "stay")
-    gone = found.join(stay, "component").where(~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("version") == F.col("stay.version"))))
-    gone = Kept(gone.select(F.col("doc_id").alias("_fs_doc"), F.col("version").alias("_fs_version")), "gone").frame
+    stay = scratch.keep(found.groupBy("component").agg(F.min(rank).alias("stay"), F.count("*").alias("rows")), "stay")
+    grouped = spread_join(found, stay.drop("rows"), "component", stay.select("component", "rows"), "doc_id", "version")
+    gone = grouped.where(~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("version") == F.col("stay.version"))))
+    gone = Kept(gone.select(F.col("doc_id").alias("leaving"), "version"), "gone").frame
     scratch.clear()
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_fs_doc")) & (F.xxhash64("text") == F.col("_fs_version")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("leaving")) & (F.xxhash64("text") == F.col("version"))
+    bare = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    left = docs.where(~bare).unionByName(docs.where(bare).dropDuplicates(["text"]))
+    return left.join(gone.hint("merge"), same, "left_anti").select(*back.values())

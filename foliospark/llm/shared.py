@@ -157,3 +157,21 @@ class Scratch:
         for table in self.tables:
             table.drop()
         self.tables.clear()
+
+
+#: A key of more rows than HOT is dealt out in SALTS parts. There are at most MOST_HOT of them: the bound rises with the table.
+HOT, SALTS, MOST_HOT = 10_000, 64, 50_000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, *by: str) -> DataFrame:
+    """rows joined to side (one row a key) on key; rows of hot keys lie in many partitions, by hash of their columns ``by``.
+
+    counts (key, rows) has the number of rows of each key, at least of those with many. The hot ones, MOST_HOT
+    at most, are sent to every executor.
+    """
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("rows") > max(HOT, total // MOST_HOT)).select(key, F.lit(True).alias("is_hot")))
+    salted = rows.join(hot, key, "left").withColumn("part_of_key", F.when(F.col("is_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("is_hot")
+    parts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = side.join(hot, key, "left").withColumn("part_of_key", F.explode(parts)).drop("is_hot")
+    return salted.join(copied, [key, "part_of_key"]).drop("part_of_key")

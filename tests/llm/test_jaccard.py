@@ -103,3 +103,61 @@ def test_keep_one(spark):
     assert {r["doc_id"] for r in stay if r["doc_id"] is not None} >= {c for c in groups if c is not None}
     assert sum(1 for r in got if not shingles(r["text"], 5)) == sum(1 for _, t in table if not shingles(t, 5))
     assert jaccard_join.keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_keep_one_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    near, other = text.replace("w49", "x"), " ".join(f"o{i}" for i in range(9))
+    rows = [(None, text)] * 4 + [(None, near), (None, other), (None, other), (3, other), (None, ""), (None, ""), (None, None), (5, "a b"), (5, "a b"), (5, near + " y z")]
+    frame = spark.createDataFrame([(i, t, "x", j) for j, (i, t) in enumerate(rows)], "doc_id long, text string, leaving string, `a.b` int")
+    got = jaccard_join.keep_one(frame)
+    assert got.columns == frame.columns
+    # Copies of text, its near copies and document 5's are one group; the row with the id stays.
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted([(5, near + " y z"), (3, other), (0, ""), (0, ""), (0, ""), (5, "a b"), (5, "a b")])
+    bare = jaccard_join.keep_one(frame.where("doc_id is null")).collect()
+    assert sum(r["text"] == other for r in bare) == 1 and sum(r["text"] in (text, near) for r in bare) == 1
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_keys(spark, monkeypatch, hot):
+    """Hubs, frequent hashes and large tiles dealt out in parts: the same links."""
+    from foliospark.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "PART", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1 << 12)
+    whole = jaccard_join._frequency_classes
+    monkeypatch.setattr(jaccard_join, "_frequency_classes", lambda first: whole(first) + 3)
+    table = rows()
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame([(i, t, "clash") for i, t in table], SCHEMA), 4, 85).collect()]
+    assert sorted(got, key=str) == brute(table, 4, 85)
+
+
+def test_components(spark):
+    """A star, a long path, a clique and pairs, against union-find."""
+    from foliospark.llm.components import components
+    from foliospark.llm.shared import Scratch
+
+    rng = random.Random(3)
+    name = {i: rng.getrandbits(63) for i in range(3000)}
+    edges = [(0, i) for i in range(1, 900)] + [(i, i + 1) for i in range(1000, 1400)] + [(i, j) for i in range(1500, 1520) for j in range(1500, i)] + [(i, i + 1) for i in range(2000, 2400, 2)] + [(7, 7)]
+    up = list(range(3000))
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        up[root(a)] = root(b)
+    scratch = Scratch()
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame([(name[a], name[b]) for a, b in edges], "a long, b long"), scratch).collect()}
+    nodes = sorted({x for a, b in edges if a != b for x in (a, b)})
+    assert set(got) == {name[i] for i in nodes}
+    groups, labels = defaultdict(set), defaultdict(set)
+    for i in nodes:
+        groups[root(i)].add(i)
+        labels[got[name[i]]].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, labels.values()))
+    scratch.clear()
