@@ -1,51 +1,73 @@
 """Nearest neighbours by cosine: multi-index hashing over learned rotated binary codes, reranked by floats.
 
-Codes: the sample's principal axes, rotated to lose least by taking signs (iterative quantisation), several
-rotations side by side. The index is sharded: each block of rows holds, for every byte of the code, the rows
-of each value. A code within Hamming distance r of the query agrees to within r / bytes bits in some byte, so
-probing, byte by byte, all values that near reaches every such code. What is within r is reranked in double precision on
-the original vectors. r is set so that the sample's own neighbours are found. Every row is indexed, and
-every query meets every shard; a query with fewer than k codes in reach takes a whole shard instead.
+Codes: the sample's principal axes, rotated to lose least by taking signs (iterative quantisation), many
+rotations side by side. The code is cut into substrings of about log2(rows) bits, and each is an index of its
+own, a table: every row lies in one bucket of each table, under the substring's value. A query probes in each
+table the values within RADIUS bits of its own. By the pigeonhole principle that retrieves every code within
+tables * (RADIUS + 1) - 1 bits, and of those further off all that come so near in any one table. What is
+retrieved is checked by 128 bits more of the code and, if that is near, reranked in double precision on the
+original vectors.
+
+Equal vectors are one row of the index, with the least k + 1 of their ids, as that many suffice for any query.
+Tables are joined, not searched whole: buckets and probes meet by table and first bits of the value, and where
+very many meet, in parts of bounded size.
+
+How many tables there are, and how near the check must be, follows from the exact neighbours of PILOT queries,
+so that RECALL of them are found. A query for which fewer than k are found is searched exactly, against all
+rows in blocks. So are all queries if MOST_TABLES do not reach RECALL.
 
 Fitted on at most SAMPLE vectors, the first by hash of the id. Defined results: vectors that are null, zero,
 hold null or non-finite components, or differ in length from the most frequent length (the shorter on a tie)
-take no part, nor do rows without an id; rows that repeat an id count once, by their best score.
+take no part, nor do rows without an id; rows that repeat an id count once, by their best score. Very large
+and very small components are scaled before they are squared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import Kept
+from foliospark.llm.shared import Kept, Scratch
 from foliospark.ship import ship
 
-#: Vectors to fit on; rows in a shard; queries that visit a shard together.
-SAMPLE, SHARD, TOGETHER = 4000, 4096, 2048
-_POPCOUNT = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+#: Vectors to fit on; queries whose exact neighbours tell how many tables it takes; share of those to be found.
+SAMPLE, PILOT, RECALL = 4000, 200, 0.95
+#: Bits in which a probe may differ; tables at most.
+RADIUS, MOST_TABLES = 2, 160
+#: Rows of a table, and queries, that meet in one part; rows and queries of an exact search that do.
+ENTRIES, ASKING, SHARD, TOGETHER = 1 << 18, 1 << 16, 4096, 2048
+#: Tables parts of which are listed to every executor (about 20 bytes each).
+BROADCAST_PARTS = 200_000
+CHECK = 128
 
 
 @dataclass
 class Coder:
     mean: np.ndarray
-    axes: np.ndarray  # dimensions x bits
-    radius: int
+    axes: np.ndarray  # dimensions x (CHECK + tables * bits)
+    bits: int = 16
+    tables: int = 0
+    near: int = CHECK
+    masks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """Bytes of the code of each (unit) vector."""
-        return np.packbits((x - self.mean) @ self.axes > 0, axis=1)
+    def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The check (two words of 64 bits) and the value in each table of each (unit) vector."""
+        on = (x - self.mean) @ self.axes[:, : CHECK + self.tables * self.bits] > 0
+        check = np.packbits(on[:, :CHECK], axis=1).view(np.uint64)
+        values = on[:, CHECK:].reshape(len(x), self.tables, self.bits) @ (1 << np.arange(self.bits))
+        return check, values.astype(np.int64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def fit(x: np.ndarray, k: int, rotations: int = 2, bits: int = 64, recall: float = 0.97, steps: int = 40) -> Coder:
+def rotations(x: np.ndarray, n_bits: int, bits: int = 64, steps: int = 5) -> Coder:
     """x: unit vectors of the sample."""
     mean, rng = x.mean(axis=0), np.random.default_rng(3)
     c, d = x - mean, x.shape[1]
@@ -56,61 +78,55 @@ def fit(x: np.ndarray, k: int, rotations: int = 2, bits: int = 64, recall: float
         axes = rng.normal(size=(d, bits)) / np.sqrt(bits)
     v = c @ axes
     rotated = []
-    for _ in range(rotations):
+    for _ in range(-(-n_bits // bits)):
         r = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
         for _ in range(steps):
             left, _, right = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
             r = (left @ right).T
         rotated.append(axes @ r)
-    coder = Coder(mean, np.hstack(rotated), 0)
-    codes, reach = coder.codes(x), []
-    few = x[: min(len(x), 1000)]
-    near = few @ x.T
-    np.put_along_axis(near, np.arange(len(few))[:, None], -2, axis=1)
-    best = np.argpartition(-near, min(k, len(x) - 1), axis=1)[:, :k] if len(x) > 1 else np.zeros((len(few), 0), int)
-    for i, row in enumerate(best):
-        reach += np.bitwise_count(codes[row] ^ codes[i]).sum(axis=1).tolist()
-    coder.radius = int(np.quantile(reach, recall, method="higher")) if reach else coder.axes.shape[1]
+    return Coder(mean, np.hstack(rotated))
+
+
+def bits_for(n_rows: int) -> int:
+    """So many that a bucket holds about one row."""
+    return int(np.clip(round(np.log2(max(n_rows, 1))), 8, 24))
+
+
+def settle(coder: Coder, a: np.ndarray, b: np.ndarray, n_rows: int) -> Coder:
+    """Bits, tables and the check's bound for n_rows rows, so that RECALL of the pairs (a, b) of unit vectors are found."""
+    coder.bits, coder.tables = bits_for(n_rows), MOST_TABLES
+    masks = np.array([0], np.int64)
+    for _ in range(RADIUS):
+        masks = np.unique(np.concatenate([masks, (masks[:, None] ^ (1 << np.arange(coder.bits))).ravel()]))
+    coder.masks = masks
+    (check_a, values_a), (check_b, values_b) = coder.codes(a), coder.codes(b)
+    apart = np.bitwise_count(check_a ^ check_b).sum(axis=1)
+    coder.near = int(np.quantile(apart, 0.985, method="higher")) if len(apart) else CHECK
+    hit = np.logical_or.accumulate(np.bitwise_count(values_a ^ values_b) <= RADIUS, axis=1) & (apart <= coder.near)[:, None]
+    enough = np.flatnonzero(hit.mean(axis=0) >= RECALL) if len(hit) else np.array([0])
+    coder.tables = int(enough[0]) + 1 if len(enough) else 0
     return coder
 
 
-def search(coder: Coder, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, row ids, cosines) of the k best rows of one shard for each query."""
-    q, x = unit(queries), unit(rows)
-    qc, xc = coder.codes(q), coder.codes(x)
-    n_bytes = qc.shape[1]
-    probe = _POPCOUNT <= coder.radius // n_bytes
-    reached = np.zeros((len(q), len(x)), bool)
-    q_words, x_words = (np.ascontiguousarray(c).view(np.uint64) for c in (qc, xc))
-    for j in range(n_bytes):
-        order = np.argsort(xc[:, j], kind="stable")
-        values, first = np.unique(xc[order, j], return_index=True)
-        for value, bucket in zip(values, np.split(order, first[1:]), strict=True):
-            asking = np.flatnonzero(probe[value][qc[:, j]])
-            if len(asking):
-                apart = sum(np.bitwise_count(q_words[asking, w][:, None] ^ x_words[bucket, w][None, :]).astype(np.int16) for w in range(q_words.shape[1]))
-                reached[np.ix_(asking, bucket)] |= apart <= coder.radius
-    norms, q_norms = np.sqrt((rows * rows).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
-    for i, own in enumerate(query_ids):
-        at = np.flatnonzero(reached[i] & (row_ids != own))
-        if len(np.unique(row_ids[at])) < k:
-            at = np.flatnonzero(row_ids != own)
-        # Summed row by row in one order, so that equal vectors get equal scores.
-        score = (rows[at] * queries[i]).sum(axis=1) / (norms[at] * q_norms[i])
-        ids = row_ids[at]
-        order = np.lexsort((ids, -score))
-        ids, where = np.unique(ids[order], return_index=True)
-        keep = np.sort(where)[:k]
-        yield int(own), row_ids[at][order][keep], score[order][keep]
+# --- exact search, in blocks ----------------------------------------------------------------------------
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    # Summed row by row in one order, so that equal vectors get equal scores.
+    return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
 def _pack(name: str):
-    """Rows of a partition in shards of SHARD, ids and vectors as bytes."""
+    """Rows (vid, vector) of a partition in shards of SHARD, as bytes."""
 
     def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        ids = table.column("id").to_numpy().astype(np.int64).tobytes()
-        data = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
+        ids = table.column("vid").to_numpy().astype(np.int64).tobytes()
+        data = _vectors(table.column("vector").combine_chunks()).astype(np.float64).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([data], pa.binary())], names=[f"{name}_ids", name])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,52 +145,241 @@ def _pack(name: str):
     return run
 
 
-def _search_all(coder: Coder, k: int):
+def _search_all(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
-                row_ids, query_ids = get("rows_ids", np.int64), get("queries_ids", np.int64)
-                rows, queries = get("rows", np.float64).reshape(len(row_ids), -1), get("queries", np.float64).reshape(len(query_ids), -1)
-                out = list(search(coder, queries, query_ids, rows, row_ids, k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
-                    names=["query_id", "vec_id", "score"],
-                )
+                ids, asking = get("rows_ids", np.int64), get("queries_ids", np.int64)
+                rows, queries = get("rows", np.float64).reshape(len(ids), -1), get("queries", np.float64).reshape(len(asking), -1)
+                near = unit(queries) @ unit(rows).T
+                for j in range(len(asking)):
+                    # A little more than k, as products of matrices round differently.
+                    least = np.partition(near[j], max(0, len(ids) - k))[max(0, len(ids) - k)] - 1e-9
+                    at = np.flatnonzero(near[j] >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), asking[j])), pa.array(ids[at])], names=["qvid", "vid"])
 
     return run
 
 
+def exact_pairs(rows: DataFrame, n_rows: int, queries: DataFrame, n_queries: int, k: int) -> DataFrame:
+    """(qvid, vid) that hold the k nearest rows (vid, vector) of each of queries (vid, vector), and few others."""
+    groups, blocks = max(1, -(-n_rows // SHARD)), max(1, -(-n_queries // TOGETHER))
+    packed = queries.repartition(blocks, "vid").mapInArrow(_pack("queries"), "queries_ids binary, queries binary")
+    copies = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    shards = rows.mapInArrow(_pack("rows"), "rows_ids binary, rows binary").withColumn("group", F.pmod(F.xxhash64("rows_ids"), F.lit(groups)).cast("int"))
+    return shards.join(copies, "group").drop("group").mapInArrow(_search_all(k), "qvid long, vid long")
+
+
+# --- the index ------------------------------------------------------------------------------------------
+
+
+def _coded(coder: Coder):
+    """(vid, asks, c1, c2, code) of (vid, asks, vector); code: the value in each table, as 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                check, values = coder.codes(unit(_vectors(batch.column("vector"))))
+                code = pa.array([row.tobytes() for row in values.astype(np.uint32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("vid"), batch.column("asks"), pa.array(check[:, 0].view(np.int64)), pa.array(check[:, 1].view(np.int64)), code], names=["vid", "asks", "c1", "c2", "code"])
+
+    return run
+
+
+_ENTRY = "key long, asks boolean, vid long, c1 long, c2 long, value int"
+
+
+def _entries(coder: Coder, cut: int, asking: bool, keys_only: bool = False):
+    """Rows in their buckets, or queries at all keys that their probes reach. key: table and the value without its last ``cut`` bits."""
+    above = np.unique(coder.masks >> cut)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                values = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("code")]).astype(np.int64)
+                keys = (values >> cut) + (np.arange(coder.tables, dtype=np.int64) << 32)
+                of, table = np.divmod(np.arange(keys.size), coder.tables)
+                keys = keys.ravel()
+                if asking:
+                    of, table, keys = np.repeat(of, len(above)), np.repeat(table, len(above)), (keys[:, None] ^ above[None, :]).ravel()
+                if keys_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+                    continue
+                row = pa.array(of)
+                columns = [pa.array(keys), pa.array(np.full(len(keys), asking)), *[part.column(c).take(row) for c in ("vid", "c1", "c2")], pa.array(values[of, table].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "asks", "vid", "c1", "c2", "value"])
+
+    return run
+
+
+def _probed(queries: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...], masks: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) places whose values differ by a mask and whose checks are near."""
+    q_value, q1, q2 = queries
+    value, r1, r2 = rows
+    order = np.argsort(value, kind="stable")
+    held, first, n = np.unique(value[order], return_index=True, return_counts=True)
+    out = []
+    for i in range(0, len(q_value), 4096):
+        wanted = q_value[i : i + 4096, None] ^ masks[None, :]
+        at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+        asking, which = np.nonzero(held[at] == wanted)
+        bucket = at[asking, which]
+        # In steps, so that no more than a million pairs are held.
+        ends = np.cumsum(n[bucket])
+        for part in np.split(np.arange(len(bucket)), np.searchsorted(ends, np.arange(1 << 20, ends[-1], 1 << 20))) if len(ends) else ():
+            times = n[bucket[part]]
+            q = np.repeat(asking[part], times) + i
+            r = order[np.repeat(first[bucket[part]] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
+            apart = np.bitwise_count(q1[q] ^ r1[r]) + np.bitwise_count(q2[q] ^ r2[r])
+            keep = apart <= near
+            out.append((q[keep], r[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _meet(coder: Coder):
+    """(qvid, vid) of rows sorted by (key, part, block), queries first."""
+    masks, near = coder.masks, coder.near
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "block", "asks", "vid", "c1", "c2", "value")}
+            column |= {c: column[c].view(np.uint64) for c in ("c1", "c2")}
+            new = np.zeros(batch.num_rows, bool)
+            for c in ("key", "part", "block", "asks"):
+                new[1:] |= column[c][1:] != column[c][:-1]
+            edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                group = tuple(column[c][a] for c in ("key", "part", "block"))
+                if group != last:
+                    last, held = group, []
+                here = tuple(column[c][a:b] for c in ("vid", "value", "c1", "c2"))
+                if column["asks"][a]:
+                    held.append(here)
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                queries = held[0]
+                for i in range(0, b - a, ENTRIES):
+                    rows = tuple(x[i : i + ENTRIES] for x in here)
+                    q, r = _probed(queries[1:], rows[1:], masks, near)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(queries[0][q]), pa.array(rows[0][r])], names=["qvid", "vid"])
+
+    return run
+
+
+def index_pairs(codes: DataFrame, n_rows: int, coder: Coder, scratch: Scratch) -> DataFrame:
+    """(qvid, vid): what the queries among codes retrieve from all of them, by all tables."""
+    # About half of ENTRIES rows share a key if values were spread evenly.
+    first = int(np.clip(np.ceil(np.log2(max(1, 2 * n_rows / ENTRIES))), 0, coder.bits))
+    cut = coder.bits - first
+    asked = codes.where("asks")
+    count = lambda frame, asking, name: frame.mapInArrow(_entries(coder, cut, asking, True), "key long").groupBy("key").agg(F.count("*").alias(name))
+    rows_of, queries_of = count(codes, False, "rows"), count(asked, True, "asking")
+    parts = rows_of.join(queries_of, "key").select("key", F.ceil(F.col("rows") / ENTRIES).cast("int").alias("parts"), F.ceil(F.col("asking") / ASKING).cast("int").alias("blocks"))
+    large = scratch.keep(parts.where("parts > 1 or blocks > 1"), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_PARTS else large
+    dealt = lambda n, by: F.pmod(F.xxhash64("vid"), F.coalesce(n, F.lit(1))).cast("int").alias(by)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    parts, blocks = F.col("parts"), F.col("blocks")
+    columns = ["key", "asks", "vid", "c1", "c2", "value"]
+    entries = codes.mapInArrow(_entries(coder, cut, False), _ENTRY).join(large, "key", "left").select(*columns, dealt(parts, "part"), every(blocks).alias("block"))
+    probes = asked.mapInArrow(_entries(coder, cut, True), _ENTRY).join(large, "key", "left").select(*columns, every(parts).alias("part"), dealt(blocks, "block"))
+    group = ["key", "part", "block"]
+    met = entries.unionByName(probes).repartition(*group).sortWithinPartitions(*group, F.desc("asks"))
+    return met.mapInArrow(_meet(coder), "qvid long, vid long").distinct()
+
+
+# --- all of it ------------------------------------------------------------------------------------------
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, vector of doubles) of the rows that take part."""
     v = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     v = v.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(finite & F.exists("vector", lambda x: x != 0))
     lengths = v.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return v.where(F.size("vector") == (lengths[0]["d"] if lengths else 0))
+    v = v.where(F.size("vector") == (lengths[0]["d"] if lengths else 0))
+    # Squares of very large and very small components do not fit into a double; a cosine does not change by scale.
+    most = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    scaled = F.transform("vector", lambda x: x / F.col("most"))
+    v = v.withColumn("most", most)
+    return v.select("id", F.when(F.col("most").between(1e-100, 1e100), F.col("vector")).otherwise(scaled).alias("vector"))
+
+
+def _scored(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """(qvid, vid, score, ids) of pairs (qvid, vid); index: (vid, vector, ids)."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    normed = index.withColumn("norm", F.sqrt(dot("vector", "vector")))
+    asked = normed.select(F.col("vid").alias("qvid"), F.col("vector").alias("query"), F.col("norm").alias("q_norm"))
+    met = pairs.join(normed, "vid").join(asked, "qvid")
+    return met.select("qvid", "vid", (dot("vector", "query") / (F.col("norm") * F.col("q_norm"))).alias("score"), "ids")
+
+
+def _best(scored: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): k rows for each query (id, qvid) of what _scored gives."""
+    single = scored.select("qvid", "score", F.explode("ids").alias("vec_id"))
+    # An id may come with several vectors; its best counts.
+    single = single.groupBy("qvid", "vec_id").agg(F.max("score").alias("score"))
+    order = [F.desc("score"), F.col("vec_id")]
+    top = single.withColumn("nth", F.row_number().over(Window.partitionBy("qvid").orderBy(*order))).where(F.col("nth") <= k + 1)
+    own = asking.join(top, "qvid").where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return own.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row where is_query (a condition on ``id``) holds."""
-    ship(vectors.sparkSession)
-    v = usable(vectors, id_column, vector_column)
-    sample = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
+    spark, scratch = vectors.sparkSession, Scratch()
+    ship(spark)
+    v = scratch.keep(usable(vectors, id_column, vector_column), "usable")
+    once = v.dropDuplicates(["id", "vector"])
+    nth = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    grouped = once.withColumn("asks", is_query).withColumn("nth", nth)
+    # Which vectors are asked for is known only from all their ids.
+    asked = once.where(is_query).select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
+    index = grouped.where(F.col("nth") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    index = scratch.keep(index.withColumn("vid", F.monotonically_increasing_id()), "index")
+    asking = scratch.keep(asked.join(index.select("vid", "vector"), F.col("asked") == F.col("vector")).select("query_id", F.col("vid").alias("qvid")), "asking")
+    asks = scratch.keep(asking.select(F.col("qvid").alias("vid")).distinct(), "asks")
+    n_rows, n_queries = index.count(), asks.count()
     schema = "query_id long, rank int, vec_id long, score double"
-    if sample.num_rows == 0:
-        return vectors.sparkSession.createDataFrame([], schema)
-    x = sample.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(sample.num_rows, -1)
-    coder = fit(unit(x), k)
-    queries = v.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
-    # Shards meet blocks of queries. Shards are dealt into groups, and each group gets a copy of each block,
-    # so that no task has more than a few shards to search.
-    n_groups = max(1, -(-v.count() // SHARD))
-    blocks = max(1, -(-queries.count() // TOGETHER))
-    packed = Kept(queries.coalesce(blocks).mapInArrow(_pack("queries"), "queries_ids binary, queries binary").select("*", F.monotonically_increasing_id().alias("block")), "queries").frame
-    copies = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
-    shards = v.mapInArrow(_pack("rows"), "rows_ids binary, rows binary").withColumn("group", F.pmod(F.xxhash64("rows_ids"), F.lit(n_groups)).cast("int"))
-    met = shards.join(copies, "group").drop("group", "block")
-    best = met.mapInArrow(_search_all(coder, k), "query_id long, vec_id long, score double")
-    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if not n_rows or not n_queries:
+        scratch.clear()
+        return spark.createDataFrame([], schema)
+    queries = index.join(asks, "vid", "left_semi").select("vid", "vector")
+
+    sample = index.orderBy(F.xxhash64(F.get("ids", F.lit(0))), F.get("ids", F.lit(0))).limit(SAMPLE).select("vector").toArrow()
+    coder = rotations(unit(_vectors(sample.column("vector").combine_chunks())), CHECK + MOST_TABLES * bits_for(n_rows))
+    pilot = scratch.keep(queries.orderBy(F.xxhash64("vid"), "vid").limit(PILOT), "pilot")
+    known = _scored(exact_pairs(index.select("vid", "vector"), n_rows, pilot, min(PILOT, n_queries), k + 1), index).where(F.col("qvid") != F.col("vid"))
+    order = Window.partitionBy("qvid").orderBy(F.desc("score"), "vid")
+    known = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("qvid", "vid")
+    both = known.join(index.select(F.col("vid").alias("qvid"), F.col("vector").alias("query")), "qvid").join(index.select("vid", "vector"), "vid").select("query", "vector").toArrow()
+    sides = [unit(_vectors(both.column(c).combine_chunks())) if both.num_rows else np.zeros((0, len(coder.mean))) for c in ("query", "vector")]
+    settle(coder, *sides, n_rows)
 
+    if coder.tables:
+        flagged = index.join(asks.withColumn("asks", F.lit(True)), "vid", "left").select("vid", F.coalesce("asks", F.lit(False)).alias("asks"), "vector")
+        codes = scratch.keep(flagged.mapInArrow(_coded(coder), "vid long, asks boolean, c1 long, c2 long, code binary"), "codes")
+        pairs = scratch.keep(index_pairs(codes, n_rows, coder, scratch), "pairs")
+        found = scratch.keep(_best(_scored(pairs, index), asking, k), "found")
+        enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+        starved = asking.join(enough, "query_id", "left_anti")
+    else:
+        found, starved = None, asking
+    starved = scratch.keep(starved, "starved")
+    left = scratch.keep(index.select("vid", "vector").join(starved.select(F.col("qvid").alias("vid")).distinct(), "vid", "left_semi"), "left")
+    n_left = left.count()
+    if n_left:
+        rest = _best(_scored(exact_pairs(index.select("vid", "vector"), n_rows, left, n_left, k + 1), index), starved, k)
+        found = rest if found is None else found.join(starved.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
+    done = Kept(found, "nearest").frame
+    scratch.clear()
+    return done

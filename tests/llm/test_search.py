@@ -113,22 +113,90 @@ def test_secrets_pem_with_headers_or_escaped():
     assert time.perf_counter() - started < 10
 
 
-def test_neighbours_recall(spark):
-    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    rows = table.collect()
+def recall(got, table, k=5):
+    """Share of the k nearest by brute force that were found, with ranks and scores checked."""
+    rows = table.where("embedding is not null").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    got = neighbours.nearest(table.withColumn("score", F.lit("clash")), F.col("id") % 50 == 0).collect()
-    found, n = 0, 0
+    found, n, mine = 0, 0, {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        mine.setdefault(r["query_id"], []).append(r)
     for q in np.flatnonzero(ids % 50 == 0):
         score = x @ x[q]
         score[q] = -2
-        best = set(ids[np.argsort(-score)[:5]].tolist())
-        mine = sorted((r for r in got if r["query_id"] == ids[q]), key=lambda r: r["rank"])
+        rows = mine[ids[q]]
+        assert [r["rank"] for r in rows] == [1, 2, 3, 4, 5]
+        assert all(abs(r["score"] - score[np.flatnonzero(ids == r["vec_id"])[0]]) < 1e-9 for r in rows)
+        assert [(-r["score"], r["vec_id"]) for r in rows] == sorted((-r["score"], r["vec_id"]) for r in rows)
+        found, n = found + len(set(ids[np.argsort(-score)[:k]].tolist()) & {r["vec_id"] for r in rows}), n + k
+    return found / n
+
+
+def test_neighbours_recall(spark):
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    assert recall(neighbours.nearest(table.withColumn("score", F.lit("clash")), F.col("id") % 50 == 0).collect(), table) >= 0.9
+
+
+def test_neighbours_index(spark, monkeypatch):
+    """2000 vectors: what the tables retrieve is a part of all pairs; cut into many keys, parts and blocks it is the same."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    seen, whole = [], neighbours.index_pairs
+
+    def counted(codes, n_rows, coder, scratch):
+        pairs = whole(codes, n_rows, coder, scratch)
+        seen.append((pairs.count(), codes.where("asks").count() * n_rows, coder.tables))
+        return pairs
+
+    monkeypatch.setattr(neighbours, "index_pairs", counted)
+    once = neighbours.nearest(table, F.col("id") % 50 == 0).collect()
+    assert recall(once, table) >= 0.9
+    assert seen[0][2] > 0 and seen[0][0] < 0.3 * seen[0][1]
+    for limit in ({"ENTRIES": 64, "ASKING": 3}, {"ENTRIES": 500, "BROADCAST_PARTS": 0}):
+        for name, value in limit.items():
+            monkeypatch.setattr(neighbours, name, value)
+        assert sorted(neighbours.nearest(table, F.col("id") % 50 == 0).collect()) == sorted(once)
+    assert len({x[0] for x in seen}) == 1
+    # Without enough tables, the exact way.
+    monkeypatch.setattr(neighbours, "MOST_TABLES", 1)
+    assert recall(neighbours.nearest(table, F.col("id") % 50 == 0).collect(), table) == 1
+
+
+def test_probing_reaches_the_radius():
+    """Every code within tables * (RADIUS + 1) - 1 bits is retrieved, and no pair that no table brings near."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 64))
+    coder = neighbours.settle(neighbours.rotations(neighbours.unit(x), neighbours.CHECK + 160 * 9), neighbours.unit(x[:50]), neighbours.unit(x[50:100]), 300)
+    coder.tables, coder.near = 6, neighbours.CHECK
+    check, values = coder.codes(neighbours.unit(x))
+    pairs = set()
+    for t in range(6):
+        side = (values[:, t], check[:, 0], check[:, 1])
+        pairs |= set(zip(*(p.tolist() for p in neighbours._probed(side, side, coder.masks, coder.near)), strict=True))
+    apart = np.bitwise_count(values[:, None, :] ^ values[None, :, :])
+    want = {(i, j) for i, j in zip(*np.nonzero((apart <= neighbours.RADIUS).any(axis=2)), strict=True)}
+    assert pairs == {(int(i), int(j)) for i, j in want}
+    assert all((int(i), int(j)) in pairs for i, j in zip(*np.nonzero(apart.sum(axis=2) <= 6 * (neighbours.RADIUS + 1) - 1), strict=True))
+
+
+def test_neighbours_scale(spark):
+    """Components whose squares do not fit into a double; many equal vectors; a query among them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5))
+    rows = [(i, (x[i] * s).tolist()) for i, s in enumerate([1, 1e200, 1e-200, 1e300, 5e-310] * 8)] + [(i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(1000, 1120)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r)
+    whole = np.vstack([x, np.tile([1.0, 2, 3, 4, 5], (120, 1))])
+    ids = np.array([r[0] for r in rows])
+    whole /= np.linalg.norm(whole, axis=1)[:, None]
+    for q in np.flatnonzero(ids % 10 == 0):
+        score = np.round(whole @ whole[q], 9)
+        want = [i for i in np.lexsort((ids, -score)) if i != q][:5]
+        mine = sorted(got[ids[q]], key=lambda r: r["rank"])
         assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
-        assert all(abs(r["score"] - score[np.flatnonzero(ids == r["vec_id"])[0]]) < 1e-9 for r in mine)
-        found, n = found + len(best & {r["vec_id"] for r in mine}), n + 5
-    assert found / n >= 0.9
+        assert np.allclose([r["score"] for r in mine], score[want], atol=1e-4)
+        if ids[q] >= 1000:
+            assert [r["vec_id"] for r in mine] == [i for i in range(1000, 1007) if i != ids[q]][:5]
 
 
 def test_neighbours_edges(spark):
