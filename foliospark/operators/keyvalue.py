@@ -45,22 +45,31 @@ def _labels(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "known string, field string, rank int"))
 
 
+def _numbered(lines: Column) -> Column:
+    """array<struct<pos, line>> of trimmed lines."""
+    return F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
+
+
+def _pairs_by_label(text: Column) -> Column:
+    """array<struct<emitted, label, value, conf>>: "label: value" on a line, label, colon and value on three, and line after line."""
+    lines = F.filter(_numbered(F.split(text, "\n")), lambda x: x["line"] != "")
+    steps = F.transform(lines, lambda x, i: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.get(lines, i + 1)["line"].alias("next"), F.get(lines, i + 2)["line"].alias("after")))
+
+    def found(x: Column) -> Column:
+        one = F.regexp_extract(x["line"], r"^([A-Za-z][A-Za-z /.]{1,40}?)\s*[:#]\s*(\S.*)$", 1)
+        label = F.regexp_extract(x["line"], r"^([A-Za-z][A-Za-z /.]{1,40}?)\s*:?$", 1)
+        pair = lambda nth, l, v, conf: F.struct((x["pos"] * 3 + nth).alias("emitted"), l.alias("label"), v.alias("value"), F.lit(conf).alias("conf"))  # noqa: E731, E741
+        on_line = F.when(one != "", pair(0, one, F.regexp_extract(x["line"], r"^[A-Za-z][A-Za-z /.]{1,40}?\s*[:#]\s*(\S.*)$", 1), 0.90))
+        over_three = F.when((label != "") & (x["next"] == ":") & x["after"].isNotNull(), pair(1, label, x["after"], 0.85))
+        over_two = F.when((label != "") & x["next"].isNotNull() & (x["next"] != ":"), pair(2, label, x["next"], 0.65))
+        return F.array_compact(F.array(on_line, over_three, over_two))
+
+    return F.flatten(F.transform(steps, found))
+
+
 def label_values(docs: DataFrame) -> DataFrame:
-    """(doc_id, emitted, label, value, conf): "label: value" on a line, label, colon and value on three, and line after line."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where(F.col("line") != "")
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    lines = lines.withColumn("next", F.lead("line").over(order)).withColumn("after", F.lead("line", 2).over(order))
-    one = F.regexp_extract("line", r"^([A-Za-z][A-Za-z /.]{1,40}?)\s*[:#]\s*(\S.*)$", 1)
-    label = F.regexp_extract("line", r"^([A-Za-z][A-Za-z /.]{1,40}?)\s*:?$", 1)
-    pair = lambda l, v, conf: F.struct(l.alias("label"), v.alias("value"), F.lit(conf).alias("conf"))  # noqa: E731, E741
-    found = F.array_compact(
-        F.array(
-            F.when(one != "", pair(one, F.regexp_extract("line", r"^[A-Za-z][A-Za-z /.]{1,40}?\s*[:#]\s*(\S.*)$", 1), 0.90)),
-            F.when((label != "") & (F.col("next") == ":") & F.col("after").isNotNull(), pair(label, F.col("after"), 0.85)),
-            F.when((label != "") & F.col("next").isNotNull() & (F.col("next") != ":"), pair(label, F.col("next"), 0.65)),
-        )
-    )
-    return lines.select("doc_id", "pos", F.posexplode(found).alias("nth", "f")).select("doc_id", (F.col("pos") * 3 + F.col("nth")).alias("emitted"), "f.label", "f.value", "f.conf")
+    """(doc_id, emitted, label, value, conf)."""
+    return docs.select("doc_id", F.inline(_pairs_by_label(F.col("text"))))
 
 
 def match_labels(pairs: DataFrame) -> DataFrame:
@@ -70,42 +79,66 @@ def match_labels(pairs: DataFrame) -> DataFrame:
     a table of known labels of fixed size.
     """
     known = _labels(pairs.sparkSession)
-    plain = pairs.withColumn("_label", F.trim(F.lower(F.regexp_replace("label", r"[.\s]+", " "))))
+    given = F.col("field") if "field" in pairs.columns else F.lit(None).cast("string")
+    plain = pairs.withColumn("_given", given).drop("field").withColumn("_label", F.trim(F.lower(F.regexp_replace("label", r"[.\s]+", " "))))
     same = F.col("_label") == F.col("known")
     either = F.contains(F.col("_label"), F.col("known")) | F.contains(F.col("known"), F.col("_label"))
     in_order = lambda c: F.array_join(F.array_sort(F.split(F.col(c), " ")), " ")
     nearly = F.levenshtein(in_order("_label"), in_order("known")) * 5 <= F.greatest(F.char_length("_label"), F.char_length("known"))
-    keys = plain.select("_label").distinct()
+    keys = plain.where(F.col("_label").isNotNull()).select("_label").distinct()
     order = F.struct((~same).alias("inexact"), (~nearly).alias("far"), "rank")
     fields = keys.join(known, (either | nearly) & (F.char_length("_label") > 2)).groupBy("_label").agg(F.min_by("field", order).alias("field"))
-    return plain.join(fields, "_label").drop("_label")
+    # A pair that has its field already keeps it.
+    found = plain.join(fields, "_label", "left").withColumn("field", F.coalesce("_given", "field"))
+    return found.where(F.col("field").isNotNull()).drop("_label", "_given")
+
+
+def _pairs_by_format(text: Column) -> Column:
+    """array<struct<emitted, field, value, conf>> of fields that show by their shape alone."""
+    found = [F.struct(F.lit(10**8 + i).alias("emitted"), F.lit(f).alias("field"), group(text, p, flags="").alias("value"), F.lit(0.88).alias("conf")) for i, (f, p) in enumerate(FORMATS.items())]
+    return F.filter(F.array(*found), lambda x: x["value"].isNotNull())
 
 
 def by_format(docs: DataFrame) -> DataFrame:
-    """(doc_id, emitted, field, value, conf 0.88) of fields that show by their shape alone."""
-    found = F.array(*[F.struct(F.lit(f).alias("field"), group(F.col("text"), p, flags="").alias("value")) for f, p in FORMATS.items()])
-    rows = docs.select("doc_id", F.posexplode(found).alias("nth", "f")).where(F.col("f.value").isNotNull())
-    return rows.select("doc_id", (F.lit(10**8) + F.col("nth")).alias("emitted"), "f.field", "f.value", F.lit(0.88).alias("conf"))
+    """(doc_id, emitted, field, value, conf 0.88)."""
+    return docs.select("doc_id", F.inline(_pairs_by_format(F.col("text"))))
 
 
-def by_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, emitted, field, value, conf 0.75): cells under a row of known labels, until a row with fewer than two cells."""
+def _pairs_by_table(text: Column) -> Column:
+    """array<struct<emitted, label, value, conf>>: cells under a row of known labels, until a row with fewer than two cells or the next such row."""
     cut = r"\s*\|\s*|\t+| {3,}"
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    parts = F.filter(F.split(F.trim(F.regexp_replace("line", r"^\s*\||\|\s*$", "")), cut), lambda c: F.trim(c) != "")
-    lines = lines.withColumn("cells", F.transform(parts, lambda c: F.trim(c)))
     every_label = F.array(*[F.lit(x) for labels in LABELS.values() for x in labels])
-    known = F.size(F.filter("cells", lambda c: F.array_contains(every_label, F.lower(c))))
-    so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = (F.size("cells") >= 2) & (known >= 2)
-    lines = lines.withColumn("is_head", head).withColumn("ends", F.size("cells") < 2)
-    lines = lines.withColumn("head_pos", F.last(F.when(F.col("is_head"), F.col("pos")), ignorenulls=True).over(so_far)).withColumn("end_pos", F.last(F.when(F.col("ends"), F.col("pos")), ignorenulls=True).over(so_far))
-    lines = lines.withColumn("names", F.last(F.when(F.col("is_head"), F.col("cells")), ignorenulls=True).over(so_far))
-    body = lines.where(~F.col("is_head") & ~F.col("ends") & F.col("head_pos").isNotNull() & (F.coalesce("end_pos", F.lit(-1)) < F.col("head_pos")))
-    found = body.select("doc_id", "pos", F.posexplode(F.arrays_zip(F.col("names").alias("label"), F.col("cells").alias("value"))).alias("nth", "c")).select("doc_id", (F.lit(2 * 10**8) + F.col("pos") * 100 + F.col("nth")).alias("emitted"), "c.label", "c.value")
-    fields = match_labels(found.where(F.col("label").isNotNull() & F.col("value").isNotNull()))
-    numeric = ~F.col("field").isin(*AMOUNTS) | F.col("value").rlike(r"^[₹Rs.\s]*[\d,]+(?:\.\d+)?$")
-    return fields.where(numeric).select("doc_id", "emitted", "field", "value", F.lit(0.75).alias("conf"))
+
+    def row(line: Column, pos: Column) -> Column:
+        parts = F.filter(F.split(F.trim(F.regexp_replace(line, r"^\s*\||\|\s*$", "")), cut), lambda c: F.trim(c) != "")
+        return F.struct(pos.alias("pos"), F.transform(parts, lambda c: F.trim(c)).alias("cells"))
+
+    def is_head(x: Column) -> Column:
+        return (F.size(x["cells"]) >= 2) & (F.size(F.filter(x["cells"], lambda c: F.array_contains(every_label, F.lower(c)))) >= 2)
+
+    rows = F.transform(F.split(text, "\n"), row)
+    marked = F.transform(rows, lambda x: F.struct(x["pos"].alias("pos"), x["cells"].alias("cells"), is_head(x).alias("head")))
+    stops = F.transform(F.filter(marked, lambda x: x["head"] | (F.size(x["cells"]) < 2)), lambda x: x["pos"])
+
+    def table(head: Column) -> Column:
+        end = F.coalesce(F.array_min(F.filter(stops, lambda p: p > head["pos"])), F.size(marked))
+        body = F.slice(rows, head["pos"] + 2, F.greatest(end - head["pos"] - 1, F.lit(0)))
+        cell = lambda x: F.transform(F.arrays_zip(head["cells"].alias("label"), x["cells"].alias("value")), lambda c, n: F.struct((F.lit(2 * 10**8) + x["pos"] * 100 + n).alias("emitted"), c["label"].alias("label"), c["value"].alias("value"), F.lit(0.75).alias("conf")))
+        return F.filter(F.flatten(F.transform(body, cell)), lambda c: c["label"].isNotNull() & c["value"].isNotNull())
+
+    return F.flatten(F.transform(F.filter(marked, lambda x: x["head"]), table))
+
+
+def _fields_of_cells(matched: DataFrame) -> DataFrame:
+    """Cells of a table under the label of an amount must hold a number."""
+    number = ~F.col("field").isin(*AMOUNTS) | F.col("value").rlike(r"^[₹Rs.\s]*[\d,]+(?:\.\d+)?$")
+    return matched.where((F.col("conf") != 0.75) | number)
+
+
+def by_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, emitted, field, value, conf 0.75)."""
+    cells = docs.select("doc_id", F.inline(_pairs_by_table(F.col("text"))))
+    return _fields_of_cells(match_labels(cells)).select("doc_id", "emitted", "field", "value", "conf")
 
 
 def best(candidates: DataFrame) -> DataFrame:
@@ -119,9 +152,13 @@ def numeric(field: Column, value: Column) -> Column:
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """(doc_id, field, value, amount, conf) of docs (doc_id, text)."""
-    labelled = match_labels(label_values(docs)).select("doc_id", "emitted", "field", "value", "conf")
-    return best(labelled.unionByName(by_format(docs)).unionByName(by_table(docs))).select("doc_id", "field", "value", numeric(F.col("field"), F.col("value")).alias("amount"), "conf")
+    """(doc_id, field, value, amount, conf) of docs (doc_id, text). A text is read once, in place; labels are matched together."""
+    text, none = F.col("text"), F.lit(None).cast("string")
+    whole = lambda pairs, label, field: F.transform(pairs, lambda x: F.struct(x["emitted"].alias("emitted"), (x["label"] if label else none).alias("label"), (x["field"] if field else none).alias("field"), x["value"].alias("value"), x["conf"].alias("conf")))
+    pairs = F.concat(whole(_pairs_by_label(text), True, False), whole(_pairs_by_table(text), True, False), whole(_pairs_by_format(text), False, True))
+    found = docs.select("doc_id", F.inline(pairs))
+    candidates = _fields_of_cells(match_labels(found)).select("doc_id", "emitted", "field", "value", "conf")
+    return best(candidates).select("doc_id", "field", "value", numeric(F.col("field"), F.col("value")).alias("amount"), "conf")
 
 
 def all_identifiers(text: Column) -> Column:

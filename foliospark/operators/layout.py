@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from foliospark.functions.dims import COLUMN_WORDS
+from foliospark.functions.patterns import first_contained, group
 from foliospark.functions.text import is_amount
 
 # --- regions --------------------------------------------------------------------------------------------
@@ -38,6 +35,13 @@ def merge_regions(detected: DataFrame, heuristic: DataFrame, sure: float | None
     return detected.withColumn("src", F.lit("detected")).unionByName(rest.withColumn("src", F.lit("heuristic")))
 
 
+def merge_regions_of_invoice(detected: DataFrame, heuristic: DataFrame) -> DataFrame:
+    """As merge_regions, whatever the confidence of what was detected; a heuristic region says so in its label and has confidence 0.5."""
+    rest = heuristic.join(detected.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_anti")
+    rest = rest.withColumn("label", F.concat("label", F.lit(" (heuristic fallback)"))).withColumn("conf", F.lit(0.5))
+    return detected.withColumn("src", F.lit("detected")).unionByName(rest.withColumn("src", F.lit("heuristic")))
+
+
 def detections(boxes: DataFrame, least: float = 0.25) -> DataFrame:
     """Boxes with enough confidence, with their area and its rank within the document, largest first."""
     b = F.col("bbox")
@@ -60,29 +64,30 @@ def words_of_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.select("*", F.array_min(axis(0)).alias("x1"), F.array_min(axis(1)).alias("y1"), F.array_max(axis(0)).alias("x2"), F.array_max(axis(1)).alias("y2")).drop("pts")
 
 
-
-
 def cluster_rows(words: DataFrame, share: float = 0.55) -> DataFrame:
     """words (doc_id, page, word_id, text, x1, y1, x2, y2) with cx, cy and row_id.
 
     Words from top to bottom join the row while they are within a share of the median height of its running
     mean. The mean starts anew with each row, so this is a fold over the words of a page, which are few.
     """
-    placed = words.withColumn("cx", (F.col("x1") + F.col("x2")) / 2).withColumn("cy", (F.col("y1") + F.col("y2")) / 2)
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["cy", "cx", "word_id"], kind="stable")
-        heights = (page["y2"] - page["y1"]).sort_values().to_numpy()
-        gap, mean, n, row, rows = share * heights[len(heights) // 2], None, 0, -1, []
-        for y in page["cy"]:
-            if mean is None or abs(y - mean) > gap:
-                mean, n, row = y, 1, row + 1
-            else:
-                mean, n = (mean * n + y) / (n + 1), n + 1
-            rows.append(row)
-        return page.assign(row_id=rows)
-
-    return placed.groupBy("doc_id", "page").applyInPandas(fold, StructType([*placed.schema.fields, StructField("row_id", IntegerType())]))
+    names = [c for c in words.columns if c not in ("doc_id", "page")]
+    middle = {"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2}
+    word = F.struct(*[c.alias(n) for n, c in reversed(middle.items())], "word_id", F.struct(*names).alias("of"))
+    pages = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    heights = F.sort_array(F.transform("words", lambda w: w["of"]["y2"] - w["of"]["y1"]))
+    gap = F.get(heights, F.floor(F.size("words") / 2).cast("int")) * share
+    shape = "struct<mean:double,n:int,row:int,rows:array<int>>"
+
+    def step(done: Column, w: Column) -> Column:
+        new = done["mean"].isNull() | (F.abs(w["cy"] - done["mean"]) > F.col("gap"))
+        row = done["row"] + new.cast("int")
+        mean = F.when(new, w["cy"]).otherwise((done["mean"] * done["n"] + w["cy"]) / (done["n"] + 1))
+        return F.struct(mean.alias("mean"), F.when(new, 1).otherwise(done["n"] + 1).alias("n"), row.alias("row"), F.concat(done["rows"], F.array(row)).alias("rows")).cast(shape)
+
+    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0).alias("n"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows")).cast(shape)
+    rows = F.aggregate("words", start, step, lambda done: done["rows"])
+    placed = pages.withColumn("gap", gap).select("doc_id", "page", F.explode(F.arrays_zip("words", rows.alias("row_id"))).alias("w"))
+    return placed.select("doc_id", "page", *[F.col("w.words.of")[n].alias(n) for n in names], *[F.col("w.words")[n].alias(n) for n in middle], F.col("w.row_id").alias("row_id"))
 
 
 def cluster_1d(values: DataFrame, keys: list[str], value: str, gap: Column) -> DataFrame:
@@ -160,7 +165,23 @@ def transactions_of_cells(found: DataFrame) -> DataFrame:
     return wide.where(F.col("date").rlike(r"\d"))
 
 
+# Words that tell a bank from a region's text, in order.
+REGION_BANKS = {
+    "sbi": "State Bank of India", "state bank of india": "State Bank of India", "hdfc": "HDFC Bank", "icici": "ICICI Bank", "axis bank": "Axis Bank", "kotak": "Kotak", "yes bank": "Yes Bank", "bank of baroda": "Bank of Baroda",
+    "punjab national": "PNB", "pnb": "PNB", "indusind": "IndusInd", "union bank": "Union Bank", "canara": "Canara Bank", "idbi": "IDBI Bank",
+}
+
+
 def region_parse(regions: DataFrame) -> DataFrame:
-    """(doc_id, region_text, n_dated_lines) of region texts (doc_id, label, text): a map by label, and lines that begin with a date."""
-    dated = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"^\s*\d{2}[/-]\d{2}[/-]\d{2,4}")))
-    return regions.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "text"))).alias("region_text"), F.sum(dated).alias("n_dated_lines"))
+    """(doc_id, region_text, n_dated_lines, bank, account) of region texts (doc_id, label, text).
+
+    A map by label; lines that begin with a date; the bank by a word, the account number by its label, both of
+    the first region, by label, that tells.
+    """
+    text = F.coalesce("text", F.lit(""))
+    dated = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*\d{2}[/-]\d{2}[/-]\d{2,4}")))
+    account = F.regexp_replace(group(text, r"(?:Account|A/C)\s+(?:Number|No)[.:\s]+(\d[\d ]{8,18}\d)"), " ", "")
+    read = regions.select("doc_id", "label", "text", dated.alias("dated"), first_contained(F.lower(text), REGION_BANKS).alias("bank"), account.alias("account"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("label"))).alias(c)
+    whole = F.map_from_entries(F.collect_list(F.struct("label", "text")))
+    return read.groupBy("doc_id").agg(whole.alias("region_text"), F.sum("dated").alias("n_dated_lines"), first("bank"), first("account"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.dims import CHUNK, NEAREST, OVERLAP
+from foliospark.functions.patterns import contains_any
 from foliospark.ship import ship
 
 
@@ -21,34 +23,57 @@ def chunks_fixed(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) ->
     return whole.where(F.col("chunk") != "")
 
 
+def _pieces(text: str, a: int, b: int, separator: str) -> list[int]:
+    """Where the pieces of text from a to b begin, and b: each separator begins a piece; without one, each character is one."""
+    if not separator:
+        return list(range(a, b + 1))
+    edges, at = [a], text.find(separator, a, b)
+    while at >= 0:
+        if at > a:
+            edges.append(at)
+        at = text.find(separator, at + len(separator), b)
+    return [*edges, b]
+
+
+def _packed(edges: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Pieces that follow each other, as many as fit; the next run begins with up to ``overlap`` of the last."""
+    first = 0
+    for i, (start, end) in enumerate(pairwise(edges)):
+        if i > first and end - edges[first] > size:
+            yield edges[first], start
+            while start > edges[first] and (start - edges[first] > overlap or end - edges[first] > size):
+                first += 1
+    yield edges[first], edges[-1]
+
+
 def split_recursively(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Pieces of at most ``size``, cut at the coarsest separator that does, neighbours sharing up to ``overlap``."""
-    separator = next((s for s in separators if s and s in text), "")
-    finer = separators[separators.index(separator) + 1 :] if separator else ()
-    parts = [p for p in (text.split(separator) if separator else list(text)) if p]
-    out: list[str] = []
-    held: list[str] = []
-
-    def length(pieces: list[str]) -> int:
-        return sum(map(len, pieces)) + len(separator) * max(0, len(pieces) - 1)
-
-    def flush() -> None:
-        if joined := separator.join(held).strip():
-            out.append(joined)
-
-    for part in parts:
-        if len(part) > size and finer:
-            flush()
-            held.clear()
-            out += split_recursively(part, size, overlap, finer)
+    """Pieces cut before the coarsest separator there is, packed up to ``size``; one of size or more is cut by finer ones.
+
+    Separators stay with what follows them, so that pieces are stretches of the text; blanks at either end of
+    a chunk go, and so do chunks of blanks.
+    """
+    spans: list[tuple[int, int]] = []
+    todo = [(0, len(text), separators, False)]
+    while todo:
+        a, b, left, done = todo.pop()
+        if done or a == b:
+            spans.append((a, b))
             continue
-        if held and length([*held, part]) > size:
-            flush()
-            while held and (length(held) > overlap or length([*held, part]) > size):
-                held.pop(0)
-        held.append(part)
-    flush()
-    return out
+        level = next(i for i, s in enumerate(left) if not s or text.find(s, a, b) >= 0)
+        finer, edges, parts, held = left[level + 1 :], _pieces(text, a, b, left[level]), [], []
+        for start, end in pairwise(edges):
+            if end - start < size:
+                held = held or [start]
+                held.append(end)
+                continue
+            if held:
+                parts += [(x, y, (), True) for x, y in _packed(held, size, overlap)]
+                held = []
+            parts.append((start, end, finer, not finer))
+        if held:
+            parts += [(x, y, (), True) for x, y in _packed(held, size, overlap)]
+        todo += reversed(parts)
+    return [chunk for a, b in spans if (chunk := text[a:b].strip())]
 
 
 def chunks_recursive(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -63,14 +88,25 @@ def chunks_recursive(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP)
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, chunk_id int, chunk string")
 
 
+#: Queries that are sent to every executor; beyond that, vectors so many at a time meet queries so many at a time.
+TOGETHER, GROUP = 1024, 8192
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = NEAREST) -> DataFrame:
     """(query_id, vec_id, score, rank): the k vectors (vec_id, embedding) of largest cosine for each of queries (query_id, query).
 
-    Each task keeps k for each query before anything is shuffled. Queries are few (a user's questions).
+    Each task keeps k for each query before anything is shuffled.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
-    pairs = vectors.withColumn("_n", norm(F.col("embedding"))).join(F.broadcast(queries.withColumn("_q", norm(F.col("query")))), F.lit(True))
+    asked, rows = queries.withColumn("_q", norm(F.col("query"))), vectors.withColumn("_n", norm(F.col("embedding")))
+    blocks = -(-asked.count() // TOGETHER)
+    if blocks <= 1:
+        pairs = rows.join(F.broadcast(asked), F.lit(True))
+    else:
+        groups = max(1, -(-rows.count() // GROUP))
+        dealt = lambda frame, key, own, n, other, m: frame.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        pairs = dealt(rows, "vec_id", "_group", groups, "_block", blocks).join(dealt(asked, "query_id", "_block", blocks, "_group", groups), ["_group", "_block"])
     scored = pairs.select("query_id", "vec_id", (dot(F.col("embedding"), F.col("query")) / (F.col("_n") * F.col("_q"))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -113,6 +149,39 @@ def answer(question: Column, facts: dict[str, Column], passages: Column | None =
     return F.coalesce(*rest)
 
 
+# Words that a question must all have (each one of some), and the sentence that answers it, in order.
+SENTENCES = (
+    ((("total",), ("amount", "grand")), "The total amount is ₹{total_amount}."),
+    ((("invoice",), ("number",)), "The invoice number is {invoice_number}."),
+    ((("gstin",),), "The seller GSTIN is {seller_gst}."),
+    ((("seller", "sold"),), "The seller is {seller_name}."),
+    ((("tax",),), "Tax breakdown: CGST ₹{cgst_amount}, SGST ₹{sgst_amount}, IGST ₹{igst_amount}, Total Tax ₹{total_tax}."),
+    ((("date",),), "The invoice date is {invoice_date}."),
+    ((("payment",),), "Payment method: {payment_method}."),
+)
+KNOWN = "Here's what I know:\n• Platform: {platform}\n• Total: ₹{total_amount}\n• Date: {invoice_date}\n• Seller: {seller_name}\n\nAsk about specific fields like total, tax, GSTIN, seller, date, or payment."
+
+
+def sentence(question: Column, facts: dict[str, Column]) -> Column:
+    """The first of SENTENCES whose words the question has, with facts filled in; else KNOWN. Missing taxes are N/A, other facts "not found"."""
+    lower = F.lower(question)
+
+    def filled(template: str) -> Column:
+        parts = []
+        for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+            missing = F.lit("N/A" if "Tax breakdown" in template else "not found")
+            parts.append(F.coalesce(facts[piece].cast("string"), missing) if i % 2 and piece in facts else missing if i % 2 else F.lit(piece))
+        return F.concat(*parts)
+
+    said = F.lit(None).cast("string")
+    for words, template in reversed(SENTENCES):
+        fits = F.lit(True)
+        for some in words:
+            fits = fits & contains_any(lower, some)
+        said = F.when(fits, filled(template)).otherwise(said)
+    return F.coalesce(said, filled(KNOWN))
+
+
 def facts_context(facts: dict[str, Column], text: Column, most: int = 1200) -> Column:
     """Lines "label: value" of the facts that are known, then the first characters of the text."""
     lines = [F.concat(F.lit(f"{name}: "), F.nullif(value.cast("string"), F.lit(""))) for name, value in facts.items()]

@@ -52,9 +52,10 @@ def checks(as_of: datetime.date | str) -> tuple[dict[str, Column], dict[str, Col
 
 
 def validate(invoices: DataFrame, as_of: datetime.date | str) -> DataFrame:
-    """invoices with passed and validation_warnings (hard, then soft, in order). Columns that are missing count as null."""
+    """invoices with passed, tax_validated (the same) and validation_warnings (hard, then soft, in order). Columns that are missing count as null."""
     types = dict.fromkeys(AMOUNTS, "decimal(18,2)") | dict.fromkeys(RATES, "double") | dict.fromkeys(TEXTS, "string") | {"fields_extracted": "int"}
     whole = invoices.withColumns({k: F.lit(None).cast(t) for k, t in types.items() if k not in invoices.columns})
     hard, soft = checks(as_of)
     found = whole.withColumn("_hard", F.array_compact(F.array(*hard.values()))).withColumn("_soft", F.array_compact(F.array(*soft.values())))
-    return found.select(*invoices.columns, (F.size("_hard") == 0).alias("passed"), F.concat("_hard", "_soft").alias("validation_warnings"))
+    passed = F.size("_hard") == 0
+    return found.select(*[c for c in invoices.columns if c != "tax_validated"], passed.alias("passed"), passed.alias("tax_validated"), F.concat("_hard", "_soft").alias("validation_warnings"))

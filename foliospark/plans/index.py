@@ -32,11 +32,14 @@ def load(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame
 def clear(spark: SparkSession, path: str, doc_id: int) -> None:
     """Remove one document: its folder is written anew without it, the others stay."""
     folder = spark.range(1).select(_folder(F.lit(doc_id).cast("long"))).first()[0]
-    rest = spark.read.parquet(path).where((F.col("folder") == folder) & (F.col("doc_id") != doc_id))
+    # Passages without a document stay, wherever they lie.
+    rest = spark.read.parquet(path).where((F.col("folder") == folder) & ~F.col("doc_id").eqNullSafe(F.lit(doc_id)))
     # Read before the folder is replaced; a document's neighbours in one of 64 folders are re-written.
     staged = f"{path.rstrip('/')}-staged"
     rest.drop("folder").write.mode("overwrite").parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").parquet(f"{path.rstrip('/')}/folder={folder}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def platforms(spark: SparkSession) -> DataFrame:

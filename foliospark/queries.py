@@ -38,8 +38,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(texts: DataFrame, key: str) -> DataFrame:
-    """Rendered texts are small to move and slow to read: as many partitions as there are cores, however few bytes."""
-    return texts.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism, key)
+    """Rendered texts dealt out by key, which what follows needs anyway; how many partitions is left to the session."""
+    return texts.repartition(F.col(key))
 
 
 def double(*columns: str) -> list[Column]:
@@ -124,6 +124,77 @@ def bank_header_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank.header_over_pages(pages).drop("opening_balance", "closing_balance", "pages_processed")
 
 
+_SMALL = _LINES.replace("(value + 3)", "value")
+
+
+@registered(
+    _SMALL
+    + """SELECT stmt_id, seq::INT AS seq, CASE WHEN is_debit OR amount <= 1 THEN amount::DOUBLE END AS debit, CASE WHEN NOT (is_debit OR amount <= 1) THEN amount::DOUBLE END AS credit, balance::DOUBLE AS balance FROM lines"""
+)
+def bank_txn_small_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts within the tolerance of the balance, which fits both sides: the debit side is tried first."""
+    found = bank.settled(statements(spark, sf_dir, added=0))
+    nth = F.row_number().over(Window.partitionBy("stmt_id").orderBy("seq"))
+    return found.select("stmt_id", nth.alias("seq"), *double("debit", "credit", "balance"))
+
+
+@registered(_LINES + "SELECT stmt_id, arg_min(balance, seq)::DOUBLE AS opening_balance, arg_max(balance, seq)::DOUBLE AS closing_balance FROM lines GROUP BY stmt_id")
+def bank_balances_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bank.balances(statements(spark, sf_dir, labelled=False)).select("stmt_id", *double("opening_balance", "closing_balance"))
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Statements in pages, every other one of word boxes."""
+    events = read(spark, sf_dir, "events")
+    words = render.word_boxes(events).where(F.col("page") % 2 == 0).withColumnRenamed("doc_id", "stmt_id")
+    return bank.statement_of_pages(render.statement_pages(events), words)
+
+
+_ONCE = """, once AS (SELECT *, ((seq - 1) // 40)::INT AS page FROM lines QUALIFY row_number() OVER (PARTITION BY stmt_id, ts::DATE, balance, is_debit, amount ORDER BY seq) = 1)"""
+
+
+@registered(
+    _LINES
+    + _ONCE
+    + f""", h AS ({_HEADER}), a AS (SELECT stmt_id, count(*) AS total_transactions, (sum(amount) FILTER (is_debit))::DOUBLE AS total_debits, (max(amount) FILTER (NOT is_debit))::DOUBLE AS largest_credit FROM once GROUP BY stmt_id),
+e AS (SELECT stmt_id, arg_max(balance, seq)::DOUBLE AS closing_balance, (max(seq) - 1) // 40 + 1 AS pages_processed FROM lines GROUP BY stmt_id)
+SELECT h.*, 100000.0::DOUBLE AS opening_balance, closing_balance, pages_processed::BIGINT AS pages_processed, total_transactions, total_debits, largest_credit, 'success' AS status FROM h JOIN a USING (stmt_id) JOIN e USING (stmt_id)"""
+)
+def bank_statement_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by boxes or by text to one statement: fields of the first page that has them, transactions of all in order."""
+    heads, _ = _paged(spark, sf_dir)
+    fields = ("bank_name", "account_holder", "account_number", "account_type", "ifsc_code", "micr_code", "period_from", "period_to")
+    sums = [F.col("pages_processed"), F.col("total_transactions"), *double("opening_balance", "closing_balance", "total_debits", "largest_credit")]
+    return heads.select("stmt_id", *fields, *sums, classify.bank_status(F.col("total_transactions")).alias("status"))
+
+
+@registered(
+    _LINES
+    + _ONCE
+    + """SELECT stmt_id, page, strftime(ts, '%d/%m/%Y') AS txn_date, CASE WHEN page % 2 = 0 THEN strftime(ts, '%d/%m/%Y') || ' ' ELSE '' END || upper(event_type) || ' TXN' AS description,
+  CASE WHEN is_debit THEN amount::DOUBLE END AS debit, CASE WHEN NOT is_debit THEN amount::DOUBLE END AS credit, balance::DOUBLE AS balance FROM once"""
+)
+def bank_pages_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, txns = _paged(spark, sf_dir)
+    return txns.select("stmt_id", "page", "txn_date", "description", *double("debit", "credit", "balance"))
+
+
+@registered(
+    _LINES
+    + f""", h AS ({_HEADER}), sums AS (SELECT stmt_id, count(*) AS n, arg_max(balance, seq) AS closing, sum(amount) FILTER (is_debit) AS debits, sum(amount) FILTER (NOT is_debit) AS credits, max(amount) FILTER (is_debit) AS debit, max(amount) FILTER (NOT is_debit) AS credit FROM lines GROUP BY stmt_id),
+v AS (SELECT h.stmt_id, ['Bank Name', 'Account Holder', 'Account Number', 'Account Type', 'IFSC Code', 'MICR Code', 'Period From', 'Period To', 'Pages Processed'] AS l1, [bank_name, account_holder, account_number, account_type, ifsc_code, micr_code, period_from, period_to, '1'] AS v1,
+  ['Opening Balance', 'Closing Balance', 'Total Debits', 'Total Credits', 'Largest Debit', 'Largest Credit', 'Transaction Count'] AS l2, ['100000.00', closing::VARCHAR, debits::VARCHAR, credits::VARCHAR, debit::VARCHAR, credit::VARCHAR, n::VARCHAR] AS v2 FROM h JOIN sums USING (stmt_id))
+SELECT stmt_id, 'Account Details' AS section, i AS row, l1[i] || '|' || coalesce(v1[i], '—') AS cells FROM v, range(1, 10) t(i) UNION ALL
+SELECT stmt_id, 'Balances & Analytics', i, l2[i] || '|' || coalesce(v2[i], '—') FROM v, range(1, 8) t(i) UNION ALL
+SELECT stmt_id, 'Transactions', seq, concat_ws('|', strftime(ts, '%d/%m/%Y'), 'UPI/' || upper(event_type) || ' TXN' || CASE WHEN event_type = 'error' THEN ' failed at merchant' ELSE '' END, '',
+  coalesce(CASE WHEN is_debit THEN amount::VARCHAR END, ''), coalesce(CASE WHEN NOT is_debit THEN amount::VARCHAR END, ''), balance::VARCHAR) FROM lines"""
+)
+def bank_statement_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account, balances and transactions as rows of a sheet, of statements on one page."""
+    heads, txns = bank.statement_of_pages(statements(spark, sf_dir).withColumn("page", F.lit(1)))
+    return batch.statement_sheet(heads, txns).withColumn("cells", F.array_join("cells", "|"))
+
+
 # --- classification, clean-up ---------------------------------------------------------------------------
 
 
@@ -338,6 +409,98 @@ def field_value_sheet_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.field_values(invoice.extract(invoices(spark, sf_dir)))
 
 
+_SHOPS = """, t AS (SELECT inv_id, shop, subtotal, (CASE WHEN within THEN half + half ELSE tax END)::DECIMAL(18,2) AS total, shop IN ('bigbasket', 'zomato', 'swiggy', 'blinkit') AS inside FROM shown WHERE shop IN ('bigbasket', 'zomato', 'swiggy', 'blinkit', 'jiomart', 'flipkart', 'myntra')),
+halved AS (SELECT *, (total * 0.5)::DECIMAL(18,2) AS part FROM t)"""
+
+
+@registered(
+    _FACTS
+    + _SHOPS
+    + """SELECT inv_id, shop AS platform, CASE WHEN inside THEN nullif(part, 0)::DOUBLE END AS cgst_amount, CASE WHEN inside THEN nullif(part, 0)::DOUBLE END AS sgst_amount, CASE WHEN NOT inside THEN nullif(total, 0)::DOUBLE END AS igst_amount,
+  (subtotal + CASE WHEN inside THEN part + part ELSE total END)::DOUBLE AS total_amount FROM halved"""
+)
+def invoice_shop_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taxes and totals out of the table that each shop prints."""
+    found = invoice.extract(spread(render.shop_invoices(facts(spark, sf_dir)), "inv_id"))
+    taxes = [F.nullif(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("cgst_amount", "sgst_amount", "igst_amount")]
+    return found.select("inv_id", "platform", *taxes, *double("total_amount"))
+
+
+@registered(
+    _FACTS
+    + """SELECT inv_id, c_name || ' House ' || inv_id || ', Market Road, Pune, Maharashtra' AS billing_address, c_name || ' Flat ' || inv_id || ', Lake View, Chennai, Tamil Nadu' AS shipping_address,
+  'SELLER ' || translate(seller::VARCHAR, '0123456789', 'ABCDEFGHIJ') || ' PRIVATE LIMITED Plot ' || seller || ', Trade Street, Karnataka' AS seller_info, 'Plot ' || seller || ', Trade Street, Karnataka' AS seller_address, 'Tamil Nadu' AS place_of_delivery,
+  c_name AS buyer_name, '9' || lpad((inv_id % 1000000000)::VARCHAR, 9, '0') AS buyer_phone, 9.0::DOUBLE AS cgst_rate, (inv_id % 50 + 1)::DOUBLE AS discount, (inv_id % 40 + 1)::DOUBLE AS delivery_charge, (inv_id % 30 + 1)::DOUBLE AS packaging_charge,
+  'Rupees ' || translate(inv_id::VARCHAR, '0123456789', 'ABCDEFGHIJ') || ' Only' AS amount_in_words FROM shown JOIN customer ON shown.o_custkey = customer.c_custkey"""
+)
+def invoice_other_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses, people, charges, rates and words."""
+    found = invoice.extract(spread(render.long_invoices(facts(spark, sf_dir)), "inv_id"))
+    texts = ("billing_address", "shipping_address", "seller_info", "seller_address", "place_of_delivery", "buyer_name", "buyer_phone", "cgst_rate", "amount_in_words")
+    return found.select("inv_id", *texts, *double("discount", "delivery_charge", "packaging_charge"))
+
+
+#: What is wrong with the record whose key leaves the number modulo 13: columns that differ from a sound one, and what the checks say.
+_WRONG = {
+    0: ({"total_tax": "28.00", "total_amount": "s + 28"}, ["taxes do not sum to the total tax"]),
+    1: ({"sgst_amount": "12.00", "total_tax": "21.00", "total_amount": "s + 21"}, ["CGST and SGST differ"]),
+    2: ({"igst_amount": "5.00", "total_tax": "23.00", "total_amount": "s + 23"}, ["IGST with CGST or SGST"]),
+    3: ({"total_amount": "s + 100"}, ["subtotal and tax do not make the total"]),
+    4: ({"subtotal": "-s", "total_amount": "18 - s"}, ["total is not positive", "tax exceeds the total", "subtotal is negative"]),
+    5: ({"cgst_amount": "-9.00", "sgst_amount": "-9.00", "total_tax": "-18.00", "total_amount": "s - 18"}, ["total_tax is negative", "cgst_amount is negative", "sgst_amount is negative"]),
+    6: ({"subtotal": "20000000.00", "total_amount": "20000018.00"}, ["total over 10000000"]),
+    7: ({"subtotal": "NULL", "total_amount": "10.00"}, ["tax exceeds the total"]),
+    8: ({"sgst_rate": "7.0"}, ["sgst_rate is no GST rate"]),
+    9: ({"order_date": "'11/01/2024'"}, ["invoice before order"]),
+    10: ({"fields_extracted": "5"}, ["fewer than 8 fields"]),
+    11: ({"invoice_date": "'01/01/2031'"}, ["invoice date in the future"]),
+}
+_SOUND = {
+    "subtotal": "s", "cgst_amount": "9.00", "sgst_amount": "9.00", "igst_amount": "NULL", "total_tax": "18.00", "total_amount": "s + 18", "cgst_rate": "9.0", "sgst_rate": "9.0", "invoice_date": "'10/01/2024'", "order_date": "'09/01/2024'",
+    "fields_extracted": "20",
+}
+_SAID = "CASE o_orderkey % 13 " + " ".join(f"WHEN {k} THEN '{'|'.join(said)}'" for k, (_, said) in _WRONG.items()) + " ELSE '' END"
+
+
+@registered(f"SELECT o_orderkey AS inv_id, o_orderkey % 13 NOT IN (0, 1, 2, 3, 4, 5, 6, 7, 11) AS passed, o_orderkey % 13 NOT IN (0, 1, 2, 3, 4, 5, 6, 7, 11) AS tax_validated, {_SAID} AS warnings FROM orders")
+def validate_every_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with one thing wrong each, held against all checks."""
+    types = {"fields_extracted": "int", "cgst_rate": "double", "sgst_rate": "double", "invoice_date": "string", "order_date": "string"}
+    shown = {c: "CASE o_orderkey % 13 " + " ".join(f"WHEN {k} THEN {v[c]}" for k, (v, _) in _WRONG.items() if c in v) + f" ELSE {sound} END" if any(c in v for v, _ in _WRONG.values()) else sound for c, sound in _SOUND.items()}
+    records = read(spark, sf_dir, "orders").select("o_orderkey", F.expr("cast(o_orderkey % 1000 + 100 as decimal(18,2)) AS s"))
+    records = records.select(F.col("o_orderkey").alias("inv_id"), *[F.expr(x).cast(types.get(c, render.MONEY)).alias(c) for c, x in shown.items()])
+    return validate.validate(records, AS_OF).select("inv_id", "passed", "tax_validated", F.array_join("validation_warnings", "|").alias("warnings"))
+
+
+@registered(
+    _FACTS
+    + """SELECT count(*) AS total, count_if(inv_id % 13 <> 0)::BIGINT AS processed, count_if(inv_id % 13 = 0)::BIGINT AS failed, count_if(inv_id % 13 <> 0 AND fault NOT IN (2, 3, 4, 6))::BIGINT AS success, count_if(inv_id % 13 <> 0 AND fault IN (2, 3, 4, 6))::BIGINT AS partial FROM shown"""
+)
+def batch_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some files could not be read: each is a failed row, the others go on."""
+    unread = F.when(F.col("inv_id") % 13 == 0, "not a zip file")
+    docs = invoices(spark, sf_dir).withColumn("error", unread).withColumn("text", F.when(unread.isNull(), F.col("text")))
+    return batch.counts(batch.process(docs, AS_OF))
+
+
+@registered(None)
+def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of 39 columns, as text."""
+    return batch.report(batch.process(invoices(spark, sf_dir), AS_OF).withColumn("engine", F.lit("text")).withColumn("ocr_confidence", F.lit(0.98)), "inv_id")
+
+
+@registered("SELECT c_custkey, '₹' || format('{:,.2f}', c_acctbal) AS money, CASE WHEN c_acctbal > 0 THEN format('{:,.1f}', least(c_acctbal, 9999) / 100) || '%' ELSE '-' END AS share, CASE WHEN contains(c_name, '#') THEN c_name ELSE '' END AS cell FROM customer")
+def display_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    share = F.when(F.col("c_acctbal") > 0, F.least("c_acctbal", F.lit(9999.0)) / 100 / 100)
+    return c.select("c_custkey", text.shown_money(F.col("c_acctbal").cast(render.MONEY)).alias("money"), text.shown_percent(share).alias("share"), text.csv_cell(F.col("c_name")).alias("cell"))
+
+
+@registered("""SELECT doc_id, md5(CASE WHEN regexp_matches(text, '[,"\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE coalesce(text, '') END) AS cell FROM documents""")
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.csv_cell(F.col("text"))).alias("cell"))
+
+
 # --- retrieval ------------------------------------------------------------------------------------------
 
 
@@ -371,6 +534,19 @@ def rule_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", retrieve.rule(q).alias("field"), retrieve.answer(q, known, q).alias("answer"))
 
 
+_SENTENCE = "CASE " + " ".join("WHEN " + " AND ".join("(" + " OR ".join(f"contains(lower(text), '{w}')" for w in some) + ")" for some in words) + " THEN '" + template.replace("'", "''") + "'" for words, template in retrieve.SENTENCES) + " ELSE '" + retrieve.KNOWN.replace("'", "''") + "' END"
+for _name, _value in {"platform": "platform 1", "total_amount": "12.50", "invoice_number": "INV/1", "cgst_amount": "N/A", "sgst_amount": "N/A", "igst_amount": "2.50", "total_tax": "2.50", "seller_name": "not found", "seller_gst": "not found", "invoice_date": "not found", "payment_method": "not found"}.items():
+    _SENTENCE = _SENTENCE.replace("{" + _name + "}", _value)
+
+
+@registered(f"SELECT conv_id, turn, {_SENTENCE} AS answer FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+def sentence_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions answered with a sentence, some facts of which are missing."""
+    known = {"platform": F.lit("platform 1"), "total_amount": F.lit("12.50"), "invoice_number": F.lit("INV/1"), "cgst_amount": F.lit(None), "igst_amount": F.lit("2.50"), "total_tax": F.lit("2.50"), "seller_name": F.lit(None)}
+    asked = read(spark, sf_dir, "conversations").where((F.col("role") == "user") & F.col("text").isNotNull())
+    return asked.select("conv_id", "turn", retrieve.sentence(F.col("text"), known).alias("answer"))
+
+
 @registered("SELECT conv_id AS query_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context, length(list(substr(text, 1, 150) ORDER BY turn)[1])::INT AS first_source FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").where(F.col("text").isNotNull()).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("text").alias("chunk"))
@@ -524,8 +700,8 @@ def bank_region_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda name, pattern: F.struct(F.lit(name).alias("label"), F.regexp_extract("text", pattern, 1).alias("text"))
     parts = F.array(part("footer", r"(?s)(Closing Balance:.*)$"), part("table", r"(?s)Opening Balance: [\d,.]+\n(.*)\nClosing Balance:"), part("header", r"(?s)^(.*?Opening Balance: [\d,.]+)\n"))
     text_ = bank.text_of_regions(whole.select("stmt_id", F.explode(parts).alias("p")).select("stmt_id", "p.label", "p.text"))
-    counted = bank.analytics(bank.settled(text_)).select("stmt_id", "total_transactions")
-    return counted.join(bank.balances(text_), "stmt_id").select("stmt_id", "total_transactions", *double("closing_balance"))
+    found, _ = bank.statement_of_pages(text_.withColumn("page", F.lit(1)))
+    return found.select("stmt_id", "total_transactions", *double("closing_balance"))
 
 
 @registered(
@@ -534,7 +710,7 @@ def bank_region_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = invoices(spark, sf_dir)
-    found = invoice.extract(docs).select("inv_id", "invoice_number", "total_amount").join(docs, "inv_id")
+    found = invoice.extract(docs.withColumn("whole", F.col("text")), carried=("whole",)).withColumnRenamed("whole", "text")
     return found.select("inv_id", retrieve.facts_context({"Invoice": F.col("invoice_number"), "Total": F.col("total_amount")}, F.col("text"), 12).alias("context"))
 
 
@@ -542,7 +718,7 @@ def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All labelled facts and as much of the text as facts_context takes; chat_context has two facts and 12 characters, as its SQL."""
     docs = invoices(spark, sf_dir)
-    found = validate.validate(invoice.extract(docs), AS_OF).join(docs, "inv_id")
+    found = validate.validate(invoice.extract(docs.withColumn("whole", F.col("text")), carried=("whole",)), AS_OF).withColumnRenamed("whole", "text")
     labelled = {
         "Platform": "platform", "Invoice Number": "invoice_number", "Order ID": "order_number", "Date": "invoice_date", "Seller": "seller_name", "GSTIN": "seller_gst", "Buyer": "buyer_name", "Subtotal": "subtotal", "CGST": "cgst_amount",
         "SGST": "sgst_amount", "IGST": "igst_amount", "Total Tax": "total_tax", "Discount": "discount", "Delivery": "delivery_charge", "Total": "total_amount", "Payment": "payment_method", "Validated": "passed",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,21 +33,43 @@ def route(content_type: Column, content: Column) -> Column:
     return F.when(is_pdf(content, content_type), "pdf").when(F.startswith(content_type, F.lit("image/")), "image").otherwise("pdf_then_image")
 
 
-def archive_members(archives: DataFrame, most: int = ARCHIVE_LIMIT) -> DataFrame:
-    """(path, member, content, error) of zip files (path, content): known suffixes, no hidden files, the first ``most`` of an archive."""
+#: Bytes of a member that are unpacked; a larger one is an error of its own.
+MEMBER_BYTES = 256 << 20
+
+
+def archive_members(archives: DataFrame, most: int = ARCHIVE_LIMIT, most_bytes: int = MEMBER_BYTES) -> DataFrame:
+    """(path, member, content, error) of zip files (path, content): known suffixes, no hidden files.
+
+    Members beyond the first ``most`` of an archive, ones of more than most_bytes and ones that cannot be read
+    are rows with an error. Members are read one by one, each batch of rows has one.
+    """
     ship(archives.sparkSession)
 
+    def unpacked(content: bytes | None) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                known = [x for x in z.infolist() if not x.filename.startswith("__MACOSX") and not x.filename.split("/")[-1].startswith(".") and x.filename.lower().rsplit(".", 1)[-1] in ARCHIVE_SUFFIXES]
+                if not known:
+                    yield None, None, "no supported file"
+                for i, x in enumerate(known):
+                    if i >= most:
+                        yield x.filename, None, f"more than {most} files"
+                        continue
+                    try:
+                        with z.open(x) as f:
+                            data = f.read(most_bytes + 1)
+                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error):
+                        yield x.filename, None, "cannot be read"
+                        continue
+                    yield (x.filename, data, None) if len(data) <= most_bytes else (x.filename, None, f"more than {most_bytes} bytes")
+        except (zipfile.BadZipFile, TypeError):
+            yield None, None, "not a zip file"
+
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        names = [n for n in z.namelist() if not n.startswith("__MACOSX") and not n.split("/")[-1].startswith(".") and n.lower().rsplit(".", 1)[-1] in ARCHIVE_SUFFIXES]
-                        rows += [(path, n, z.read(n), None) for n in names[:most]] or [(path, None, None, "no supported file")]
-                except (zipfile.BadZipFile, TypeError):
-                    rows.append((path, None, None, "not a zip file"))
-            yield pd.DataFrame(rows, columns=["path", "member", "content", "error"])
+                for row in unpacked(content):
+                    yield pd.DataFrame([(path, *row)], columns=["path", "member", "content", "error"])
 
     return archives.select("path", "content").mapInPandas(members, "path string, member string, content binary, error string")
 

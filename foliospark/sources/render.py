@@ -26,10 +26,10 @@ def money(value: Column) -> Column:
     return F.format_number(value, 2)
 
 
-def statement_lines(events: DataFrame) -> DataFrame:
-    """(stmt_id, seq, ts, kind, amount, is_debit, opening, balance) of each event."""
+def statement_lines(events: DataFrame, added: int = 3) -> DataFrame:
+    """(stmt_id, seq, ts, kind, amount, is_debit, opening, balance) of each event; the amount is its value and ``added``."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    amount = (F.col("value") + 3).cast(MONEY)
+    amount = (F.col("value") + added).cast(MONEY)
     is_debit = F.col("event_type").isin("purchase", "error")
     lines = events.where(F.col("user_id").isNotNull()).select(
         F.col("user_id").alias("stmt_id"), "event_id", "ts", F.col("event_type").alias("kind"), amount.alias("amount"), is_debit.alias("is_debit"), F.row_number().over(order).alias("seq"), F.lit(100000).cast(MONEY).alias("opening"),
@@ -38,9 +38,9 @@ def statement_lines(events: DataFrame) -> DataFrame:
     return lines.withColumn("balance", (F.col("opening") + F.col("_run")).cast(MONEY)).drop("_run")
 
 
-def statements(events: DataFrame, sides: bool = False, repeats: bool = False) -> DataFrame:
-    """(stmt_id, text). sides: debit, credit and balance on a line; repeats: every tenth event's line twice."""
-    lines = statement_lines(events)
+def statements(events: DataFrame, sides: bool = False, repeats: bool = False, labelled: bool = True, added: int = 3) -> DataFrame:
+    """(stmt_id, text). sides: debit, credit and balance on a line; repeats: every tenth event's line twice; labelled: opening and closing balance."""
+    lines = statement_lines(events, added)
     narration = F.concat(F.lit("UPI/"), F.upper("kind"), F.lit(" TXN"))
     if sides:
         nothing = F.lit(0).cast(MONEY)
@@ -56,8 +56,14 @@ def statements(events: DataFrame, sides: bool = False, repeats: bool = False) ->
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("body"),
         F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.max_by("balance", "seq").alias("closing"), F.max("opening").alias("opening"),
     )
-    key = F.col("stmt_id")
-    head = F.concat_ws(
+    head = _head(F.col("stmt_id"), F.col("opening") if labelled else F.lit(None).cast(MONEY))
+    foot = F.concat(F.lit("Closing Balance: "), money(F.col("closing")))
+    return body.select("stmt_id", F.concat_ws("\n", head, F.col("body"), foot if labelled else F.lit("End of statement")).alias("text"))
+
+
+def _head(key: Column, opening: Column) -> Column:
+    """What a statement begins with, of stmt_id, from_ts and to_ts."""
+    return F.concat_ws(
         "\n",
         F.lit("STATEMENT OF ACCOUNT"),
         F.concat(F.lit("Account Holder: CUSTOMER "), F.translate(key.cast("string"), "0123456789", "ABCDEFGHIJ"), F.lit("X")),
@@ -66,9 +72,24 @@ def statements(events: DataFrame, sides: bool = False, repeats: bool = False) ->
         F.concat(F.lit("IFSC Code: "), _pick(IFSC, key), F.lit("0"), F.lpad(key.cast("string"), 6, "0")),
         F.concat(F.lit("MICR Code: "), F.lpad(key.cast("string"), 9, "1")),
         F.concat(F.lit("From : "), F.date_format("from_ts", "dd/MM/yyyy"), F.lit(" To : "), F.date_format("to_ts", "dd/MM/yyyy")),
-        F.concat(F.lit("Opening Balance: "), money(F.col("opening"))),
+        F.concat(F.lit("Opening Balance: "), money(opening)),
     )
-    return body.select("stmt_id", F.concat_ws("\n", head, F.col("body"), F.concat(F.lit("Closing Balance: "), money(F.col("closing")))).alias("text"))
+
+
+#: Lines on a page.
+PAGE = 40
+
+
+def statement_pages(events: DataFrame) -> DataFrame:
+    """(stmt_id, page, text): the first page begins with the head; PAGE lines a page, as statements has them."""
+    lines = statement_lines(events).withColumn("page", F.floor((F.col("seq") - 1) / PAGE).cast("int"))
+    line = F.concat_ws(" ", F.date_format("ts", "dd/MM/yyyy"), F.concat(F.upper("kind"), F.lit(" TXN")), money(F.col("amount")), money(F.col("balance")))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n")
+    pages = lines.groupBy("stmt_id", "page").agg(body.alias("body"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("opening").alias("opening"))
+    whole = Window.partitionBy("stmt_id")
+    pages = pages.withColumn("from_ts", F.min("first").over(whole)).withColumn("to_ts", F.max("last").over(whole))
+    head = F.when(F.col("page") == 0, _head(F.col("stmt_id"), F.col("opening")))
+    return pages.select("stmt_id", "page", F.concat_ws("\n", head, F.col("body")).alias("text"))
 
 
 def word_boxes(events: DataFrame) -> DataFrame:
@@ -175,5 +196,58 @@ def invoices(facts: DataFrame, future: str = "2099-01-01") -> DataFrame:
     )
 
 
+def shop_invoices(facts: DataFrame) -> DataFrame:
+    """(inv_id, text): the taxes stand in the table that each shop prints; within a state for some shops, between states for others."""
+    plain = lambda c: F.col(c).cast("string")
+    net, tax, total = plain("subtotal"), plain("total_tax"), plain("total_amount")
+    half, both = (F.col("total_tax") / 2).cast(MONEY), (F.col("subtotal") + (F.col("total_tax") / 2).cast(MONEY) * 2).cast(MONEY).cast("string")
+    part = half.cast("string")
+    row = lambda *parts: F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    table = lambda name: F.concat_ws("\n", F.lit(f"{name}% Sale Taxable Value Tax Value"), row("2.5% Rs.", net, "Rs.", net, "Rs.", part))
+    tables = {
+        "bigbasket": F.concat_ws("\n", table("CGST"), table("SGST"), F.lit("Transaction ID 1"), row("Final Total Rs.", both)),
+        "zomato": row("Total Value", net, part, part, both),
+        "swiggy": F.concat_ws("\n", row("1 Meals", net, part, part, both), row("Invoice Value", both)),
+        "blinkit": F.concat_ws("\n", row("1 Goods", net, part, part, both), row("Total 1", net, part, part, both)),
+        "jiomart": F.concat_ws("\n", row("Total", net, net, tax, total), row("Balance Due:", total)),
+        "flipkart": row("Total 1", net, "-0.00", net, tax, total),
+        "myntra": row("TOTAL Rs", net, "Rs 0.00 Rs 0.00 Rs", net, "Rs", tax, "Rs", total),
+    }
+    words = {k: PLATFORMS[k][0] for k in tables}
+    text = F.coalesce(*[F.when(F.col("platform") == k, F.concat_ws("\n", F.lit("Tax Invoice"), F.lit(f"Ordered at {words[k]}"), v)) for k, v in tables.items()])
+    return facts.select("inv_id", text.alias("text")).where(F.col("text").isNotNull())
+
+
+def long_invoices(facts: DataFrame) -> DataFrame:
+    """(inv_id, text): addresses, people, charges, rates and words, in another order than invoices has."""
+    key = F.col("inv_id")
+    charge = lambda n: money((key % n + 1).cast(MONEY))
+    return facts.select(
+        "inv_id",
+        F.concat_ws(
+            "\n",
+            F.lit("Tax Invoice"),
+            F.lit("Details of Supplier"),
+            F.concat(F.lit("SELLER "), F.translate(F.col("seller").cast("string"), "0123456789", "ABCDEFGHIJ"), F.lit(" PRIVATE LIMITED")),
+            F.concat(F.lit("Plot "), F.col("seller").cast("string"), F.lit(", Trade Street, Karnataka")),
+            F.concat(F.lit("GSTIN: "), F.col("seller_gst")),
+            F.lit("Bill To"),
+            F.col("buyer"),
+            F.concat(F.lit("House "), key.cast("string"), F.lit(", Market Road, Pune, Maharashtra")),
+            F.lit("GSTIN: none"),
+            F.lit("Ship To"),
+            F.col("buyer"),
+            F.concat(F.lit("Flat "), key.cast("string"), F.lit(", Lake View, Chennai, Tamil Nadu")),
+            F.lit("Place of Supply: Tamil Nadu"),
+            F.concat(F.lit("Phone: 9"), F.lpad((key % 1000000000).cast("string"), 9, "0")),
+            F.concat(F.lit("CGST @9%: ₹"), money(F.col("total_tax"))),
+            F.concat(F.lit("Discount: ₹"), charge(50)),
+            F.concat(F.lit("Delivery Charges: ₹"), charge(40)),
+            F.concat(F.lit("Packaging Charges: ₹"), charge(30)),
+            F.concat(F.lit("Amount in Words: Rupees "), F.translate(key.cast("string"), "0123456789", "ABCDEFGHIJ"), F.lit(" Only")),
+        ).alias("text"),
+    )
+
+
 def bank_names() -> dict[str, str]:
     return {k: BANK_BY_IFSC[k] for k in IFSC}

@@ -87,6 +87,12 @@ def test_invoice(spark):
         ("jiomart", "Total 100.00 90.00 16.20 106.20", "IGST", "16.20"),
         ("flipkart", "Total 1 2000.00 -500.00 1271.19 228.81 1500.00", "IGST", "228.81"),
         ("myntra", "TOTAL Rs 10 Rs 20 Rs 30 Rs 5.40 Rs 35.40", "IGST", "5.40"),
+        ("myntra", "1 Rs 10 Rs 20 Rs 90\n1 Rs 576.19 Rs 28.81 Rs 605.00", "IGST", "28.81"),
+        ("myntra", "CGST Rs 4.50", "CGST", "4.50"),
+        ("flipkart", "IGST ₹ 365.90", "IGST", "365.90"),
+        ("flipkart", "Phone IGST: 12.0 %\n3049.11 x\n", "IGST", "3049.11"),
+        ("bigbasket", "CGST% Sale Taxable Value Tax Value\n2.5% 100.00 90.00 2.25\nSGST% Sale", "CGST", "2.25"),
+        ("bigbasket", "GST Information\nCGST%\nRs. 10.00 Rs. 9.00 Rs. 0.25\nRs. 20.00 Rs. 19.00 Rs. 0.50\nFinal Total", "CGST", "0.75"),
     ],
 )
 def test_taxes_in_tables(spark, shop, text, name, want):
@@ -94,6 +100,21 @@ def test_taxes_in_tables(spark, shop, text, name, want):
     assert got == Decimal(want)
 
 
+def test_other_shapes(spark):
+    text = {
+        1: "Order on blinkit\nName\n:\nAsha Rao\nAddress\n:\n4 Hill Road\nState\n:\nKerala\n",
+        2: "Invoice To\nName: Vishnu\nAddress: 4-34-96 Lake Road\nPin code 1\nAmount in Words:\nTen Rupees Only\nTOTAL: ₹197.46 ₹1,294.46",
+        3: "Tax Invoice on behalf of -\nLegal Entity Name: Foods Ltd\nRestaurant Name: Grill House\nInvoice No: A-12345\nRestaurant Packaging Charge 20 0 20\nBill to / Ship to:\nRavi Kumar, 9 Lake View",
+    }
+    got = {r["inv_id"]: r for r in invoice.extract(spark.createDataFrame(list(text.items()), "inv_id long, text string")).collect()}
+    assert got[1]["billing_address"] == "Asha Rao, 4 Hill Road, Kerala" == got[1]["shipping_address"]
+    assert got[2]["shipping_address"] == "4-34-96 Lake Road" and got[2]["amount_in_words"] == "Ten Rupees Only" and got[2]["total_amount"] == Decimal("1294.46")
+    assert "Grill House" in got[3]["seller_info"] and got[3]["packaging_charge"] == Decimal("20") and got[3]["buyer_name"] == "Ravi Kumar"
+    periods = {"for the period05/12/2019to30/12/2019": ("05/12/2019", "30/12/2019"), "period April 29, 2025 - July02, 2025": ("April 29, 2025", "July02, 2025"), "From 01/01/24 To 31/01/24": ("01/01/24", "31/01/24"), "no dates": (None, None)}
+    for r in spark.createDataFrame([(t,) for t in periods], "t string").select("t", bank.period(F.col("t")).alias("p")).collect():
+        assert tuple(r["p"] or (None, None)) == periods[r["t"]]
+
+
 def test_tax_set_rule(spark):
     f = lambda t: spark.createDataFrame([(t,)], "t string").select(invoice.tax(F.col("t"), "CGST")).first()[0]
     assert f("CGST: 10.00\nCGST: 20.00\nCGST: 30.00") == Decimal("30.00")

@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 import pandas as pd
@@ -78,6 +79,61 @@ def test_recursive_chunks(size):
     assert retrieve.split_recursively("", size) == []
 
 
+def by_definition(text, size, overlap, separators=("\n\n", "\n", " ", "")):
+    """Recursive splitting spelled out over strings: separators begin the pieces, small ones are joined up to size, large ones cut by finer ones."""
+    level = next(i for i, s in enumerate(separators) if s == "" or s in text)
+    separator, finer = separators[level], separators[level + 1 :]
+    parts = re.split(f"({re.escape(separator)})", text) if separator else list(text)
+    pieces = [p for p in ([parts[0]] + [a + b for a, b in zip(parts[1::2], parts[2::2], strict=True)] if separator else parts) if p]
+    out, small = [], []
+
+    def join():
+        held, total = [], 0
+        for p in small:
+            if held and total + len(p) > size:
+                out.append("".join(held).strip())
+                while held and (total > overlap or total + len(p) > size):
+                    total -= len(held.pop(0))
+            held.append(p)
+            total += len(p)
+        out.append("".join(held).strip())
+        small.clear()
+
+    for p in pieces:
+        if len(p) < size:
+            small.append(p)
+            continue
+        if small:
+            join()
+        out.extend(by_definition(p, size, overlap, finer) if finer else [p.strip()])
+    if small:
+        join()
+    return [x for x in out if x]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(10, 0), (25, 8), (60, 20), (400, 60)])
+def test_recursive_chunks_by_definition(spark, size, overlap):
+    import random
+
+    rng = random.Random(size)
+    odd = ["", " ", "\n\n\n\n", "a" * 1000, "a b", "\n\nx\n\n\ny z", "word " * 300, "e\u0301" * 200, "one\n\n" * 90]
+    odd += ["".join(rng.choice(["a", "bc", " ", " ", "\n", "\n\n", "long" * 9]) for _ in range(rng.randrange(200))) for _ in range(200)]
+    odd += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"]]
+    for text in odd:
+        assert retrieve.split_recursively(text, size, overlap) == (by_definition(text, size, overlap) if text else []), text[:80]
+    assert retrieve.split_recursively("first part\n\nsecond one", 14, 4) == ["first part", "second one"]
+    assert retrieve.split_recursively("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    once = sorted(retrieve.top_k(asked, vectors).select("query_id", "rank", "vec_id", "score").collect())
+    monkeypatch.setattr(retrieve, "TOGETHER", 4)
+    monkeypatch.setattr(retrieve, "GROUP", 90)
+    assert sorted(retrieve.top_k(asked, vectors).select("query_id", "rank", "vec_id", "score").collect()) == once
+
+
 def test_answers(spark):
     q = spark.createDataFrame([("How much is it?",), ("what is the GST number",), ("hello",)], "q string")
     facts = {"total_amount": F.lit(12.5), "seller_gst": F.lit(None)}
@@ -112,11 +168,36 @@ def test_files(spark, tmp_path):
         for name in ["x/1.pdf", "__MACOSX/1.pdf", ".hidden.png", "note.txt", *[f"{i}.jpg" for i in range(30)]]:
             z.writestr(name, b"1")
     members = files.archive_members(spark.createDataFrame([("good", data.getvalue()), ("bad", b"nope"), ("none", None)], "path string, content binary")).collect()
-    assert sum(r["path"] == "good" for r in members) == 20 and {r["error"] for r in members if r["path"] != "good"} == {"not a zip file"}
+    good = [r for r in members if r["path"] == "good"]
+    assert sum(r["error"] is None for r in good) == 20 and sum(r["error"] == "more than 20 files" and r["content"] is None for r in good) == 11
+    assert {r["error"] for r in members if r["path"] != "good"} == {"not a zip file"}
+    short = files.archive_members(spark.createDataFrame([("good", data.getvalue())], "path string, content binary"), most=3, most_bytes=0).collect()
+    assert [r["error"] for r in short[:4]] == ["more than 0 bytes"] * 3 + ["more than 3 files"]
     (tmp_path / "t.jsonl").write_text('{"instruction": "a", "input": "b", "output": "c"}\n\nnot json\n')
     assert [tuple(r) for r in files.training_lines(spark, str(tmp_path / "t.jsonl")).collect()] == [("a", "b", "c")]
 
 
+def test_history_and_report(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Invoice Number: A-12345\nGrand Total: 5.00", None), (2, None, None), (3, "x", "cannot be read")], "inv_id long, text string, error string")
+    done = batch.process(docs, "2026-01-01")
+    assert {r["inv_id"]: (r["status"], r["error"]) for r in done.collect()} == {1: ("partial", None), 2: ("failed", "no text"), 3: ("failed", "cannot be read")}
+    for run in ("a", "b"):
+        batch.append_history(done, str(tmp_path / "runs"), run)
+    assert batch.history(spark, str(tmp_path / "runs")).count() == 6 and batch.history(spark, str(tmp_path / "runs"), "a").count() == 3
+    shown = {r["inv_id"]: r for r in batch.report(done.withColumn("seconds", F.lit(1.234)), "inv_id").collect()}
+    assert len(shown[1]) == 40 and shown[1]["Invoice Number"] == "A-12345" and shown[1]["Processing Time (s)"] == "1.23" and shown[1]["OCR Engine"] == "" and shown[1]["Validated"] == "Yes" and shown[1]["Confidence %"].endswith("%")
+
+
+def test_regions_of_an_invoice(spark):
+    found = spark.createDataFrame([(1, "header", 0.1, [0.0]), (1, "table", 0.9, [0.0])], "doc_id long, label string, conf double, bbox array<double>")
+    bands = spark.createDataFrame([(1, x, 0.6, [1.0]) for x in ("header", "table", "footer")], "doc_id long, label string, conf double, bbox array<double>")
+    got = {(r["label"], r["conf"], r["src"]) for r in layout.merge_regions_of_invoice(found, bands).collect()}
+    assert got == {("header", 0.1, "detected"), ("table", 0.9, "detected"), ("footer (heuristic fallback)", 0.5, "heuristic")}
+    read = spark.createDataFrame([(1, "header", "HDFC statement\nAccount No: 5010 0123 4567"), (1, "table", "01/02/2024 x\n02-02-24 y\nz"), (2, "table", None)], "doc_id long, label string, text string")
+    rows = {r["doc_id"]: r for r in layout.region_parse(read).collect()}
+    assert (rows[1]["bank"], rows[1]["account"], rows[1]["n_dated_lines"]) == ("HDFC Bank", "501001234567", 2) and rows[2]["bank"] is None
+
+
 def test_export(spark, tmp_path):
     frame = spark.createDataFrame([(1, "amazon", 'a, "quoted"\nname', 12.5), (2, None, None, None)], "inv_id long, platform string, seller_name string, total_amount double")
     batch.write_csv(frame, str(tmp_path / "out"))
