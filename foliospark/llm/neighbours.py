@@ -5,7 +5,7 @@ rotations side by side. The code is cut into substrings of about log2(rows) bits
 own, a table: every row lies in one bucket of each table, under the substring's value. A query probes in each
 table the values within RADIUS bits of its own. By the pigeonhole principle that retrieves every code within
 tables * (RADIUS + 1) - 1 bits, and of those further off all that come so near in any one table. What is
-retrieved is checked by 128 bits more of the code and, if that is near, reranked in double precision on the
+retrieved is checked by 256 bits more of the code and, if that is near, reranked in double precision on the
 original vectors.
 
 Equal vectors are one row of the index, with the least k + 1 of their ids, as that many suffice for any query.
@@ -38,12 +38,14 @@ from foliospark.ship import ship
 #: Vectors to fit on; queries whose exact neighbours tell how many tables it takes; share of those to be found.
 SAMPLE, PILOT, RECALL = 4000, 200, 0.95
 #: Bits in which a probe may differ; tables at most.
-RADIUS, MOST_TABLES = 2, 160
+RADIUS, MOST_TABLES = 3, 64
 #: Rows of a table, and queries, that meet in one part; rows and queries of an exact search that do.
 ENTRIES, ASKING, SHARD, TOGETHER = 1 << 18, 1 << 16, 4096, 2048
 #: Tables parts of which are listed to every executor (about 20 bytes each).
 BROADCAST_PARTS = 200_000
-CHECK = 128
+#: Bits of the check, in words of 64.
+CHECK = 256
+WORDS = [f"c{i}" for i in range(CHECK // 64)]
 
 
 @dataclass
@@ -56,7 +58,7 @@ class Coder:
     masks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
 
     def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The check (two words of 64 bits) and the value in each table of each (unit) vector."""
+        """The check (words of 64 bits) and the value in each table of each (unit) vector."""
         on = (x - self.mean) @ self.axes[:, : CHECK + self.tables * self.bits] > 0
         check = np.packbits(on[:, :CHECK], axis=1).view(np.uint64)
         values = on[:, CHECK:].reshape(len(x), self.tables, self.bits) @ (1 << np.arange(self.bits))
@@ -100,8 +102,8 @@ def settle(coder: Coder, a: np.ndarray, b: np.ndarray, n_rows: int) -> Coder:
         masks = np.unique(np.concatenate([masks, (masks[:, None] ^ (1 << np.arange(coder.bits))).ravel()]))
     coder.masks = masks
     (check_a, values_a), (check_b, values_b) = coder.codes(a), coder.codes(b)
-    apart = np.bitwise_count(check_a ^ check_b).sum(axis=1)
-    coder.near = int(np.quantile(apart, 0.985, method="higher")) if len(apart) else CHECK
+    apart = np.bitwise_count(check_a ^ check_b).sum(axis=1, dtype=np.int64)
+    coder.near = int(np.quantile(apart, 0.975, method="higher")) if len(apart) else CHECK
     hit = np.logical_or.accumulate(np.bitwise_count(values_a ^ values_b) <= RADIUS, axis=1) & (apart <= coder.near)[:, None]
     enough = np.flatnonzero(hit.mean(axis=0) >= RECALL) if len(hit) else np.array([0])
     coder.tables = int(enough[0]) + 1 if len(enough) else 0
@@ -175,19 +177,21 @@ def exact_pairs(rows: DataFrame, n_rows: int, queries: DataFrame, n_queries: int
 
 
 def _coded(coder: Coder):
-    """(vid, asks, c1, c2, code) of (vid, asks, vector); code: the value in each table, as 32-bit numbers."""
+    """(vid, asks, WORDS, code) of (vid, asks, vector); code: the value in each table, as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 check, values = coder.codes(unit(_vectors(batch.column("vector"))))
                 code = pa.array([row.tobytes() for row in values.astype(np.uint32)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("vid"), batch.column("asks"), pa.array(check[:, 0].view(np.int64)), pa.array(check[:, 1].view(np.int64)), code], names=["vid", "asks", "c1", "c2", "code"])
+                words = [pa.array(np.ascontiguousarray(w).view(np.int64)) for w in check.T]
+                yield pa.RecordBatch.from_arrays([batch.column("vid"), batch.column("asks"), *words, code], names=["vid", "asks", *WORDS, "code"])
 
     return run
 
 
-_ENTRY = "key long, asks boolean, vid long, c1 long, c2 long, value int"
+_CHECK = ", ".join(f"{w} long" for w in WORDS)
+_ENTRY = f"key long, asks boolean, vid long, {_CHECK}, value int"
 
 
 def _entries(coder: Coder, cut: int, asking: bool, keys_only: bool = False):
@@ -207,16 +211,16 @@ def _entries(coder: Coder, cut: int, asking: bool, keys_only: bool = False):
                     yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
                     continue
                 row = pa.array(of)
-                columns = [pa.array(keys), pa.array(np.full(len(keys), asking)), *[part.column(c).take(row) for c in ("vid", "c1", "c2")], pa.array(values[of, table].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "asks", "vid", "c1", "c2", "value"])
+                columns = [pa.array(keys), pa.array(np.full(len(keys), asking)), *[part.column(c).take(row) for c in ("vid", *WORDS)], pa.array(values[of, table].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "asks", "vid", *WORDS, "value"])
 
     return run
 
 
 def _probed(queries: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...], masks: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) places whose values differ by a mask and whose checks are near."""
-    q_value, q1, q2 = queries
-    value, r1, r2 = rows
+    q_value, *q_words = queries
+    value, *words = rows
     order = np.argsort(value, kind="stable")
     held, first, n = np.unique(value[order], return_index=True, return_counts=True)
     out = []
@@ -231,7 +235,9 @@ def _probed(queries: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...], masks
             times = n[bucket[part]]
             q = np.repeat(asking[part], times) + i
             r = order[np.repeat(first[bucket[part]] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
-            apart = np.bitwise_count(q1[q] ^ r1[r]) + np.bitwise_count(q2[q] ^ r2[r])
+            apart = np.zeros(len(q), np.int16)
+            for a, b in zip(q_words, words, strict=True):
+                apart += np.bitwise_count(a[q] ^ b[r])
             keep = apart <= near
             out.append((q[keep], r[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
@@ -246,8 +252,8 @@ def _meet(coder: Coder):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "block", "asks", "vid", "c1", "c2", "value")}
-            column |= {c: column[c].view(np.uint64) for c in ("c1", "c2")}
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "block", "asks", "vid", *WORDS, "value")}
+            column |= {c: column[c].view(np.uint64) for c in WORDS}
             new = np.zeros(batch.num_rows, bool)
             for c in ("key", "part", "block", "asks"):
                 new[1:] |= column[c][1:] != column[c][:-1]
@@ -256,7 +262,7 @@ def _meet(coder: Coder):
                 group = tuple(column[c][a] for c in ("key", "part", "block"))
                 if group != last:
                     last, held = group, []
-                here = tuple(column[c][a:b] for c in ("vid", "value", "c1", "c2"))
+                here = tuple(column[c][a:b] for c in ("vid", "value", *WORDS))
                 if column["asks"][a]:
                     held.append(here)
                     continue
@@ -288,7 +294,7 @@ def index_pairs(codes: DataFrame, n_rows: int, coder: Coder, scratch: Scratch) -
     dealt = lambda n, by: F.pmod(F.xxhash64("vid"), F.coalesce(n, F.lit(1))).cast("int").alias(by)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
     parts, blocks = F.col("parts"), F.col("blocks")
-    columns = ["key", "asks", "vid", "c1", "c2", "value"]
+    columns = ["key", "asks", "vid", *WORDS, "value"]
     entries = codes.mapInArrow(_entries(coder, cut, False), _ENTRY).join(large, "key", "left").select(*columns, dealt(parts, "part"), every(blocks).alias("block"))
     probes = asked.mapInArrow(_entries(coder, cut, True), _ENTRY).join(large, "key", "left").select(*columns, every(parts).alias("part"), dealt(blocks, "block"))
     group = ["key", "part", "block"]
@@ -367,7 +373,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
 
     if coder.tables:
         flagged = index.join(asks.withColumn("asks", F.lit(True)), "vid", "left").select("vid", F.coalesce("asks", F.lit(False)).alias("asks"), "vector")
-        codes = scratch.keep(flagged.mapInArrow(_coded(coder), "vid long, asks boolean, c1 long, c2 long, code binary"), "codes")
+        codes = scratch.keep(flagged.mapInArrow(_coded(coder), f"vid long, asks boolean, {_CHECK}, code binary"), "codes")
         pairs = scratch.keep(index_pairs(codes, n_rows, coder, scratch), "pairs")
         found = scratch.keep(_best(_scored(pairs, index), asking, k), "found")
         enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
