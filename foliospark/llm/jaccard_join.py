@@ -36,7 +36,7 @@ from foliospark.llm.shared import WORD, Kept, Scratch, id_type, sealed, spread_j
 from foliospark.ship import ship
 
 #: Members of a tile compared with a leader in one part, and hashes (with 128 more for each set) in one block.
-PART, BLOCK = 2048, 1 << 18
+PART, BLOCK = 256, 1 << 18
 #: Counters of hashes, whatever the corpus; and the most parts into which those that meet under one hash are dealt.
 COUNTER_BITS, MOST_PARTS = 21, 1024
 
