@@ -235,6 +235,23 @@ def ocr_cleanup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("src", "id", F.md5("text").alias("digest"), F.char_length("text").alias("n"))
 
 
+_SAID_RIGHT = _sql_list((MISREAD | RUN_TOGETHER).values())
+
+
+@registered(
+    f"""SELECT c_custkey, {_SAID_RIGHT}[c_custkey % {len(MISREAD | RUN_TOGETHER)} + 1] || ' ₹' || (abs(c_acctbal) + 1)::DECIMAL(18,2) || ' and ₹' || (c_custkey % 100) || '.50' || chr(10) || 'GSTIN: A' || c_custkey || ' PAN: B' || c_custkey || ' FSSAI: ' || c_custkey || ' Tax: ' || c_custkey || ' 12.00 ' || (100 + c_custkey % 900) AS text FROM customer"""
+)
+def ocr_cleanup_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known text with the faults of recognition put in, cleaned."""
+    wrong = F.element_at(F.array(*map(F.lit, MISREAD | RUN_TOGETHER)), (F.col("c_custkey") % len(MISREAD | RUN_TOGETHER) + 1).cast("int"))
+    key, amount = F.col("c_custkey").cast("string"), (F.abs("c_acctbal") + 1).cast(render.MONEY).cast("string")
+    written = F.concat(
+        wrong, F.lit(" R "), amount, F.lit(" and T"), (F.col("c_custkey") % 100).cast("string"), F.lit(".50\nGSTIN ; A"), key, F.lit(" PAN No., B"), key, F.lit(" FSSAI;"), key, F.lit(" Tax:"), key, F.lit(" 12.00"),
+        (F.col("c_custkey") % 900 + 100).cast("string"),
+    )
+    return read(spark, sf_dir, "customer").select("c_custkey", text.clean_ocr(written).alias("text"))
+
+
 # --- invoices -------------------------------------------------------------------------------------------
 
 _SELLER = f"""{_sql_list(tuple(STATES)[:36])}[seller % 36 + 1] AS state, 'AA' || chr((65 + (seller // 26) % 26)::INT) || 'C' || chr((65 + seller % 26)::INT) || lpad((seller % 10000)::VARCHAR, 4, '0') || chr((65 + (seller * 7) % 26)::INT) AS pan"""
