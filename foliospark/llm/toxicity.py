@@ -86,17 +86,23 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, steps: int = 150, ra
     column = np.concatenate([np.searchsorted(names, b[common[b]]) for _, b in pairs]).astype(np.int32)
     doc = np.concatenate(docs_of)
     del pairs, docs_of
+    # Pairs lie by sentence; sums over either side run through them in order.
+    sentence_at = np.flatnonzero(np.diff(of, prepend=-1))
+    by_name = np.argsort(column, kind="stable")
+    of_name, name_at = of[by_name], np.searchsorted(column[by_name], np.arange(len(names)))
     total = weight.sum()
     share = float((weight * y).sum() / total)
     w, bias = np.zeros(len(names)), float(np.log(share * len(y) / max(n_sentences, 1)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = bias + np.bincount(of, w[column], minlength=n_sentences)
+        z = np.full(n_sentences, bias)
+        if len(of):
+            z[of[sentence_at]] += np.add.reduceat(w[column], sentence_at)
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-12, 1 - 1e-9)
         none = np.bincount(doc, np.log1p(-p), minlength=len(y))
         pull = np.where(y == 1, -np.exp(none) / np.maximum(1 - np.exp(none), 1e-6), 1.0) * weight / total
         g = pull[doc] * p
-        gw, gb = np.bincount(column, g[of], minlength=len(w)), float(g.sum())
+        gw, gb = np.add.reduceat(g[of_name], name_at) if len(of) else w, float(g.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         scale = np.sqrt(v / (1 - 0.99**t)) + 1e-6
