@@ -38,8 +38,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(texts: DataFrame, key: str) -> DataFrame:
-    """Rendered texts dealt out by key, which what follows needs anyway; how many partitions is left to the session."""
-    return texts.repartition(F.col(key))
+    """Rendered texts dealt out by key, which what follows needs anyway.
+
+    They are small to move and slow to read, so there are as many partitions as the session shuffles to, and two for
+    each core at least, however few bytes.
+    """
+    spark = texts.sparkSession
+    return texts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
 
 
 def double(*columns: str) -> list[Column]:
