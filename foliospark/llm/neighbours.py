@@ -5,7 +5,7 @@ rotations side by side. The code is cut into substrings of about log2(rows) bits
 own, a table: every row lies in one bucket of each table, under the substring's value. A query probes in each
 table the values within RADIUS bits of its own. By the pigeonhole principle that retrieves every code within
 tables * (RADIUS + 1) - 1 bits, and of those further off all that come so near in any one table. What is
-retrieved is checked by 256 bits more of the code and, if that is near, reranked in double precision on the
+retrieved is checked by 512 bits more of the code and, if that is near, reranked in double precision on the
 original vectors.
 
 Equal vectors are one row of the index, with the least k + 1 of their ids, as that many suffice for any query.
@@ -44,7 +44,7 @@ ENTRIES, ASKING, SHARD, TOGETHER = 1 << 18, 1 << 16, 4096, 2048
 #: Tables parts of which are listed to every executor (about 20 bytes each).
 BROADCAST_PARTS = 200_000
 #: Bits of the check, in words of 64.
-CHECK = 256
+CHECK = 512
 WORDS = [f"c{i}" for i in range(CHECK // 64)]
 
 
