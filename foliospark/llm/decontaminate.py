@@ -9,8 +9,8 @@ Shorter items must agree whole, with proportionally fewer substitutions, and get
 that such agreement always contains; items under ``shortest`` words say little by themselves and leak only
 into texts that have these words and no others (with shortest=1, into any text that has them in a row).
 
-Words are runs of ASCII letters, digits and anything beyond ASCII, lower-cased; punctuation never counts. In
-scripts without spaces (Chinese, Japanese, Thai, Lao) each character is a word.
+Words are runs of ASCII letters, digits and anything beyond ASCII, lower-cased; punctuation (of ASCII, Latin-1,
+General Punctuation, CJK and full-width forms) never counts. In scripts without spaces (Chinese, Japanese, Thai, Lao) each character is a word.
 A table of bits of fixed size tells documents' seeds that occur nowhere in the benchmark before anything is
 joined. The benchmark's seeds are sent to every executor up to BROADCAST_SEEDS rows and joined by shuffle beyond.
 
@@ -61,7 +61,23 @@ def seeds(words: np.ndarray, text: np.ndarray, mask: tuple[int, ...]) -> tuple[n
     return mix(out[at]), at
 
 
+def _plain(s: Slice) -> Slice:
+    """The slice with blanks for punctuation beyond ASCII."""
+    a = s.data
+    if len(a) < 2 or not (a >= 0xC2).any():
+        return s
+    b, c = np.append(a[1:], [0]), np.append(a[2:], [0, 0])
+    two = (a == 0xC2) & ~np.isin(b, (0xAA, 0xB5, 0xBA))
+    full_width = (b == 0xBC) & ((c <= 0x8F) | ((c >= 0x9A) & (c <= 0xA0)) | (c >= 0xBB)) | (b == 0xBD) & ((c == 0x80) | ((c >= 0x9B) & (c <= 0xA5)))
+    three = (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80) & (c != 0x85) & (c != 0x87) | (a == 0xEF) & full_width
+    blank = two | three
+    blank[1:] |= blank[:-1].copy()
+    blank[2:] |= three[:-2]
+    return Slice(s.first, np.where(blank, np.uint8(32), a), s.offsets)
+
+
 def _words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s = _plain(s)
     start, end, text = s.words(ALNUM)
     lead = s.data[:-2]
     alone = np.flatnonzero(((lead >= 0xE3) & (lead <= 0xE9)) | ((lead == 0xE0) & (s.data[1:-1] >= 0xB8) & (s.data[1:-1] <= 0xBB))) if len(s.data) > 2 else lead
@@ -134,9 +150,10 @@ def _document_seeds(masks: dict[tuple[int, ...], bool], bits: int, table):
 
 
 def agreement(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """The most words that agree in width in a row within the item, per row of words of document and item; 0: no such row."""
+    """The most words that agree in width in a row within both texts, per row of words of document and item; 0: no such row."""
     sums = lambda x: np.concatenate((np.zeros((len(x), 1), np.int64), np.cumsum(x, axis=1)), axis=1)
-    same, inside = sums((a == b) & (b != 0)), sums(b != 0)
+    inside = (a != 0) & (b != 0)
+    same, inside = sums((a == b) & inside), sums(inside)
     whole = inside[:, width:] - inside[:, :-width] == width
     return np.where(whole, same[:, width:] - same[:, :-width], 0).max(axis=1)
 
