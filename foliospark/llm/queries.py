@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontaminate, jaccard_join, language, line_dedup, mixing, neighbours, pii, quality, secrets, toxicity
-from foliospark.llm.shared import fold, read
+from foliospark.llm import decontaminate, jaccard_join, language, line_dedup, mixing, neighbours, pii, quality, runs, secrets, sharding, toxicity, tries
+from foliospark.llm.shared import WORD, fold, read
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +65,46 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): documents whose crc32 ends in 0 go on from word g % n with the same few words; texts of others, and of null ids, stay."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", (crc % 10 == 0).alias("chosen"), F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10").alias("g"))
+    docs = docs.withColumn("words", F.when(F.col("chosen"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    turns = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    repeated = F.array_join(F.concat(F.slice("words", 1, F.col("a")), F.slice(turns, 1, left)), " ")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(planted(read(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    longest = [column.cast("long").alias(name) for name, column in runs.longest().items()]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *longest, F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = read(spark, sf_dir, "documents").select("doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), sharding.key_of(F.col("text")).alias("key"))
+    # Only ids and hashes move.
+    done = sharding.shard_rows(rows, F.col("key"), F.lit(1), "doc_id", shards=8)
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tries.conversation_trie(read(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_toxicity, op3_jaccard_join, op4_language, op5_mix_sources, op6_secrets, op7_line_dedup, op8_neighbours, op9_decontaminate, op10_pii)
-}
+    for f in (
+        op1_quality, op2_toxicity, op3_jaccard_join, op4_language, op5_mix_sources, op6_secrets, op7_line_dedup, op8_neighbours, op9_decontaminate, op10_pii,
+        op11_runs, op12_shards, op13_conversation_trie,
+    )
+}
 
 #: Words per text for DuckDB, whose regular expressions know the same class.
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
@@ -110,5 +146,20 @@ marked AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.owner A
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r
+""",
+    "op13_conversation_trie": r"""
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns,
+  xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END), 4294967295) % 4 AS h
+  FROM turns GROUP BY conv_id),
+paths AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS path FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+steps AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM paths),
+nodes AS (SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '') AS ends FROM steps GROUP BY ALL),
+weighed AS (SELECT *, (n_convs - 1) * len(regexp_extract_all(CASE WHEN depth > 0 THEN node[depth].text ELSE '' END, '[^\x20\x09-\x0D]+')) AS saved, EXISTS (FROM nodes k WHERE k.depth = n.depth + 1 AND k.node[1:n.depth] = n.node) AS has_children FROM nodes n),
+above AS (SELECT node[1:top] AS node, top, depth, saved, has_children FROM (SELECT *, unnest(range(depth + 1)) AS top FROM weighed)),
+sums AS (SELECT node, sum(saved)::BIGINT AS saved_tokens, count_if(NOT has_children)::BIGINT AS n_leaves, count_if(depth = top + 1)::BIGINT AS n_children FROM above GROUP BY node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
 """,
 }
