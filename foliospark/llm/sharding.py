@@ -78,7 +78,7 @@ def filled(arcs: np.ndarray, owners: np.ndarray, room: list[int]) -> list[tuple[
 def bounds(total: int, shards: int, slack: float) -> list[int]:
     """What each shard may hold: all alike with slack, else the parts of the total that differ by one at most."""
     if slack > 0:
-        return [-(-int(total * (1 + slack)) // shards) + 1] * shards
+        return [-(-max(total, int(total * (1 + slack))) // shards)] * shards
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
