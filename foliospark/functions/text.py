@@ -92,7 +92,8 @@ def shown_money(value: Column) -> Column:
 
 
 def shown_percent(share: Column) -> Column:
-    return F.coalesce(F.concat(F.format_number(share * 100, 1), F.lit("%")), F.lit("-"))
+    """6.5%, or a dash where there is none: one place of the double nearest to the percentage, so a decimal share is exact up to there."""
+    return F.coalesce(F.concat(F.format_number((share * 100).cast("double"), 1), F.lit("%")), F.lit("-"))
 
 
 def csv_cell(value: Column) -> Column:
