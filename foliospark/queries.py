@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import identifiers, text
 from foliospark.functions.dims import BANK_WORDS, INVOICE_WORDS, MISREAD, PLATFORMS, RUN_TOGETHER, STATES
 from foliospark.operators import bank, classify, invoice, keyvalue, layout, merge, ocr, retrieve, validate
-from foliospark.plans import batch, index
+from foliospark.plans import batch, index, passages
 from foliospark.sources import render
 from foliospark.streaming import events as streams
 
@@ -546,6 +546,17 @@ def rag_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top_k(questions, vectors).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@registered(ORACLE_SQL["rag_topk_cosine"])
+def rag_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from lists on disk: half of the vectors indexed, half appended; nearest lists, then those that may hold nearer ones."""
+    vectors = read(spark, sf_dir, "embeddings")
+    at = passages.folder(spark, "index")
+    passages.build(vectors.where(F.col("vec_id") % 2 == 0), at)
+    passages.append(vectors.where(F.col("vec_id") % 2 != 0), at)
+    questions = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return passages.search(questions, at, exact=True).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 _RULE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{field}'" for words, field in retrieve.RULES) + " END"
 
 
