@@ -16,7 +16,6 @@ id. With fewer than k passages all are returned. An index of no passages finds n
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from foliospark.folders import folder, remove
 from foliospark.ship import ship
 
 #: Vectors that centroids are learned from; they go to the driver.
@@ -38,19 +38,6 @@ PROBES, RECALL = 8, 0.9
 _SLIP = 1e-6
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where all run in one process."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        import tempfile
-
-        top = tempfile.mkdtemp(prefix="foliospark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/foliospark/{name}-{uuid.uuid4().hex}"
-
-
 def _usable(vector: Column, size: int | None = None) -> Column:
     finite = F.forall(vector, lambda x: F.coalesce((F.abs(x.cast("double")) < math.inf), F.lit(False)))
     some = finite & F.exists(vector, lambda x: x != 0)
@@ -131,8 +118,7 @@ def _write(passages: DataFrame, path: str, centroids: np.ndarray) -> None:
     # What a search may leave out must be known before there is anything to find.
     counts.select("list", "reach").coalesce(1).write.mode("append").parquet(f"{path}/reach")
     dealt.repartition("list", "part").drop("part").write.mode("append").partitionBy("list").parquet(f"{path}/lists")
-    at = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    remove(spark, staged)
 
 
 def build(passages: DataFrame, path: str, n_lists: int | None = None, sample: int = SAMPLE) -> int:

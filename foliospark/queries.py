@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.folders import folder
 from foliospark.functions import identifiers, text
 from foliospark.functions.dims import BANK_WORDS, INVOICE_WORDS, MISREAD, PLATFORMS, RUN_TOGETHER, STATES
 from foliospark.operators import bank, classify, invoice, keyvalue, layout, merge, ocr, retrieve, validate
-from foliospark.plans import batch, index, passages
+from foliospark.plans import batch, index, jobs, passages
 from foliospark.sources import render
 from foliospark.streaming import events as streams
+from foliospark.streaming import statements as followed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -173,6 +175,22 @@ def bank_statement_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.select("stmt_id", *fields, *sums, classify.bank_status(F.col("total_transactions")).alias("status"))
 
 
+@registered(ORACLE_SQL["bank_statement_of_pages"])
+def bank_statements_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same statements from a stream: pages in three files, in no order; as known after the last."""
+    pages, at = render.statement_pages(read(spark, sf_dir, "events")), folder(spark, "stream")
+    come = F.pmod(F.col("page") + F.col("stmt_id"), F.lit(3))
+    pages = pages.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + come))
+    for part in range(3):
+        pages.where(come == part).coalesce(1).write.mode("append").parquet(f"{at}/pages")
+    stream = spark.readStream.schema("stmt_id long, page int, text string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{at}/pages")
+    followed.write(followed.follow(stream), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    heads, _ = followed.latest(spark, f"{at}/out")
+    fields = ("bank_name", "account_holder", "account_number", "account_type", "ifsc_code", "micr_code", "period_from", "period_to")
+    sums = [F.col("pages_processed"), F.col("total_transactions"), *double("opening_balance", "closing_balance", "total_debits", "largest_credit")]
+    return heads.select("stmt_id", *fields, *sums, classify.bank_status(F.col("total_transactions")).alias("status"))
+
+
 @registered(
     _LINES
     + _ONCE
@@ -505,6 +523,19 @@ def batch_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.counts(batch.process(docs, AS_OF))
 
 
+@registered(ORACLE_SQL["batch_with_failures"])
+def batch_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch as a job: half of it arrives after the first run, the second takes up the rest."""
+    unread = F.when(F.col("inv_id") % 13 == 0, "not a zip file")
+    docs = invoices(spark, sf_dir).select("inv_id", F.when(unread.isNull(), F.col("text")).alias("text"), unread.alias("error"))
+    at, source = folder(spark, "jobs"), folder(spark, "records")
+    job = jobs.submit(spark, at, source, "records", AS_OF)
+    for part in (0, 1):
+        docs.where(F.col("inv_id") % 2 == part).write.mode("append").parquet(source)
+        jobs.run(spark, at, job)
+    return jobs.status(spark, at, job).select(*jobs.COUNTERS)
+
+
 @registered(None)
 def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of 39 columns, as text."""
@@ -550,7 +581,7 @@ def rag_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rag_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same answers from lists on disk: half of the vectors indexed, half appended; nearest lists, then those that may hold nearer ones."""
     vectors = read(spark, sf_dir, "embeddings")
-    at = passages.folder(spark, "index")
+    at = folder(spark, "index")
     passages.build(vectors.where(F.col("vec_id") % 2 == 0), at)
     passages.append(vectors.where(F.col("vec_id") % 2 != 0), at)
     questions = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
