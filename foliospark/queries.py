@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.folders import folder
 from foliospark.functions import identifiers, text
 from foliospark.functions.dims import BANK_WORDS, INVOICE_WORDS, MISREAD, PLATFORMS, RUN_TOGETHER, STATES
-from foliospark.operators import bank, classify, invoice, keyvalue, layout, merge, ocr, retrieve, validate
+from foliospark.operators import bank, classify, invoice, keyvalue, layout, matching, merge, ocr, retrieve, scans, sketches, validate
 from foliospark.plans import batch, index, jobs, passages
 from foliospark.sources import render
 from foliospark.streaming import events as streams
@@ -822,3 +822,71 @@ def ext_segments_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     summed = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n_orders"), F.sum(F.col("o_totalprice").cast(render.MONEY)).alias("total"))
     place = F.rank().over(Window.partitionBy("n_name").orderBy(F.desc("total")))
     return summed.select("n_name", "c_mktsegment", "n_orders", F.col("total").cast("double").alias("total"), place.alias("place"))
+
+
+# --- joins and frames along time ------------------------------------------------------------------------
+
+
+@registered(
+    """WITH b AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL GROUP BY 1, 2)
+SELECT e.event_id, e.user_id, b.value AS last_value FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts >= b.ts WHERE e.event_type <> 'purchase'"""
+)
+def events_as_of_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user had last bought for at the time of every other event."""
+    events = read(spark, sf_dir, "events")
+    bought = events.where(F.col("event_type") == "purchase").select("user_id", "ts", F.col("value").alias("last_value"))
+    rest = events.where(F.col("event_type") != "purchase").select("event_id", "user_id", "ts")
+    return scans.as_of(rest, bought, ("user_id",), "ts", ("last_value",)).select("event_id", "user_id", "last_value")
+
+
+@registered(
+    """SELECT event_id, user_id, (sum((CASE WHEN event_type IN ('purchase', 'error') THEN value + 3 ELSE 0 END)::DECIMAL(18,2)) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW))::DOUBLE AS debits
+FROM events"""
+)
+def debits_of_seven_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debits of each account over the seven days up to every event."""
+    events = read(spark, sf_dir, "events")
+    debit = F.when(F.col("event_type").isin("purchase", "error"), F.col("value") + 3).otherwise(F.lit(0.0)).cast(render.MONEY)
+    rows = events.select("event_id", "user_id", "ts", debit.alias("debit"))
+    return scans.rolling_sum(rows, ("user_id",), "ts", "debit", "7 days", "debits").select("event_id", "user_id", *double("debits"))
+
+
+_PERIODS = "(SELECT user_id, min(ts)::DATE + (i * (1 + user_id % 5))::INT AS starts, min(ts)::DATE + ((i + 1) * (1 + user_id % 5) + user_id % 3)::INT AS ends FROM events, range(4) t(i) WHERE user_id IS NOT NULL GROUP BY user_id, i)"
+
+
+@registered(f"SELECT p.user_id, p.starts, p.ends, count(*) AS n, sum(e.value::DECIMAL(18,2))::DOUBLE AS value FROM {_PERIODS} p JOIN events e ON e.user_id = p.user_id AND e.ts >= p.starts AND e.ts < p.ends GROUP BY ALL")
+def events_in_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted in statement periods of different lengths, some of which overlap."""
+    events = read(spark, sf_dir, "events")
+    first = events.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.min("ts").cast("date").alias("day")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    day = lambda days: F.date_add("day", days.cast("int"))
+    step = 1 + F.col("user_id") % 5
+    periods = first.select("user_id", day(F.col("i") * step).alias("starts"), day((F.col("i") + 1) * step + F.col("user_id") % 3).alias("ends"))
+    met = matching.in_intervals(events.select("user_id", "ts", "value"), periods, "ts", "starts", "ends", ("user_id",))
+    return met.groupBy("user_id", "starts", "ends").agg(F.count("*").alias("n"), F.sum(F.col("value").cast(render.MONEY)).cast("double").alias("value"))
+
+
+def _billed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as invoices of rounded amounts, and payments of most of them some days off, some twice, some of nothing."""
+    orders = read(spark, sf_dir, "orders").where(F.col("o_totalprice").isNotNull())
+    amount = F.when(F.col("o_orderkey") % 3 == 0, F.lit(49_900)).otherwise(F.floor(F.col("o_totalprice") / 500) * 500).cast(render.MONEY)
+    bills = orders.select(F.col("o_orderkey").alias("inv_id"), amount.alias("amount"), F.col("o_orderdate").cast("date").alias("day"))
+    late = F.date_add("day", (F.pmod(F.col("inv_id") * 7, F.lit(16)) - 3).cast("int"))
+    paid = bills.where(F.col("inv_id") % 5 != 0).withColumn("twice", F.explode(F.when(F.col("inv_id") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return bills, paid.select((F.col("inv_id") * 2 + F.col("twice")).alias("pay_id"), F.when(F.col("inv_id") % 13 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast(render.MONEY).alias("amount"), late.alias("day"))
+
+
+@registered(None)
+def payments_to_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices and payments of equal amounts, nearest days first, one to one; what is left of both."""
+    found = matching.match_payments(*_billed(spark, sf_dir))
+    return found.select("inv_id", "pay_id", F.col("amount").cast("double").alias("amount"), "days_apart")
+
+
+@registered(None)
+def weekly_from_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users and quantiles of values by week and type, from stored sketches of days."""
+    at = folder(spark, "sketches")
+    sketches.daily(read(spark, sf_dir, "events"), "ts", ("event_type",), "user_id", "value").write.parquet(at)
+    weeks = spark.read.parquet(at).withColumn("week", F.date_trunc("week", "day").cast("date"))
+    return sketches.answers(sketches.merged(weeks, "week", "event_type"), "week", "event_type")
