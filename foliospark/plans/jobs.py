@@ -6,8 +6,8 @@ micro-batch writes its results and its counters under its number, over what a br
 the checkpoint counts it as done; so a run that breaks anywhere is gone on with by the next, and no file is lost or doubled.
 Counters are observed while results are written, without a second look at them.
 
-Defined results: a file that cannot be read as text is a failed row with its error and stops no other; an empty file is a text
-in which nothing is found; a job without files has no results and counters of zero.
+Defined results: a file that cannot be read as text is a failed row with its error and stops no other; an empty file, which
+Spark's readers pass over, is no row; a job without files has no results and counters of zero.
 """
 
 from __future__ import annotations
