@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.patterns import bound
 from foliospark.llm.shared import sealed
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -42,6 +43,8 @@ CONTEXT = {
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
 }
 NEAR = 40
+#: Spans that are gathered together, and code points of a block of text, so that no step goes through all of a long text.
+STRETCH, BLOCK = 256, 1024
 
 
 def _gate(text: Column, kind: str) -> Column:
@@ -58,27 +61,34 @@ def _gate(text: Column, kind: str) -> Column:
 
 def _matches(text: Column, kind: str) -> Column:
     """array<struct<start, text>> of the pattern's matches; of ibans, those that _account_number finds in them."""
-    shape = "struct<at:int,out:array<struct<start:int,text:string>>>"
     pattern = PATTERNS[kind]
     part = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     groups = [part(1).alias("run"), part(2).alias("cut")] if kind == "iban" else []
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), part(0).alias("hit"), *groups)
-    if kind == "iban":
-        pairs = F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), _account_number(p["hit"], p["run"], p["cut"]).alias("found")))
+    found = (lambda p: _account_number(p["hit"], p["run"], p["cut"])) if kind == "iban" else (lambda p: p["hit"])
+    pairs = F.transform(pairs, lambda p: F.struct(F.char_length(p["gap"]).alias("gap"), F.char_length(p["hit"]).alias("hit"), found(p).alias("text")))
+    state = lambda at, free, starts: F.struct(at.alias("at"), free.alias("free"), starts.alias("starts"))
 
     def step(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.char_length(pair["gap"])
-        found = pair["found"] if kind == "iban" else pair["hit"]
-        added = F.array(F.struct(start.alias("start"), found.alias("text")))
-        if kind == "iban":
-            last = F.try_element_at(done["out"], F.lit(-1))
-            free = found.isNotNull() & (F.coalesce(last["start"] + F.char_length(last["text"]), F.lit(0)) <= start)
-            added = F.when(free, added).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
-        more = F.struct((start + F.char_length(pair["hit"])).alias("at"), F.concat(done["out"], added).alias("out"))
-        return F.when(pair["hit"].isNull(), done).otherwise(more).cast(shape)
+        """starts: where each match begins; null where it is no span or lies in the one before."""
+        start = done["at"] + pair["gap"]
+        is_free = pair["text"].isNotNull() & (done["free"] <= start)
+        free = F.when(is_free, start + F.char_length(pair["text"])).otherwise(done["free"])
+        return state(start + F.coalesce(pair["hit"], F.lit(0)), free, F.concat(done["starts"], F.array(F.when(is_free, start))))
 
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out")).cast(shape)
-    return F.when(_gate(text, kind), F.aggregate(pairs, nothing, step, lambda done: done["out"])).otherwise(nothing["out"])
+    def stretch(done: Column, some: Column) -> Column:
+        here = F.aggregate(some, state(done["at"], done["free"], none), step)
+        return bound(here, lambda x: state(x["at"], x["free"], F.concat(done["starts"], x["starts"])))
+
+    def spans(pairs: Column) -> Column:
+        # A list is copied when something is added to it, so starts are added to short ones, and these to the whole.
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / STRETCH).cast("int")), lambda k: F.slice(pairs, k * STRETCH + 1, F.lit(STRETCH)))
+        starts = F.aggregate(stretches, state(F.lit(0), F.lit(0), none), stretch, lambda done: done["starts"])
+        placed = F.arrays_zip(starts.alias("start"), F.transform(pairs, lambda p: p["text"]).alias("text"))
+        return F.filter(placed, lambda x: x["start"].isNotNull())
+
+    none = F.array().cast("array<int>")
+    return F.when(_gate(text, kind), bound(pairs, spans)).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
 
 
 def _account_number(head: Column, run: Column, cut: Column) -> Column:
@@ -145,12 +155,16 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     names = docs.columns
     docs, back = sealed(docs, (text,))
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    found = docs.select("*", *[_matches(whole, k).alias(f"pii {k}") for k in PATTERNS])
+    blocks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("pii blocks")
+    found = docs.select("*", blocks, *[_matches(whole, k).alias(f"pii {k}") for k in PATTERNS])
 
     def scored(kind: str, rank: int) -> Column:
         def one(x: Column) -> Column:
             start, length = x["start"], F.char_length(x["text"])
-            before = F.lower(F.substr(whole, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))))
+            first = F.greatest(F.floor(start / BLOCK).cast("int") - 1, F.lit(0))
+            here = F.concat(*[F.coalesce(F.get("pii blocks", first + i), F.lit("")) for i in (0, 1)])
+            at = start - first * BLOCK
+            before = F.lower(F.substr(here, F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR))))
             near = F.lit(False)
             for word in CONTEXT[kind]:
                 near = near | F.contains(before, F.lit(word))

@@ -219,3 +219,19 @@ def test_mixing(spark):
     many = mixing.targets(spark.createDataFrame([(f"s{i:03d}", 1000) for i in range(299)] + [(None, 1000)], "source string, source_size long").repartition(5)).orderBy(F.col("source").asc_nulls_last()).collect()
     assert [round(r["target"]) for r in many] == [500, 1000, 1500] * 100
     assert [r["target"] for r in mixing.rates(docs(spark, [(1, None, None)])).collect()] == [0.0]
+
+
+def test_pii_in_long_texts(spark):
+    """Many spans and long stretches between them: positions, texts and words before each as plain Python finds them, in a time that grows with the text."""
+    import time
+
+    text = "".join(f"{'é' * (i % 90)} mail{'x' * (i % 60)} a{i}@b.de💥 " for i in range(3000)) + " DE89 3704 0044 0532 0130 00" * 700
+    got = pii.find_pii(docs(spark, [(1, text, "s")])).first()["pii"]
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in got if s["kind"] in pii.BASE] == find(text)
+    assert all(text[s["start"] : s["end"]] == s["text"] for s in got) and sum(s["kind"] == "iban" for s in got) == 700
+    near = lambda s: any(w in text[max(0, s["start"] - pii.NEAR) : s["start"]].lower() for w in pii.CONTEXT["email"])
+    assert all((s["score"] == 0.7) == near(s) for s in got if s["kind"] == "email")
+    began = time.perf_counter()
+    many = docs(spark, [(1, " ".join(f"u{i}@b.de" for i in range(100_000)), "s")])
+    assert pii.find_pii(many).select(F.size("pii")).first()[0] == 100_000
+    assert time.perf_counter() - began < 60
