@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.patterns import every, group
+from foliospark.functions.patterns import bound, every, group
 from foliospark.functions.text import parse_amount
 
 # Labels of fields, and formats that need no label.
@@ -53,7 +53,9 @@ def _numbered(lines: Column) -> Column:
 def _pairs_by_label(text: Column) -> Column:
     """array<struct<emitted, label, value, conf>>: "label: value" on a line, label, colon and value on three, and line after line."""
     lines = F.filter(_numbered(F.split(text, "\n")), lambda x: x["line"] != "")
-    steps = F.transform(lines, lambda x, i: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.get(lines, i + 1)["line"].alias("next"), F.get(lines, i + 2)["line"].alias("after")))
+    # Each line beside the two after it; the lines are cut once.
+    shifted = lambda x, n: F.slice(F.transform(x, lambda y: y["line"]), n, F.size(x))
+    steps = bound(lines, lambda x: F.arrays_zip(F.transform(x, lambda y: y["pos"]).alias("pos"), shifted(x, 1).alias("line"), shifted(x, 2).alias("next"), shifted(x, 3).alias("after")))
 
     def found(x: Column) -> Column:
         one = F.regexp_extract(x["line"], r"^([A-Za-z][A-Za-z /.]{1,40}?)\s*[:#]\s*(\S.*)$", 1)
@@ -118,15 +120,19 @@ def _pairs_by_table(text: Column) -> Column:
 
     rows = F.transform(F.split(text, "\n"), row)
     marked = F.transform(rows, lambda x: F.struct(x["pos"].alias("pos"), x["cells"].alias("cells"), is_head(x).alias("head")))
-    stops = F.transform(F.filter(marked, lambda x: x["head"] | (F.size(x["cells"]) < 2)), lambda x: x["pos"])
 
-    def table(head: Column) -> Column:
-        end = F.coalesce(F.array_min(F.filter(stops, lambda p: p > head["pos"])), F.size(marked))
-        body = F.slice(rows, head["pos"] + 2, F.greatest(end - head["pos"] - 1, F.lit(0)))
+    def table(marked: Column, head: Column) -> Column:
+        body = F.slice(marked, head["pos"] + 2, F.greatest(head["end"] - head["pos"] - 1, F.lit(0)))
         cell = lambda x: F.transform(F.arrays_zip(head["cells"].alias("label"), x["cells"].alias("value")), lambda c, n: F.struct((F.lit(2 * 10**8) + x["pos"] * 100 + n).alias("emitted"), c["label"].alias("label"), c["value"].alias("value"), F.lit(0.75).alias("conf")))
         return F.filter(F.flatten(F.transform(body, cell)), lambda c: c["label"].isNotNull() & c["value"].isNotNull())
 
-    return F.flatten(F.transform(F.filter(marked, lambda x: x["head"]), table))
+    def tables(marked: Column) -> Column:
+        # A table ends where the next row stands that is a head or has fewer than two cells.
+        stops = F.filter(marked, lambda x: x["head"] | (F.size(x["cells"]) < 2))
+        ended = lambda all_of_them: F.transform(all_of_them, lambda x, i: F.struct(x["pos"].alias("pos"), x["cells"].alias("cells"), x["head"].alias("head"), F.coalesce(F.get(all_of_them, i + 1)["pos"], F.size(marked)).alias("end")))
+        return F.flatten(F.transform(F.filter(bound(stops, ended), lambda x: x["head"]), lambda head: table(marked, head)))
+
+    return bound(marked, tables)
 
 
 def _fields_of_cells(matched: DataFrame) -> DataFrame:

@@ -251,3 +251,17 @@ def test_passage_index(spark, tmp_path):
     index.clear(spark, path, 7)
     assert index.load(spark, path).count() == n - of7 and index.load(spark, path, 7).count() == 0
     assert index.platforms(spark).count() == 10
+
+
+def test_long_texts_of_labels(spark):
+    """A hundred thousand lines in one text: as many pairs, in seconds."""
+    import time
+
+    n = 100_000
+    labelled = spark.createDataFrame([(1, "\n".join(f"Invoice No: {i}" for i in range(n)))], "doc_id long, text string")
+    tables = spark.createDataFrame([(1, "\n".join("Invoice No | Order No" if i % 2 else f"a{i} | b{i}" for i in range(n)))], "doc_id long, text string")
+    keyvalue.label_values(labelled.limit(0)).count()
+    began = time.perf_counter()
+    assert keyvalue.label_values(labelled).count() == n
+    assert keyvalue.by_table(tables).count() == n - 2
+    assert time.perf_counter() - began < 30
