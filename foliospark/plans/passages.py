@@ -31,8 +31,8 @@ from foliospark.ship import ship
 SAMPLE = 20_000
 #: Passages of a list that one file has at most, so a list that holds a third of all passages is written by many tasks.
 FILE_ROWS = 100_000
-#: Rows of (question, list) that are sent to every executor; beyond that they meet lists by a shuffle in SALTS parts.
-BROADCAST_PROBES, SALTS = 20_000, 16
+#: Passages of a list, and questions to it, that are compared at a time.
+GROUP_ROWS, TOGETHER = 8192, 1024
 PROBES, RECALL = 8, 0.9
 #: Added to angles, so that rounding loses no list.
 _SLIP = 1e-6
@@ -116,7 +116,7 @@ def _write(passages: DataFrame, path: str, centroids: np.ndarray) -> None:
     parts = counts.select("list", F.ceil(F.col("rows") / FILE_ROWS).cast("int").alias("parts"))
     dealt = placed.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts", "angle")
     # What a search may leave out must be known before there is anything to find.
-    counts.select("list", "reach").coalesce(1).write.mode("append").parquet(f"{path}/reach")
+    counts.select("list", "reach", "rows").coalesce(1).write.mode("append").parquet(f"{path}/reach")
     dealt.repartition("list", "part").drop("part").write.mode("append").partitionBy("list").parquet(f"{path}/lists")
     remove(spark, staged)
 
@@ -147,23 +147,47 @@ def load(spark: SparkSession, path: str, lists: list[int] | None = None) -> Data
     return found if lists is None else found.where(F.col("list").isin([int(x) for x in lists]))
 
 
+def _nearest(k: int):
+    """The k passages of one group of a list nearest to each of the questions to it. Cosines are taken to 12 places, so that equal vectors are equally near."""
+
+    def run(passages: pa.Table, questions: pa.Table) -> pa.Table:
+        ids, asked = passages["vec_id"].to_numpy(zero_copy_only=False), questions["query_id"]
+        if not passages.num_rows or not questions.num_rows:
+            return pa.Table.from_arrays([asked.slice(0, 0), passages["vec_id"].slice(0, 0), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
+        score = np.round(_matrix(questions["query"].combine_chunks()) @ _matrix(passages["embedding"].combine_chunks()).T, 12)
+        least = np.partition(score, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+        q, v = np.nonzero(score >= least[:, None])
+        order = np.lexsort((ids[v], -score[q, v], q))
+        q, v = q[order], v[order]
+        first = np.searchsorted(q, np.arange(len(score)))
+        keep = np.arange(len(q)) - first[q] < k
+        q, v = q[keep], v[keep]
+        return pa.Table.from_arrays([asked.take(pa.array(q)), passages["vec_id"].take(pa.array(v)), pa.array(score[q, v])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def _scored(asked: DataFrame, probes: DataFrame, path: str, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the k nearest in the lists of probes (query_id, list)."""
+    """(query_id, vec_id, score, rank) of the k nearest in the lists of probes (query_id, list).
+
+    A list meets the questions to it in groups of GROUP_ROWS passages and TOGETHER questions, about, each of which gives k for a question.
+    """
     spark = asked.sparkSession
     # No more than there are lists.
     wanted = [r["list"] for r in probes.select("list").distinct().collect()]
-    rows = load(spark, path, wanted).select("vec_id", "embedding", "list")
-    pairs = probes.join(asked, "query_id").select("query_id", "query", "list")
-    if probes.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES:
-        met = rows.join(F.broadcast(pairs), "list")
-    else:
-        salted = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(salted, ["list", "salt"])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    score = dot(F.col("embedding"), F.col("query")) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("query"), F.col("query"))))
+    parts = spark.read.parquet(f"{path}/reach").groupBy("list").agg(F.ceil(F.sum("rows") / GROUP_ROWS).cast("int").alias("parts"))
+    blocks = max(1, -(-asked.count() // TOGETHER))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = load(spark, path, wanted).select("vec_id", "embedding", "list").join(F.broadcast(parts), "list")
+    rows = rows.withColumn("part", dealt("vec_id", F.col("parts"))).drop("parts").withColumn("block", every(F.lit(blocks)))
+    pairs = probes.join(asked, "query_id").select("query_id", "query", "list").withColumn("block", dealt("query_id", F.lit(blocks)))
+    pairs = pairs.join(F.broadcast(parts), "list").withColumn("part", every(F.col("parts"))).drop("parts")
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    by = ["list", "part", "block"]
+    met = rows.groupBy(*by).cogroup(pairs.groupBy(*by)).applyInArrow(_nearest(k), f"query_id {kind(asked, 'query_id')}, vec_id {kind(rows, 'vec_id')}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scored = met.select("query_id", "vec_id", score.alias("score"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(questions: DataFrame, path: str, k: int = 3, probes: int | None = None, exact: bool = False) -> DataFrame:

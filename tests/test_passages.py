@@ -46,7 +46,8 @@ def test_exact_and_recall(spark, index, monkeypatch):
     want = nearest([tuple(r) for r in rows.collect()], [tuple(r) for r in asked.collect()], 3)
     assert found(passages.search(asked, at, exact=True)) == want
     assert found(passages.search(asked, at, probes=1, exact=True)) == want
-    monkeypatch.setattr(passages, "BROADCAST_PROBES", 0)
+    monkeypatch.setattr(passages, "GROUP_ROWS", 20)
+    monkeypatch.setattr(passages, "TOGETHER", 10)
     assert found(passages.search(asked, at, exact=True)) == want
     probes = passages.tune(asked.where("query_id % 40 = 0"), at)
     assert passages.noted(spark, at) == probes < 20
