@@ -1,20 +1,21 @@
-"""Nearest neighbours by cosine: multi-index hashing over learned rotated binary codes, reranked by floats.
+"""Nearest neighbours by cosine: multi-index hashing over one learned rotated binary code, reranked by floats.
 
-Codes: the sample's principal axes, rotated to lose least by taking signs (iterative quantisation), many
-rotations side by side. The code is cut into substrings of about log2(rows) bits, and each is an index of its
-own, a table: every row lies in one bucket of each table, under the substring's value. A query probes in each
-table the values within RADIUS bits of its own. By the pigeonhole principle that retrieves every code within
-tables * (RADIUS + 1) - 1 bits, and of those further off all that come so near in any one table. What is
-retrieved is checked by 512 bits more of the code and, if that is near, reranked in double precision on the
-original vectors.
+Code: the sample's principal axes, rotated to lose least by taking signs (iterative quantisation), several
+rotations side by side, CODE bits. The code is cut into substrings of about log2(rows) bits, and each is an
+index of its own, a table: every row lies in one bucket of each table, under the substring's value. A search
+retrieves every code within ``near`` bits of the query's: with near = tables * a + b, such a code differs in at
+most a bits in one of the first b + 1 substrings, or in at most a - 1 in one of the others, so these are the
+values that a query probes. What meets in a table and is within ``near`` bits in the whole code is reranked in
+double precision on the original vectors.
 
-Equal vectors are one row of the index, with the least k + 1 of their ids, as that many suffice for any query.
-Tables are joined, not searched whole: buckets and probes meet by table and first bits of the value, and where
-very many meet, in parts of bounded size.
+``near`` follows from the exact neighbours of PILOT queries: REACHED of them lie within it. In data whose
+neighbours are near copies it is small and tables meet few pairs; where neighbours differ in a third of the bits
+no cut of the code can prune much, and the tables meet about as many pairs as a scan of all codes would.
+A query for which fewer than k are found is searched exactly, against all rows in blocks.
 
-How many tables there are, and how near the check must be, follows from the exact neighbours of PILOT queries,
-so that RECALL of them are found. A query for which fewer than k are found is searched exactly, against all
-rows in blocks. So are all queries if MOST_TABLES do not reach RECALL.
+Equal vectors are one row of the index, with the least k + 1 of their ids, as that many suffice for any query;
+each task cuts its ids to k + 1 a vector before they are shuffled. Tables are joined, not searched whole: buckets
+and probes meet by table and first bits of the value, and where very many meet, in parts of bounded size.
 
 Fitted on at most SAMPLE vectors, the first by hash of the id. Defined results: vectors that are null, zero,
 hold null or non-finite components, or differ in length from the most frequent length (the shorter on a tie)
@@ -25,7 +26,8 @@ and very small components are scaled before they are squared.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,41 +37,49 @@ from pyspark.sql import functions as F
 from foliospark.llm.shared import Kept, Scratch
 from foliospark.ship import ship
 
-#: Vectors to fit on; queries whose exact neighbours tell how many tables it takes; share of those to be found.
-SAMPLE, PILOT, RECALL = 4000, 200, 0.95
-#: Bits in which a probe may differ; tables at most.
-RADIUS, MOST_TABLES = 3, 64
+#: Vectors to fit on; queries whose exact neighbours tell the radius; share of these neighbours within it.
+SAMPLE, PILOT, REACHED = 4000, 200, 0.99
 #: Rows of a table, and queries, that meet in one part; rows and queries of an exact search that do.
 ENTRIES, ASKING, SHARD, TOGETHER = 1 << 18, 1 << 16, 4096, 2048
 #: Tables parts of which are listed to every executor (about 20 bytes each).
 BROADCAST_PARTS = 200_000
-#: Bits of the check, in words of 64.
-CHECK = 512
-WORDS = [f"c{i}" for i in range(CHECK // 64)]
+#: Bits of the code, in words of 64; bits of a substring at most; pairs and probes that are held at once.
+CODE, MOST_BITS, HELD = 512, 24, 1 << 20
+WORDS = [f"c{i}" for i in range(CODE // 64)]
 
 
 @dataclass
 class Coder:
     mean: np.ndarray
-    axes: np.ndarray  # dimensions x (CHECK + tables * bits)
+    axes: np.ndarray  # dimensions x CODE
     bits: int = 16
-    tables: int = 0
-    near: int = CHECK
-    masks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    near: int = 0
+
+    @property
+    def cuts(self) -> np.ndarray:
+        """Where each substring begins, and the end."""
+        tables = -(-CODE // self.bits)
+        return np.arange(tables + 1) * CODE // tables
+
+    @property
+    def radii(self) -> np.ndarray:
+        """Bits that a probe of each table differs in at most; -1: not probed."""
+        tables = len(self.cuts) - 1
+        a, b = divmod(self.near, tables)
+        return np.where(np.arange(tables) <= b, a, a - 1)
 
     def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The check (words of 64 bits) and the value in each table of each (unit) vector."""
-        on = (x - self.mean) @ self.axes[:, : CHECK + self.tables * self.bits] > 0
-        check = np.packbits(on[:, :CHECK], axis=1).view(np.uint64)
-        values = on[:, CHECK:].reshape(len(x), self.tables, self.bits) @ (1 << np.arange(self.bits))
-        return check, values.astype(np.int64)
+        """The code (words of 64 bits) and the value in each table of each (unit) vector."""
+        on = (x - self.mean) @ self.axes > 0
+        values = [on[:, a:b] @ (1 << np.arange(b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+        return np.packbits(on, axis=1).view(np.uint64), np.stack(values, axis=1).astype(np.int64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def rotations(x: np.ndarray, n_bits: int, bits: int = 64, steps: int = 5) -> Coder:
+def rotations(x: np.ndarray, n_bits: int = CODE, bits: int = 64, steps: int = 5) -> Coder:
     """x: unit vectors of the sample."""
     mean, rng = x.mean(axis=0), np.random.default_rng(3)
     c, d = x - mean, x.shape[1]
@@ -91,25 +101,23 @@ def rotations(x: np.ndarray, n_bits: int, bits: int = 64, steps: int = 5) -> Cod
 
 def bits_for(n_rows: int) -> int:
     """So many that a bucket holds about one row."""
-    return int(np.clip(round(np.log2(max(n_rows, 1))), 8, 24))
+    return int(np.clip(round(np.log2(max(n_rows, 1))), 8, MOST_BITS))
 
 
 def settle(coder: Coder, a: np.ndarray, b: np.ndarray, n_rows: int) -> Coder:
-    """Bits, tables and the check's bound for n_rows rows, so that RECALL of the pairs (a, b) of unit vectors are found."""
-    coder.bits, coder.tables = bits_for(n_rows), MOST_TABLES
-    masks = np.array([0], np.int64)
-    for _ in range(RADIUS):
-        masks = np.unique(np.concatenate([masks, (masks[:, None] ^ (1 << np.arange(coder.bits))).ravel()]))
-    coder.masks = masks
-    (check_a, values_a), (check_b, values_b) = coder.codes(a), coder.codes(b)
-    apart = np.bitwise_count(check_a ^ check_b).sum(axis=1, dtype=np.int64)
-    coder.near = int(np.quantile(apart, 0.975, method="higher")) if len(apart) else CHECK
-    hit = np.logical_or.accumulate(np.bitwise_count(values_a ^ values_b) <= RADIUS, axis=1) & (apart <= coder.near)[:, None]
-    enough = np.flatnonzero(hit.mean(axis=0) >= RECALL) if len(hit) else np.array([0])
-    coder.tables = int(enough[0]) + 1 if len(enough) else 0
+    """Bits of a substring for n_rows rows, and the radius within which REACHED of the pairs (a, b) of unit vectors lie."""
+    coder.bits = bits_for(n_rows)
+    apart = np.bitwise_count(coder.codes(a)[0] ^ coder.codes(b)[0]).sum(axis=1, dtype=np.int64)
+    coder.near = int(np.quantile(apart, REACHED, method="higher")) if len(apart) else 0
     return coder
 
 
+@cache
+def within(bits: int, radius: int) -> np.ndarray:
+    """All numbers of so many bits of which at most ``radius`` are set."""
+    return np.flatnonzero(np.bitwise_count(np.arange(1 << bits, dtype=np.uint32)) <= radius)
+
+
 # --- exact search, in blocks ----------------------------------------------------------------------------
 
 
@@ -182,70 +190,86 @@ def _coded(coder: Coder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                check, values = coder.codes(unit(_vectors(batch.column("vector"))))
+                whole, values = coder.codes(unit(_vectors(batch.column("vector"))))
                 code = pa.array([row.tobytes() for row in values.astype(np.uint32)], pa.binary())
-                words = [pa.array(np.ascontiguousarray(w).view(np.int64)) for w in check.T]
+                words = [pa.array(np.ascontiguousarray(w).view(np.int64)) for w in whole.T]
                 yield pa.RecordBatch.from_arrays([batch.column("vid"), batch.column("asks"), *words, code], names=["vid", "asks", *WORDS, "code"])
 
     return run
 
 
-_CHECK = ", ".join(f"{w} long" for w in WORDS)
-_ENTRY = f"key long, asks boolean, vid long, {_CHECK}, value int"
+_WORDS = ", ".join(f"{w} long" for w in WORDS)
+_ENTRY = f"key long, asks boolean, vid long, {_WORDS}, value int"
 
 
 def _entries(coder: Coder, cut: int, asking: bool, keys_only: bool = False):
     """Rows in their buckets, or queries at all keys that their probes reach. key: table and the value without its last ``cut`` bits."""
-    above = np.unique(coder.masks >> cut)
+    # Substrings of one radius together: (tables, masks of keys).
+    radii = coder.radii
+    reached = [(np.flatnonzero(radii == r), within(coder.bits - cut, r) if asking else np.zeros(1, np.int64)) for r in np.unique(radii[radii >= 0])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                values = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("code")]).astype(np.int64)
-                keys = (values >> cut) + (np.arange(coder.tables, dtype=np.int64) << 32)
-                of, table = np.divmod(np.arange(keys.size), coder.tables)
-                keys = keys.ravel()
-                if asking:
-                    of, table, keys = np.repeat(of, len(above)), np.repeat(table, len(above)), (keys[:, None] ^ above[None, :]).ravel()
-                if keys_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
-                    continue
-                row = pa.array(of)
-                columns = [pa.array(keys), pa.array(np.full(len(keys), asking)), *[part.column(c).take(row) for c in ("vid", *WORDS)], pa.array(values[of, table].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "asks", "vid", *WORDS, "value"])
+            for tables, masks in reached:
+                step = max(1, HELD // 4 // (len(tables) * len(masks)))
+                for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                    values = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("code")])[:, tables].astype(np.int64)
+                    keys = ((values >> cut)[:, :, None] ^ masks) + (tables << 32)[:, None]
+                    if keys_only:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], names=["key"])
+                        continue
+                    row = pa.array(np.repeat(np.arange(len(values)), len(tables) * len(masks)))
+                    value = np.repeat(values.ravel(), len(masks)).astype(np.int32)
+                    columns = [pa.array(keys.ravel()), pa.array(np.full(keys.size, asking)), *[part.column(c).take(row) for c in ("vid", *WORDS)], pa.array(value)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "asks", "vid", *WORDS, "value"])
 
     return run
 
 
-def _probed(queries: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...], masks: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) places whose values differ by a mask and whose checks are near."""
+def _probed(queries: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...], radius: int, low: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) places whose values differ in at most ``radius`` bits and whose codes do in at most ``near``.
+
+    The values of rows agree but for their last ``low`` bits.
+    """
     q_value, *q_words = queries
     value, *words = rows
     order = np.argsort(value, kind="stable")
     held, first, n = np.unique(value[order], return_index=True, return_counts=True)
+    masks = within(low, radius).astype(held.dtype)
+    # Where probes are more than buckets there, all buckets are looked at.
+    few = 8 * len(masks) < len(held)
+    step = max(1, 4 * HELD // (len(masks) if few else len(held)))
     out = []
-    for i in range(0, len(q_value), 4096):
-        wanted = q_value[i : i + 4096, None] ^ masks[None, :]
-        at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
-        asking, which = np.nonzero(held[at] == wanted)
-        bucket = at[asking, which]
-        # In steps, so that no more than a million pairs are held.
+    for i in range(0, len(q_value), step):
+        asked = q_value[i : i + step]
+        if few:
+            wanted = (held[0] >> low << low | asked & (1 << low) - 1)[:, None] ^ masks
+            at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+            asking, which = np.nonzero((held[at] == wanted) & (np.bitwise_count(wanted ^ asked[:, None]) <= radius))
+            bucket = at[asking, which]
+        else:
+            asking, bucket = np.nonzero(np.bitwise_count(asked[:, None] ^ held) <= radius)
+        # In steps, so that about HELD pairs are held.
         ends = np.cumsum(n[bucket])
-        for part in np.split(np.arange(len(bucket)), np.searchsorted(ends, np.arange(1 << 20, ends[-1], 1 << 20))) if len(ends) else ():
+        for part in np.split(np.arange(len(bucket)), np.searchsorted(ends, np.arange(HELD, ends[-1], HELD))) if len(ends) else ():
             times = n[bucket[part]]
             q = np.repeat(asking[part], times) + i
             r = order[np.repeat(first[bucket[part]] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
             apart = np.zeros(len(q), np.int16)
-            for a, b in zip(q_words, words, strict=True):
+            for at, (a, b) in enumerate(zip(q_words, words, strict=True)):
                 apart += np.bitwise_count(a[q] ^ b[r])
+                # Half of the code tells most of those that are too far off.
+                if at == len(words) // 2 - 1:
+                    keep = np.flatnonzero(apart <= near)
+                    q, r, apart = q[keep], r[keep], apart[keep]
             keep = apart <= near
             out.append((q[keep], r[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
-def _meet(coder: Coder):
+def _meet(coder: Coder, cut: int):
     """(qvid, vid) of rows sorted by (key, part, block), queries first."""
-    masks, near = coder.masks, coder.near
+    radii, near = coder.radii, coder.near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -273,7 +297,7 @@ def _meet(coder: Coder):
                 queries = held[0]
                 for i in range(0, b - a, ENTRIES):
                     rows = tuple(x[i : i + ENTRIES] for x in here)
-                    q, r = _probed(queries[1:], rows[1:], masks, near)
+                    q, r = _probed(queries[1:], rows[1:], int(radii[group[0] >> 32]), cut, near)
                     if len(q):
                         yield pa.RecordBatch.from_arrays([pa.array(queries[0][q]), pa.array(rows[0][r])], names=["qvid", "vid"])
 
@@ -281,7 +305,7 @@ def _meet(coder: Coder):
 
 
 def index_pairs(codes: DataFrame, n_rows: int, coder: Coder, scratch: Scratch) -> DataFrame:
-    """(qvid, vid): what the queries among codes retrieve from all of them, by all tables."""
+    """(qvid, vid): what the queries among codes retrieve from all of them, within the radius of its code."""
     # About half of ENTRIES rows share a key if values were spread evenly.
     first = int(np.clip(np.ceil(np.log2(max(1, 2 * n_rows / ENTRIES))), 0, coder.bits))
     cut = coder.bits - first
@@ -299,7 +323,7 @@ def index_pairs(codes: DataFrame, n_rows: int, coder: Coder, scratch: Scratch) -
     probes = asked.mapInArrow(_entries(coder, cut, True), _ENTRY).join(large, "key", "left").select(*columns, every(parts).alias("part"), dealt(blocks, "block"))
     group = ["key", "part", "block"]
     met = entries.unionByName(probes).repartition(*group).sortWithinPartitions(*group, F.desc("asks"))
-    return met.mapInArrow(_meet(coder), "qvid long, vid long").distinct()
+    return met.mapInArrow(_meet(coder, cut), "qvid long, vid long").distinct()
 
 
 # --- all of it ------------------------------------------------------------------------------------------
@@ -362,7 +386,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
     queries = index.join(asks, "vid", "left_semi").select("vid", "vector")
 
     sample = index.orderBy(F.xxhash64(F.get("ids", F.lit(0))), F.get("ids", F.lit(0))).limit(SAMPLE).select("vector").toArrow()
-    coder = rotations(unit(_vectors(sample.column("vector").combine_chunks())), CHECK + MOST_TABLES * bits_for(n_rows))
+    coder = rotations(unit(_vectors(sample.column("vector").combine_chunks())))
     pilot = scratch.keep(queries.orderBy(F.xxhash64("vid"), "vid").limit(PILOT), "pilot")
     known = _scored(exact_pairs(index.select("vid", "vector"), n_rows, pilot, min(PILOT, n_queries), k + 1), index).where(F.col("qvid") != F.col("vid"))
     order = Window.partitionBy("qvid").orderBy(F.desc("score"), "vid")
@@ -371,21 +395,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
     sides = [unit(_vectors(both.column(c).combine_chunks())) if both.num_rows else np.zeros((0, len(coder.mean))) for c in ("query", "vector")]
     settle(coder, *sides, n_rows)
 
-    if coder.tables:
-        flagged = index.join(asks.withColumn("asks", F.lit(True)), "vid", "left").select("vid", F.coalesce("asks", F.lit(False)).alias("asks"), "vector")
-        codes = scratch.keep(flagged.mapInArrow(_coded(coder), f"vid long, asks boolean, {_CHECK}, code binary"), "codes")
-        pairs = scratch.keep(index_pairs(codes, n_rows, coder, scratch), "pairs")
-        found = scratch.keep(_best(_scored(pairs, index), asking, k), "found")
-        enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
-        starved = asking.join(enough, "query_id", "left_anti")
-    else:
-        found, starved = None, asking
+    flagged = index.join(asks.withColumn("asks", F.lit(True)), "vid", "left").select("vid", F.coalesce("asks", F.lit(False)).alias("asks"), "vector")
+    codes = scratch.keep(flagged.mapInArrow(_coded(coder), f"vid long, asks boolean, {_WORDS}, code binary"), "codes")
+    pairs = scratch.keep(index_pairs(codes, n_rows, coder, scratch), "pairs")
+    found = scratch.keep(_best(_scored(pairs, index), asking, k), "found")
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    starved = asking.join(enough, "query_id", "left_anti")
     starved = scratch.keep(starved, "starved")
     left = scratch.keep(index.select("vid", "vector").join(starved.select(F.col("qvid").alias("vid")).distinct(), "vid", "left_semi"), "left")
     n_left = left.count()
     if n_left:
         rest = _best(_scored(exact_pairs(index.select("vid", "vector"), n_rows, left, n_left, k + 1), index), starved, k)
-        found = rest if found is None else found.join(starved.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
+        found = found.join(starved.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
     done = Kept(found, "nearest").frame
     scratch.clear()
     return done
