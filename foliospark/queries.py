@@ -16,7 +16,7 @@ from foliospark.functions import identifiers, text
 from foliospark.functions.dims import BANK_WORDS, INVOICE_WORDS, MISREAD, PLATFORMS, RUN_TOGETHER, STATES
 from foliospark.operators import bank, classify, invoice, keyvalue, layout, matching, merge, ocr, retrieve, scans, sketches, validate
 from foliospark.plans import batch, index, jobs, passages
-from foliospark.sources import render
+from foliospark.sources import render, shapes
 from foliospark.streaming import events as streams
 from foliospark.streaming import statements as followed
 
@@ -480,6 +480,22 @@ def invoice_other_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("inv_id", *texts, *double("discount", "delivery_charge", "packaging_charge"))
 
 
+@registered(shapes.said())
+def fields_in_every_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field of an invoice or statement in each of the layouts that it is printed in."""
+    found = spread(shapes.layouts(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")), "inv_id")
+    t = F.col("text")
+    shop = classify.platform(t)
+    charges = invoice.charges(t)
+    readers = {
+        "billing_address": invoice.billing_address(t, shop), "shipping_address": invoice.shipping_address(t), "seller_info": invoice.seller_info(t), "seller_address": invoice.seller_address(t),
+        "amount_in_words": invoice.amount_in_words(t), "total_amount": invoice.total_amount(t), "subtotal": invoice.subtotal(t, shop), **charges, "buyer_name": invoice.buyer_name(t),
+        "period": F.concat_ws("|", bank.period(t)["from"], bank.period(t)["to"]),
+    }
+    value = F.coalesce(*[F.when(F.col("field") == field, value.cast("string")) for field, value in readers.items()])
+    return found.select("inv_id", "field", value.alias("value"))
+
+
 #: What is wrong with the record whose key leaves the number modulo 13: columns that differ from a sound one, and what the checks say.
 _WRONG = {
     0: ({"total_tax": "28.00", "total_amount": "s + 28"}, ["taxes do not sum to the total tax"]),
