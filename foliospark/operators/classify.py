@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.dims import (
-    BANK_WORDS, CONTENT_TYPES, FIELDS_FOR_NO_FALLBACK, FIELDS_FOR_PARTIAL, FIELDS_FOR_SUCCESS, INVOICE_TYPES, INVOICE_WORDS, LOW_CONFIDENCE, PLATFORMS,
+    BANK_WORDS, CONTENT_TYPES, INVOICE_TYPES, INVOICE_WORDS, PLATFORMS,
 )
 from foliospark.functions.patterns import contains_any, first_contained
+from foliospark.settings import Settings
 
 
 def hits(text: Column, words: tuple[str, ...]) -> Column:
@@ -42,12 +43,12 @@ def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_i", "_b")
 
 
-def status(fields: Column, valid: Column, ocr_confidence: Column) -> Column:
+def status(fields: Column, valid: Column, ocr_confidence: Column, limits: Settings = Settings()) -> Column:  # noqa: B008
     """What an extracted invoice counts as."""
     return (
-        F.when((fields >= FIELDS_FOR_SUCCESS) & valid, "success")
-        .when(fields >= FIELDS_FOR_PARTIAL, "partial")
-        .when(ocr_confidence < LOW_CONFIDENCE, "low_confidence")
+        F.when((fields >= limits.fields_for_success) & valid, "success")
+        .when(fields >= limits.fields_for_partial, "partial")
+        .when(ocr_confidence < limits.low_confidence, "low_confidence")
         .otherwise("partial")
     )
 
@@ -60,9 +61,9 @@ def bank_status(n_transactions: Column) -> Column:
     return F.when(n_transactions > 0, "success").otherwise("partial")
 
 
-def needs_fallback(fields: Column) -> Column:
+def needs_fallback(fields: Column, limits: Settings = Settings()) -> Column:  # noqa: B008
     """Rows so sparse that they alone go to the expensive stage."""
-    return fields < FIELDS_FOR_NO_FALLBACK
+    return fields < limits.fields_for_no_fallback
 
 
 def accepted(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.dims import OCR_REGIONS, OCR_SURE, OCR_SURE_AFTER_CLEANING
+from foliospark.settings import settings
 
 
 def waterfall(candidates: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def waterfall(candidates: DataFrame) -> DataFrame:
     The first pass that is sure enough (surer on the original than on a cleaned image), else the best by
     confidence and regions, the earliest of equals. Text that is good enough is never thrown away.
     """
-    sure = (F.col("n_regions") >= OCR_REGIONS) & (F.col("conf") >= F.when(F.col("cleaned"), OCR_SURE_AFTER_CLEANING).otherwise(OCR_SURE))
+    limits = settings(candidates.sparkSession)
+    sure = (F.col("n_regions") >= limits.ocr_regions) & (F.col("conf") >= F.when(F.col("cleaned"), limits.ocr_sure_after_cleaning).otherwise(limits.ocr_sure))
     one = F.struct("pass", "conf", "n_regions", "text")
     chosen = candidates.groupBy("doc_id", "page").agg(
         F.min_by(one, F.when(sure, F.col("pass"))).alias("_sure"), F.max_by(one, F.struct("conf", "n_regions", (-F.col("pass")).alias("early"))).alias("_best")

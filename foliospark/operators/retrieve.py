@@ -10,13 +10,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.dims import CHUNK, NEAREST, OVERLAP
+from foliospark.functions.dims import CHUNK, OVERLAP
 from foliospark.functions.patterns import contains_any
+from foliospark.settings import Settings, settings
 from foliospark.ship import ship
 
 
-def chunks_fixed(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def _window(docs: DataFrame, size: int | None, overlap: int | None) -> tuple[int, int]:
+    """Length and overlap of chunks: what is given, else what the session sets."""
+    own = settings(docs.sparkSession)
+    window = Settings(chunk_size=own.chunk_size if size is None else size, chunk_overlap=own.chunk_overlap if overlap is None else overlap)
+    return window.chunk_size, window.chunk_overlap
+
+
+def chunks_fixed(docs: DataFrame, size: int | None = None, overlap: int | None = None) -> DataFrame:
     """(doc_id, chunk_id, chunk): windows of ``size`` characters, each beginning ``size - overlap`` after the last."""
+    size, overlap = _window(docs, size, overlap)
     step = size - overlap
     starts = F.sequence(F.lit(1), F.greatest(F.char_length("text") - overlap, F.lit(1)), F.lit(step))
     whole = docs.where(F.char_length("text") > 0).select("doc_id", F.posexplode(F.transform(starts, lambda i: F.substr("text", i, F.lit(size)))).alias("chunk_id", "chunk"))
@@ -76,8 +85,9 @@ def split_recursively(text: str, size: int = CHUNK, overlap: int = OVERLAP, sepa
     return [chunk for a, b in spans if (chunk := text[a:b].strip())]
 
 
-def chunks_recursive(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def chunks_recursive(docs: DataFrame, size: int | None = None, overlap: int | None = None) -> DataFrame:
     """(doc_id, chunk_id, chunk) by ``split_recursively``."""
+    size, overlap = _window(docs, size, overlap)
     ship(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,13 +102,14 @@ def chunks_recursive(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP)
 TOGETHER, GROUP = 1024, 8192
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = NEAREST) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k vectors (vec_id, embedding) of largest cosine for each of queries (query_id, query).
 
     Each task keeps k for each query before anything is shuffled.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
+    k = settings(queries.sparkSession).nearest if k is None else k
     asked, rows = queries.withColumn("_q", norm(F.col("query"))), vectors.withColumn("_n", norm(F.col("embedding")))
     blocks = -(-asked.count() // TOGETHER)
     if blocks <= 1:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators import classify, invoice, validate
+from foliospark.settings import settings
 
 #: Columns of the flat export, in order.
 EXPORT = (
@@ -32,7 +33,7 @@ def process(docs: DataFrame, as_of: datetime.date | str, ocr_confidence: Column
     done = validate.validate(invoice.extract(read.withColumn("text", F.when(F.col("error").isNull(), F.col("text"))), carried=("error",)), as_of)
     ocr = F.lit(0.98) if ocr_confidence is None else ocr_confidence
     return done.withColumn("confidence", invoice.confidence(F.col("fields_extracted"), ocr)).withColumn(
-        "status", F.when(F.col("error").isNotNull(), "failed").otherwise(classify.status(F.col("fields_extracted"), F.col("passed"), ocr))
+        "status", F.when(F.col("error").isNotNull(), "failed").otherwise(classify.status(F.col("fields_extracted"), F.col("passed"), ocr, settings(docs.sparkSession)))
     )
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from foliospark.functions.dims import ARCHIVE_LIMIT, ARCHIVE_SUFFIXES
+from foliospark.settings import settings
 from foliospark.ship import ship
 from foliospark.sources.files import MEMBER_BYTES
 
@@ -136,8 +137,9 @@ class ZipMembers(DataSource):
         return _Reader(self.options)
 
 
-def members(spark: SparkSession, path: str, most: int = ARCHIVE_LIMIT, most_bytes: int = MEMBER_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def members(spark: SparkSession, path: str, most: int | None = None, most_bytes: int = MEMBER_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(path, member, content, error) of the archives under path, or of one archive."""
     ship(spark)
     spark.dataSource.register(ZipMembers)
+    most = settings(spark).archive_limit if most is None else most
     return spark.read.format("zip_members").options(most=most, most_bytes=most_bytes, group_bytes=group_bytes).load(path)

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.dims import ARCHIVE_LIMIT, ARCHIVE_SUFFIXES
+from foliospark.functions.dims import ARCHIVE_SUFFIXES
+from foliospark.settings import settings
 from foliospark.ship import ship
 
 
@@ -37,13 +38,14 @@ def route(content_type: Column, content: Column) -> Column:
 MEMBER_BYTES = 256 << 20
 
 
-def archive_members(archives: DataFrame, most: int = ARCHIVE_LIMIT, most_bytes: int = MEMBER_BYTES) -> DataFrame:
+def archive_members(archives: DataFrame, most: int | None = None, most_bytes: int = MEMBER_BYTES) -> DataFrame:
     """(path, member, content, error) of zip files (path, content): known suffixes, no hidden files.
 
     Members beyond the first ``most`` of an archive, ones of more than most_bytes and ones that cannot be read
     are rows with an error. Members are read one by one, each batch of rows has one.
     """
     ship(archives.sparkSession)
+    most = settings(archives.sparkSession).archive_limit if most is None else most
 
     def unpacked(content: bytes | None) -> Iterator[tuple[str | None, bytes | None, str | None]]:
         try:
