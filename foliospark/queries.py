@@ -395,7 +395,21 @@ def export_flat_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("inv_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("platform", "seller_gst", "invoice_number", "total_tax", "total_amount")], F.lit(len(wide)).alias("n_columns"))
 
 
-@registered(None)
+#: Every field that a rendered invoice states, by column of the export, over shown and customer; what is not here it leaves out.
+_HOUSE, _SOLD_BY, _PLOT = "c_name || ' 12 Market Road, Pune, Maharashtra'", "'SELLER ' || translate(seller::VARCHAR, '0123456789', 'ABCDEFGHIJ') || ' PRIVATE LIMITED'", "'Plot ' || seller || ', Trade Street, Karnataka'"
+_DELIVERED = lambda value: f"CASE WHEN shop IN ('bigbasket', 'blinkit') THEN {value} END"
+_STATED = {
+    "platform": "shop", "billing_address": _HOUSE, "shipping_address": _DELIVERED(_HOUSE), "invoice_type": "'Tax Invoice'", "order_number": "order_number", "invoice_number": "invoice_number", "order_date": "strftime(day, '%d/%m/%Y')",
+    "invoice_date": "strftime(CASE WHEN fault = 4 THEN DATE '2099-01-01' ELSE day END, '%d/%m/%Y')", "seller_info": f"{_SOLD_BY} || ' ' || {_PLOT}", "seller_pan": "pan_shown", "seller_gst": "gst_shown",
+    "fssai_license": "lpad(seller::VARCHAR, 14, '1')", "billing_state_code": "'27 - Maharashtra'", "shipping_state_code": "'27 - Maharashtra'", "place_of_supply": "'Maharashtra'", "place_of_delivery": _DELIVERED("'Maharashtra'"),
+    "reverse_charge": "'No'", "seller_name": _SOLD_BY, "seller_address": _PLOT, "total_tax": "nullif(tax_shown, 0)::VARCHAR", "total_amount": "total_shown::VARCHAR", "buyer_name": "c_name", "subtotal": "subtotal::VARCHAR",
+    "cgst_amount": "CASE WHEN within THEN nullif(half, 0)::VARCHAR END", "sgst_amount": "CASE WHEN within THEN nullif(half, 0)::VARCHAR END", "igst_amount": "CASE WHEN NOT within THEN nullif(tax, 0)::VARCHAR END", "payment_method": "'UPI'",
+}
+_CELL = lambda c: f"coalesce({_STATED[c]}, '')" if c in _STATED else "''"
+_OF_SHOWN = "FROM shown JOIN customer ON shown.o_custkey = customer.c_custkey"
+
+
+@registered(_FACTS + "SELECT inv_id, " + ", ".join(f"{_CELL(c)} AS {c}" for c in batch.EXPORT) + f" {_OF_SHOWN}")
 def export_flat_csv_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns of the export; export_flat_csv has five of them, as its SQL."""
     return batch.flat(invoice.extract(invoices(spark, sf_dir)), "inv_id")
@@ -443,7 +457,7 @@ def field_value_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.field_values(found)
 
 
-@registered(None)
+@registered(_FACTS + f", cells AS (SELECT inv_id, unnest({_sql_list(_STATED)}) AS field, unnest([{', '.join(_STATED.values())}]) AS value {_OF_SHOWN}) SELECT inv_id, field, value FROM cells WHERE value <> ''")
 def field_value_sheet_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each filled column of the export; field_value_sheet has four of them, as its SQL."""
     return batch.field_values(invoice.extract(invoices(spark, sf_dir)))
@@ -552,7 +566,13 @@ def batch_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.status(spark, at, job).select(*jobs.COUNTERS)
 
 
-@registered(None)
+_DECIDED = {
+    "confidence": f"round(round(least({_COUNTED} / 22.0::DOUBLE * 0.65::DOUBLE + 0.98::DOUBLE * 0.35::DOUBLE, 1.0::DOUBLE), 3) * 100)::INT || '%'", "passed": "CASE WHEN fault NOT IN (2, 3, 4, 6) THEN 'Yes' ELSE 'No' END",
+    "fields_extracted": f"{_COUNTED}::VARCHAR", "engine": "'text'", "ocr_confidence": "'98.0%'",
+}
+
+
+@registered(_FACTS + "SELECT inv_id, " + ", ".join(f'{_DECIDED.get(c) or _CELL(c)} AS "{name}"' for name, c in batch.REPORT.items()) + f" {_OF_SHOWN}")
 def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of 39 columns, as text."""
     return batch.report(batch.process(invoices(spark, sf_dir), AS_OF).withColumn("engine", F.lit("text")).withColumn("ocr_confidence", F.lit(0.98)), "inv_id")
