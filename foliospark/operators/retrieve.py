@@ -172,25 +172,39 @@ SENTENCES = (
 )
 KNOWN = "Here's what I know:\n• Platform: {platform}\n• Total: ₹{total_amount}\n• Date: {invoice_date}\n• Seller: {seller_name}\n\nAsk about specific fields like total, tax, GSTIN, seller, date, or payment."
 
+# The same for the other form of asking, which tells a total and a seller by other words and says otherwise what is known.
+PAGE_SENTENCES = (
+    ((("total",), ("amount", "grand total")), "The total amount is ₹{total_amount}."),
+    ((("invoice",), ("number",)), "The invoice number is {invoice_number}."),
+    ((("gstin",),), "The seller GSTIN is {seller_gst}."),
+    ((("seller", "sold by"),), "The seller is {seller_name}."),
+    ((("tax",),), "Tax breakdown: CGST ₹{cgst_amount}, SGST ₹{sgst_amount}, IGST ₹{igst_amount}, Total Tax ₹{total_tax}."),
+    ((("date",),), "The invoice date is {invoice_date}."),
+    ((("payment",),), "Payment method: {payment_method}."),
+)
+PAGE_KNOWN = "Based on the extracted data, here's what I know:\n\n- Platform: {platform}\n- Total: ₹{total_amount}\n- Date: {invoice_date}\n- Seller: {seller_name}\n\nAsk me about specific fields like total, tax, GSTIN, seller, etc."
+
 
-def sentence(question: Column, facts: dict[str, Column]) -> Column:
-    """The first of SENTENCES whose words the question has, with facts filled in; else KNOWN. Missing taxes are N/A, other facts "not found"."""
+def sentence(question: Column, facts: dict[str, Column], sentences: tuple = SENTENCES, known: str = KNOWN, unknown: str = "not found") -> Column:
+    """The first of sentences whose words the question has, with facts filled in; else known.
+
+    Missing taxes are N/A, other facts "not found", and in what is known ``unknown``. A null question has the words of none.
+    """
     lower = F.lower(question)
 
-    def filled(template: str) -> Column:
+    def filled(template: str, missing: str) -> Column:
         parts = []
         for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
-            missing = F.lit("N/A" if "Tax breakdown" in template else "not found")
-            parts.append(F.coalesce(facts[piece].cast("string"), missing) if i % 2 and piece in facts else missing if i % 2 else F.lit(piece))
+            parts.append(F.coalesce(facts[piece].cast("string"), F.lit(missing)) if i % 2 and piece in facts else F.lit(missing if i % 2 else piece))
         return F.concat(*parts)
 
     said = F.lit(None).cast("string")
-    for words, template in reversed(SENTENCES):
+    for words, template in reversed(sentences):
         fits = F.lit(True)
         for some in words:
             fits = fits & contains_any(lower, some)
-        said = F.when(fits, filled(template)).otherwise(said)
-    return F.coalesce(said, filled(KNOWN))
+        said = F.when(fits, filled(template, "N/A" if "Tax breakdown" in template else "not found")).otherwise(said)
+    return F.coalesce(said, filled(known, unknown))
 
 
 def facts_context(facts: dict[str, Column], text: Column, most: int = 1200) -> Column:

@@ -634,17 +634,40 @@ def rule_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", retrieve.rule(q).alias("field"), retrieve.answer(q, known, q).alias("answer"))
 
 
-_SENTENCE = "CASE " + " ".join("WHEN " + " AND ".join("(" + " OR ".join(f"contains(lower(text), '{w}')" for w in some) + ")" for some in words) + " THEN '" + template.replace("'", "''") + "'" for words, template in retrieve.SENTENCES) + " ELSE '" + retrieve.KNOWN.replace("'", "''") + "' END"
-for _name, _value in {"platform": "platform 1", "total_amount": "12.50", "invoice_number": "INV/1", "cgst_amount": "N/A", "sgst_amount": "N/A", "igst_amount": "2.50", "total_tax": "2.50", "seller_name": "not found", "seller_gst": "not found", "invoice_date": "not found", "payment_method": "not found"}.items():
-    _SENTENCE = _SENTENCE.replace("{" + _name + "}", _value)
+_KNOWN_FACTS = {"platform": "platform 1", "total_amount": "12.50", "invoice_number": "INV/1", "cgst_amount": None, "igst_amount": "2.50", "total_tax": "2.50", "seller_name": None}
 
 
-@registered(f"SELECT conv_id, turn, {_SENTENCE} AS answer FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+def _sql_sentence(sentences: tuple, known: str, unknown: str) -> str:
+    """SQL of retrieve.sentence with _KNOWN_FACTS."""
+
+    def filled(template: str, missing: str) -> str:
+        said = template
+        for name in ("platform", "total_amount", "invoice_number", "cgst_amount", "sgst_amount", "igst_amount", "total_tax", "seller_name", "seller_gst", "invoice_date", "payment_method"):
+            said = said.replace("{" + name + "}", _KNOWN_FACTS.get(name) or missing)
+        return "'" + said.replace("'", "''") + "'"
+
+    has = lambda words: " AND ".join("(" + " OR ".join(f"contains(lower(text), '{w}')" for w in some) + ")" for some in words)
+    return "CASE " + " ".join(f"WHEN {has(words)} THEN {filled(template, 'N/A' if 'Tax' in template else 'not found')}" for words, template in sentences) + f" ELSE {filled(known, unknown)} END"
+
+
+def _said(spark: SparkSession, sf_dir: str, *form) -> DataFrame:
+    asked = read(spark, sf_dir, "conversations").where((F.col("role") == "user") & F.col("text").isNotNull())
+    return asked.select("conv_id", "turn", retrieve.sentence(F.col("text"), {k: F.lit(v) for k, v in _KNOWN_FACTS.items()}, *form).alias("answer"))
+
+
+@registered(f"SELECT conv_id, turn, {_sql_sentence(retrieve.SENTENCES, retrieve.KNOWN, 'not found')} AS answer FROM conversations WHERE role = 'user' AND text IS NOT NULL")
 def sentence_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions answered with a sentence, some facts of which are missing."""
-    known = {"platform": F.lit("platform 1"), "total_amount": F.lit("12.50"), "invoice_number": F.lit("INV/1"), "cgst_amount": F.lit(None), "igst_amount": F.lit("2.50"), "total_tax": F.lit("2.50"), "seller_name": F.lit(None)}
-    asked = read(spark, sf_dir, "conversations").where((F.col("role") == "user") & F.col("text").isNotNull())
-    return asked.select("conv_id", "turn", retrieve.sentence(F.col("text"), known).alias("answer"))
+    return _said(spark, sf_dir)
+
+
+_PAGE_FORM = (retrieve.PAGE_SENTENCES, retrieve.PAGE_KNOWN, "None")
+
+
+@registered(f"SELECT conv_id, turn, {_sql_sentence(*_PAGE_FORM)} AS answer FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+def sentence_answer_of_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the other form's words."""
+    return _said(spark, sf_dir, *_PAGE_FORM)
 
 
 @registered("SELECT conv_id AS query_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context, length(list(substr(text, 1, 150) ORDER BY turn)[1])::INT AS first_source FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")

@@ -265,3 +265,20 @@ def test_long_texts_of_labels(spark):
     assert keyvalue.label_values(labelled).count() == n
     assert keyvalue.by_table(tables).count() == n - 2
     assert time.perf_counter() - began < 30
+
+
+def test_sentences_of_both_forms(spark):
+    questions = ["What is the GRAND TOTAL?", "grand sum of the total", "total amount", "invoice number please", "gstin", "who sold it", "it was sold by whom", "tax", "what date", "payment", "", None]
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(questions)], "i int, q string")
+    facts = {"platform": F.lit("shop"), "total_amount": F.lit("12.50"), "seller_name": F.lit("S"), "total_tax": F.lit(None).cast("string"), "cgst_amount": F.lit("1.00")}
+    forms = retrieve.sentence(F.col("q"), facts), retrieve.sentence(F.col("q"), facts, retrieve.PAGE_SENTENCES, retrieve.PAGE_KNOWN, "None")
+    got = [tuple(r) for r in rows.orderBy("i").select(*forms).collect()]
+    total, seller = "The total amount is ₹12.50.", "The seller is S."
+    known = "Here's what I know:\n• Platform: shop\n• Total: ₹12.50\n• Date: not found\n• Seller: S\n\n", "Based on the extracted data, here's what I know:\n\n- Platform: shop\n- Total: ₹12.50\n- Date: None\n- Seller: S\n\n"
+    told = lambda k: tuple(a.startswith(b) for a, b in zip(got[k], known, strict=True))
+    assert got[0] == got[2] == (total, total)
+    assert got[1][0] == total and told(1) == (False, True)
+    assert got[5][0] == seller and told(5) == (False, True) and got[6] == (seller, seller)
+    same = ["The invoice number is not found.", "The seller GSTIN is not found.", "Tax breakdown: CGST ₹1.00, SGST ₹N/A, IGST ₹N/A, Total Tax ₹N/A.", "The invoice date is not found.", "Payment method: not found."]
+    assert [got[k] for k in (3, 4, 7, 8, 9)] == [(s, s) for s in same]
+    assert told(10) == told(11) == (True, True)
