@@ -201,3 +201,9 @@ def test_classes_and_decisions(spark):
     assert decided.count() == 4
     kept, refused = classify.accepted(spark.createDataFrame([("application/pdf",), ("text/plain",), (None,)], "content_type string"))
     assert (kept.count(), refused.count()) == (1, 2)
+
+
+def test_holder_names_no_bank(spark):
+    pages = [(1, 1, "Account Holder: CUSTOMER IDFCX"), (1, 2, "IFSC Code: HDFC0008352"), (2, 1, "IDFC First\nAccount Holder: CUSTOMER BX")]
+    found = bank.header_over_pages(spark.createDataFrame(pages, "stmt_id int, page int, text string")).collect()
+    assert {r["stmt_id"]: (r["bank_name"], r["account_holder"]) for r in found} == {1: ("HDFC Bank", "CUSTOMER IDFCX"), 2: ("IDFC First Bank", "CUSTOMER BX")}
