@@ -203,6 +203,12 @@ def test_classes_and_decisions(spark):
     assert (kept.count(), refused.count()) == (1, 2)
 
 
+def test_platform_words_within_a_pan(spark):
+    texts = [(1, "Ordered at corner shop\nPAN: AAMZN4381N", "unknown"), (2, "GSTIN: 27EKART1001N1ZQ", "unknown"), (3, "PAN: AAMZN4381N\nsold on AMZN", "amazon"), (4, "Ekart Logistics\nPAN: AAMZN4381N", "flipkart")]
+    rows = spark.createDataFrame(texts, "id int, text string, want string").select("want", classify.platform(F.col("text")).alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
 def test_holder_names_no_bank(spark):
     pages = [(1, 1, "Account Holder: CUSTOMER IDFCX"), (1, 2, "IFSC Code: HDFC0008352"), (2, 1, "IDFC First\nAccount Holder: CUSTOMER BX")]
     found = bank.header_over_pages(spark.createDataFrame(pages, "stmt_id int, page int, text string")).collect()
