@@ -1,10 +1,10 @@
 """Payments matched to invoices one to one, and points to the intervals that hold them.
 
-Payments and invoices of an amount lie on a line of days. The two that are nearest to each other are next to each other on
-it, whatever else lies there, so no pairs are made but of neighbours: in each round every row looks at the row before and
-after, and two that prefer each other are matched and leave. Rows are dealt by ranges of the line, whose ends
-look across, so an amount that a third of all rows have lies in many tasks. Ties between pairs as near go by a hash of
-the pair, so that rounds are few.
+Payments and invoices of an amount lie on a line of days, where all rows of an amount, a day and a kind are alike. So it is
+settled by numbers of rows how many of a day go with how many of which other day: a row for each amount and day, however many
+invoices and payments there are. Rows, numbered along the line by ranges, look up with which day and in which place they
+go, and meet their partner by that: one join on equal values, with no key shared by more than two rows. An amount
+that a third of all rows have lies in many tasks.
 
 Intervals are put into bins as wide as they are themselves (by powers of two), two at most each; a point meets the bin
 that it is in at each width that occurs. So long intervals cost no more than short ones, and the join is on equal values.
@@ -12,92 +12,93 @@ that it is in at each width that occurs. So long intervals cost no more than sho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.folders import folder, remove
 from foliospark.operators.scans import ranged
+from foliospark.ship import ship
 
 DAYS = 10
 
 
-def _kept(frame: DataFrame) -> tuple[DataFrame, str]:
-    frame.write.parquet(at := folder(frame.sparkSession, "matching"))
-    return frame.sparkSession.read.schema(frame.schema).parquet(at), at
-
-
-def _neighbours(line: DataFrame) -> DataFrame:
-    """line (amount, day, kind, id) with ``before`` and ``after``: the rows next to each, across ranges too."""
-    row = F.struct("amount", "day", "kind", "id")
-    placed = ranged(line, ("amount",), ("day", "kind", "id"))
-    in_part, parts = Window.partitionBy("_part").orderBy("_place"), Window.orderBy("_part")
-    # A row for each range.
-    ends = placed.groupBy("_part").agg(F.min_by(row, "_place").alias("first"), F.max_by(row, "_place").alias("last"))
-    ends = ends.select("_part", F.lag("last").over(parts).alias("last"), F.lead("first").over(parts).alias("first"))
-    near = placed.withColumn("before", F.lag(row).over(in_part)).withColumn("after", F.lead(row).over(in_part)).join(F.broadcast(ends), "_part")
-    return near.select("amount", "day", "kind", "id", F.coalesce("before", "last").alias("before"), F.coalesce("after", "first").alias("after"))
-
+def _shares(counts: DataFrame, days: int) -> DataFrame:
+    """(amount, day, kind, shares) of counts (amount, day, kind, n): how many go with the other kind of which day.
 
-def _preferred(days: int) -> Column:
-    """The neighbour that a row prefers: of the other kind, of its amount, within days; the nearer one, ties by the pair's hash."""
-
-    def option(side: str, left: str, right: str) -> Column:
-        other = F.col(side)
-        apart = F.abs(F.datediff("day", other["day"]))
-        fits = (other["amount"] == F.col("amount")) & (other["kind"] != F.col("kind")) & (apart <= days)
-        pair = {"own": (F.col("kind"), F.col("id")), "other": (other["kind"], other["id"])}
-        return F.when(fits, F.struct(apart.alias("apart"), F.xxhash64(*pair[left], *pair[right]).alias("tie"), other["kind"].alias("kind"), other["id"].alias("id")))
-
-    return F.array_min(F.array_compact(F.array(option("before", "other", "own"), option("after", "own", "other"))))
+    shares: array<struct<bill_day, step, first, n>>, n rows from the row ``first`` on go with those of the other kind, step days
+    after bill_day. Only numbers of rows are dealt, a stretch of days of an amount at a time: days that lie more than ``days``
+    apart have nothing in common, so the line of an amount is cut there.
+    """
+    sides = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in ((0, "bills"), (1, "payments"))]
+    daily = counts.groupBy("amount", F.unix_date("day").alias("day")).agg(*sides)
+    ship(counts.sparkSession)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["amount", "day", "kind", "bill_day", "step", "first", "n"]
+        held, last, out = {}, None, []
+        for batch in batches:
+            for amount, day, bills, payments in zip(batch["amount"], batch["day"], batch["bills"], batch["payments"], strict=True):
+                if last and (amount != last[0] or day - last[1] > days):
+                    out += [(last[0], *share) for share in _dealt(held, days)]
+                    held = {}
+                held[day], last = [bills, payments], (amount, day)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if last:
+            yield pd.DataFrame([(last[0], *share) for share in _dealt(held, days)], columns=columns)
+
+    amount = counts.schema["amount"].dataType.simpleString()
+    dealt = daily.repartition("amount").sortWithinPartitions("amount", "day").mapInPandas(deal, f"amount {amount}, day int, kind int, bill_day int, step int, first long, n long")
+    shares = dealt.groupBy("amount", "day", "kind").agg(F.collect_list(F.struct(F.date_from_unix_date("bill_day").alias("bill_day"), "step", "first", "n")).alias("shares"))
+    return shares.withColumn("day", F.date_from_unix_date("day"))
+
+
+def _dealt(left: dict[int, list[int]], days: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(day, kind, bill_day, step, first, n) of the numbers of invoices and payments of each day of a stretch, which it uses up."""
+    taken = {day: [0, 0] for day in left}
+    within = lambda kind, day: sum(left[d][1 - kind] for d in range(day - days, day + days + 1) if d in left)
+    for apart in range(days + 1):
+        pairs = [(d, d + step) for d in left for step in {-apart, apart} if left[d][0] and d + step in left and left[d + step][1]]
+        # Those that have the fewest others to go with come first, so that more are matched.
+        for _, bill, payment in sorted((within(0, d) + within(1, e), d, e) for d, e in pairs):
+            if n := min(left[bill][0], left[payment][1]):
+                for kind, day in ((0, bill), (1, payment)):
+                    yield day, kind, bill, payment - bill, taken[day][kind], n
+                    taken[day][kind] += n
+                    left[day][kind] -= n
 
 
 def match_payments(invoices: DataFrame, payments: DataFrame, days: int = DAYS) -> DataFrame:
     """(inv_id, pay_id, amount, days_apart) of invoices (inv_id, amount, day) and payments (pay_id, amount, day): a full outer match.
 
-    Equal amounts; of one day first, in order of ids; then the nearest within ``days``. What finds nothing has null on the other
-    side; nothing is matched twice. Rows without an amount or a day are never matched. Ids are taken as integers.
+    Equal amounts; of one day first, in order of ids; then those a day apart, two days, and so on up to ``days``. Of as many days
+    apart, those go first that have the fewest others within ``days``, then earlier ones. What finds nothing has null on the
+    other side; nothing is matched twice. Rows without an amount or a day are never matched. Ids are taken as integers.
     """
     amount = F.col("amount").cast("decimal(18,2)").alias("amount")
     sides = [f.select(amount, F.col("day").cast("date").alias("day"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id")) for f, key, kind in ((invoices, "inv_id", 0), (payments, "pay_id", 1))]
-    rows, tables = sides[0].unionByName(sides[1]), []
+    rows = sides[0].unionByName(sides[1])
     on_line = F.col("amount").isNotNull() & F.col("day").isNotNull()
-    loose = rows.where(~on_line)
-    # The first of both kinds of an amount and a day go together, and the second, and so on: numbered along the line.
+    # The rows of an amount, a day and a kind are numbered along the line by ids.
     placed = ranged(rows.where(on_line), ("amount",), ("day", "kind", "id"))
     keys = ["amount", "day", "kind"]
     starts = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("at"), F.count("*").alias("n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(*keys, "_part", "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped"))
-    nth = placed.join(starts, [*keys, "_part"]).select(*keys, "id", (F.col("_place") - F.col("at") + F.col("skipped")).alias("nth"))
-    side = lambda kind, name: nth.where(F.col("kind") == kind).select("amount", "day", "nth", F.col("id").alias(name))
-    first, at = _kept(side(0, "inv_id").join(side(1, "pay_id"), ["amount", "day", "nth"], "full"))
-    both = F.col("inv_id").isNotNull() & F.col("pay_id").isNotNull()
-    done = [first.where(both).select("inv_id", "pay_id", "amount", F.lit(0).alias("days_apart"))]
-    is_payment = F.col("inv_id").isNull()
-    left = first.where(~both).select("amount", "day", is_payment.cast("int").alias("kind"), F.coalesce("inv_id", "pay_id").alias("id"))
-    while True:
-        prefers = _neighbours(left).withColumn("likes", _preferred(days))
-        # Neighbours like each other or not: each row knows whom its neighbour likes from that row's own line.
-        likes, likes_at = _kept(prefers.select("amount", "day", "kind", "id", "likes"))
-        mine = likes.where("kind = 0 and likes is not null").select("amount", F.col("id").alias("inv_id"), F.col("likes.id").alias("pay_id"), F.col("likes.apart").alias("days_apart"))
-        theirs = likes.where("kind = 1 and likes is not null").select(F.col("likes.id").alias("inv_id"), F.col("id").alias("pay_id"))
-        found, found_at = _kept(mine.join(theirs, ["inv_id", "pay_id"]).select("inv_id", "pay_id", "amount", "days_apart"))
-        if found.isEmpty():
-            remove(left.sparkSession, likes_at)
-            break
-        done.append(found)
-        gone = found.select(F.lit(0).alias("kind"), F.col("inv_id").alias("id")).unionByName(found.select(F.lit(1).alias("kind"), F.col("pay_id").alias("id")))
-        rest, rest_at = _kept(likes.select("amount", "day", "kind", "id").join(gone, ["kind", "id"], "left_anti"))
-        remove(left.sparkSession, likes_at)
-        for old in tables:
-            remove(left.sparkSession, old)
-        tables, left = [rest_at], rest
-    alone = left.select("amount", "kind", "id").unionByName(loose.select("amount", "kind", "id"))
-    null = F.lit(None)
-    unmatched = alone.select(F.when(F.col("kind") == 0, F.col("id")).alias("inv_id"), F.when(F.col("kind") == 1, F.col("id")).alias("pay_id"), "amount", null.cast("int").alias("days_apart"))
-    for part in done:
-        unmatched = unmatched.unionByName(part)
-    return unmatched
+    skipped = starts.select(*keys, "_part", "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped"))
+    nth = placed.join(skipped, [*keys, "_part"]).select(*keys, "id", (F.col("_place") - F.col("at") + F.col("skipped")).alias("nth"))
+
+    shares = _shares(starts.groupBy(*keys).agg(F.sum("n").alias("n")), days)
+    # Each row falls into one share of its amount, day and kind, or into none; the two sides of a share go together in order.
+    dealt = nth.join(shares, keys, "left").withColumn("share", F.try_element_at(F.filter("shares", lambda x: (x["first"] <= F.col("nth")) & (F.col("nth") < x["first"] + x["n"])), F.lit(1)))
+    dealt = dealt.select("amount", "kind", "id", F.col("share.bill_day").alias("bill_day"), F.col("share.step").alias("step"), (F.col("nth") - F.col("share.first")).alias("place"))
+    loose = rows.where(~on_line).select("amount", "kind", "id", *[F.lit(None).cast(t).alias(c) for c, t in (("bill_day", "date"), ("step", "int"), ("place", "long"))])
+    whole, pair = dealt.unionByName(loose), ["amount", "bill_day", "step", "place"]
+    side = lambda kind, name: whole.where(F.col("kind") == kind).select(*pair, F.col("id").alias(name))
+    # Nulls of what has no share are equal to nothing, so such rows stay alone.
+    return side(0, "inv_id").join(side(1, "pay_id"), pair, "full").select("inv_id", "pay_id", "amount", F.when(F.col("inv_id").isNotNull() & F.col("pay_id").isNotNull(), F.abs("step")).alias("days_apart"))
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, keys: tuple[str, ...] = ()) -> DataFrame:

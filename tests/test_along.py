@@ -74,6 +74,18 @@ def test_payments_to_invoices(spark):
     assert {r["inv_id"] for r in matching.match_payments(owed, came.limit(0)).collect()} == {i for i, _, _ in bills}
 
 
+def test_payments_on_busy_days(spark):
+    """Many rows of two days next to each other: the number of jobs does not grow with them."""
+    day = DAY
+    owed = spark.range(300).select(F.col("id").alias("inv_id"), F.lit(5).alias("amount"), F.lit(day).alias("day"))
+    came = spark.range(280).select(F.col("id").alias("pay_id"), F.lit(5).alias("amount"), F.date_add(F.lit(day), F.when(F.col("id") < 200, 1).otherwise(-2)).alias("day"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    rows = matching.match_payments(owed, came).collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 40
+    assert Counter(r["days_apart"] for r in rows) == {1: 200, 2: 80, None: 20}
+    assert sorted(r["inv_id"] for r in rows) == list(range(300)) and sorted(r["pay_id"] for r in rows if r["pay_id"] is not None) == list(range(280))
+
+
 def test_intervals(spark):
     rng = random.Random(4)
     points = [(i, rng.choice([1, 2, None]), at(rng.randrange(2000)) if i % 10 else None) for i in range(200)]
