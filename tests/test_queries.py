@@ -40,6 +40,17 @@ def test_query(spark, duck, name):
     assert got
 
 
+def test_displayed_balances(spark, tmp_path):
+    """Balances that round to nothing keep their sign; what is no whole cent, and none."""
+    balances = (0.0, -0.0, -0.004, 0.004, 0.005, 1234.565, 1.005, 4.9951, 5.0, 15.0, 9999.99, 123456.5, -999.99, None)
+    rows = [(i, f"Customer#{i:09d}", b) for i, b in enumerate(balances)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT c_custkey, money, share, cell FROM ({ORACLE_SQL['display_cells']})").fetchall())
+    assert sorted(tuple(r) for r in QUERIES["display_cells"](spark, str(tmp_path)).collect()) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
