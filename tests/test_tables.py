@@ -134,6 +134,25 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert sorted(retrieve.top_k(asked, vectors).select("query_id", "rank", "vec_id", "score").collect()) == once
 
 
+def test_nearest_odd_vectors(spark):
+    """Copies go by id; pairs without a score come last; no join makes every pair a row."""
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [1.0, 2.0, 3.0]), (5, [-1.0, 0.5]), *[(i, [0.1, 0.2]) for i in range(6, 12)]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id in (1, 2, 4, 5, 6)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = retrieve.top_k(asked, vectors, 9)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], None if r["score"] is None else round(r["score"], 6)))
+    unscored = [(i, None) for i in range(9)]
+    assert got[1] == got[2] == unscored
+    assert got[4] == [(4, 1.0), *[(i, None) for i in (0, 1, 2, 3, 5, 6, 7, 8)]]
+    assert {s for _, s in got[6][:7]} == {1.0} and [i for i, _ in got[6][:7] if i] == list(range(6, 12))
+    assert got[6][7:] == [(5, 0.0), (1, None)]
+    assert got[5] == [(5, 1.0), *got[5][1:8], (1, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_answers(spark):
     q = spark.createDataFrame([("How much is it?",), ("what is the GST number",), ("hello",)], "q string")
     facts = {"total_amount": F.lit(12.5), "seller_gst": F.lit(None)}
