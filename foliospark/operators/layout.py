@@ -106,9 +106,9 @@ def columns_by_header(rows: DataFrame, width: Column | float, first_rows: int =
 
     A column reaches 12 % of the page's width to either side of its heading's middle, narration 20 %.
     """
-    spark = rows.sparkSession
-    kinds = F.broadcast(spark.createDataFrame(list(COLUMN_WORDS.items()), "column string, pattern string"))
-    named = rows.where(F.col("row_id") < first_rows).join(kinds, F.expr("lower(text) rlike pattern"))
+    lower = F.lower("text")
+    kinds = F.array_compact(F.array(*[F.when(lower.rlike(pattern), F.lit(column)) for column, pattern in COLUMN_WORDS.items()]))
+    named = rows.where(F.col("row_id") < first_rows).select("doc_id", "page", "row_id", "word_id", "cx", F.explode(kinds).alias("column"))
     per_row = named.groupBy("doc_id", "page", "row_id", "column").agg(F.min_by("cx", F.struct("cx", "word_id")).alias("cx"))
     enough = per_row.groupBy("doc_id", "page", "row_id").agg(F.collect_list(F.struct("column", "cx")).alias("found")).where(F.size("found") >= 3)
     first = enough.groupBy("doc_id", "page").agg(F.min_by("found", "row_id").alias("found"))
