@@ -13,6 +13,7 @@ pages without a statement, a number or a time are left out; a page with no text
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -38,31 +39,30 @@ class _Followed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pages = handle.getMapState("pages", "page int", "content string")
-        self.until = handle.getValueState("until", "at long")
+        # One value, as every call on state is a round trip to the JVM and every batch emits all pages anyway.
+        self.known = handle.getValueState("until", "at long, pages string")
 
-    def _so_far(self, key, closed: bool) -> Row:
-        pages = sorted((k[0], v[0]) for k, v in self.pages.iterator())
-        return Row(stmt_id=key[0], closed=closed, pages=[Row(page=p, content=c) for p, c in pages])
+    def _so_far(self, key, pages: dict[int, str], closed: bool) -> Row:
+        return Row(stmt_id=key[0], closed=closed, pages=[Row(page=p, content=c) for p, c in sorted(pages.items())])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        latest = 0
+        known = self.known.get()
+        until, pages = (known[0], dict(json.loads(known[1]))) if known else (0, {})
         for r in rows:
-            self.pages.updateValue((r["page"],), (r["content"],))
-            latest = max(latest, r["at_ms"])
-        before = self.until.get()[0] if self.until.exists() else None
-        after = max(before or 0, latest + self.quiet_ms)
-        if after != before:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(after)
-            self.until.update((after,))
-        yield self._so_far(key, False)
+            pages[r["page"]] = r["content"]
+            until = max(until, r["at_ms"] + self.quiet_ms)
+        if not known:
+            self.handle.registerTimer(until)
+        self.known.update((until, json.dumps(list(pages.items()))))
+        yield self._so_far(key, pages, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield self._so_far(key, True)
-        self.pages.clear()
-        self.until.clear()
+        until, pages = self.known.get()
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(until)  # pages came since it was set
+            return
+        yield self._so_far(key, dict(json.loads(pages)), True)
+        self.known.clear()
 
     def close(self) -> None:
         pass
@@ -75,18 +75,30 @@ def follow(pages: DataFrame, quiet_minutes: int = 30, late: str = "10 minutes")
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the only store that keeps timers
     known = pages.where(F.col("stmt_id").isNotNull() & F.col("page").isNotNull() & F.col("at").isNotNull()).withWatermark("at", late)
-    read = bank.header(known.select(F.col("stmt_id").cast("long").alias("stmt_id"), F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"), "at"))
+    texts = known.select(F.col("stmt_id").cast("long").alias("stmt_id"), F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"), "at")
+    # Texts are slow to read, so they are dealt out by statement first, as the state is, however few files they come in.
+    read = bank.header(texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stmt_id"))
     content = F.to_json(F.struct(*bank.HEADER, bank.transactions_in(F.col("text")).alias("transactions")))
     rows = read.select("stmt_id", "page", content.alias("content"), F.unix_millis("at").alias("at_ms"), "at")
     return rows.groupBy("stmt_id").transformWithState(statefulProcessor=_Followed(quiet_minutes * 60_000), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
 
 
+def _parsed(found: DataFrame) -> DataFrame:
+    """OUT with the contents of its pages as they were read, in order."""
+    read = F.transform(F.sort_array("pages"), lambda p: F.struct(p["page"].alias("page"), F.from_json(p["content"], _PAGE).alias("read")))
+    return found.select("stmt_id", "closed", read.alias("pages"))
+
+
+def _settled(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    first = lambda f: F.get(F.filter(F.transform("pages", lambda p: p["read"][f]), lambda x: x.isNotNull()), F.lit(0))
+    head = parsed.select("stmt_id", *[first(f).alias(f) for f in bank.HEADER], F.size("pages").cast("long").alias("pages_processed"))
+    pages = parsed.select("stmt_id", first("opening_balance").alias("opening"), F.inline("pages"))
+    return bank.whole_statements(head, pages.select("stmt_id", "opening", "page", F.inline("read.transactions")).select(*bank.TRANSACTION, "opening"))
+
+
 def settle(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(heads, transactions) as ``bank.statement_of_pages`` gives them, of OUT with a row for each statement at most."""
-    pages = found.select("stmt_id", F.inline("pages")).withColumn("read", F.from_json("content", _PAGE)).drop("content")
-    head = bank.header_of_pages(pages.select("stmt_id", "page", "read.*").drop("transactions"))
-    txns = pages.select("stmt_id", "page", F.inline("read.transactions")).select(*bank.TRANSACTION)
-    return bank.whole_statements(head, txns)
+    return _settled(_parsed(found))
 
 
 def write(found: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -95,11 +107,13 @@ def write(found: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     def once(batch: DataFrame, number: int) -> None:
         # A statement that ends in the batch in which its last page came is there twice.
         last = Window.partitionBy("stmt_id").orderBy(F.desc("closed"))
-        batch = batch.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth").persist()
-        heads, txns = settle(batch)
-        heads.join(batch.select("stmt_id", "closed"), "stmt_id").write.mode("overwrite").parquet(f"{path}/heads/batch={number}")
+        parsed = _parsed(batch.withColumn("nth", F.row_number().over(last)).where("nth = 1")).persist()
+        heads, txns = _settled(parsed)
+        txns.persist()  # heads are sums of them
         txns.write.mode("overwrite").parquet(f"{path}/transactions/batch={number}")
-        batch.unpersist()
+        heads.join(parsed.select("stmt_id", "closed"), "stmt_id").write.mode("overwrite").parquet(f"{path}/heads/batch={number}")
+        txns.unpersist()
+        parsed.unpersist()
 
     return found.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(once).start()
 

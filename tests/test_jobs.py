@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark import queries
 from foliospark.folders import folder
 from foliospark.operators import bank
 from foliospark.plans import batch, jobs
@@ -142,3 +143,12 @@ def test_archive_of_more_than_two_gigabytes(spark, tmp_path):
         path.unlink()
     assert got["first.pdf"] == (b"%PDF first", None) and got["last.png"] == (b"last", None)
     assert got.get("scan.tiff", (None, "more"))[0] is None
+
+
+def test_streamed_pages_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No third of all pages is one file, which one task would write and one task read."""
+    monkeypatch.setattr(queries, "folder", lambda spark, name: str(tmp_path / name))
+    got = queries.bank_statements_streamed(spark, DATA)
+    assert len(list((tmp_path / "stream" / "pages").glob("*.parquet"))) > 3
+    want = queries.bank_statement_of_pages(spark, DATA)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
