@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.dims import COLUMN_WORDS
-from foliospark.functions.patterns import first_contained, group
+from foliospark.functions.patterns import bound, first_contained, group
 from foliospark.functions.text import is_amount
 
 # --- regions --------------------------------------------------------------------------------------------
@@ -64,8 +64,8 @@ def words_of_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.select("*", F.array_min(axis(0)).alias("x1"), F.array_min(axis(1)).alias("y1"), F.array_max(axis(0)).alias("x2"), F.array_max(axis(1)).alias("y2")).drop("pts")
 
 
-def cluster_rows(words: DataFrame, share: float = 0.55) -> DataFrame:
-    """words (doc_id, page, word_id, text, x1, y1, x2, y2) with cx, cy and row_id.
+def clustered_pages(words: DataFrame, share: float = 0.55) -> DataFrame:
+    """(doc_id, page, words) of words (doc_id, page, word_id, text, x1, y1, x2, y2): an array from top to bottom, each with cx, cy and row_id.
 
     Words from top to bottom join the row while they are within a share of the median height of its running
     mean. The mean starts anew with each row, so this is a fold over the words of a page, which are few.
@@ -78,16 +78,22 @@ def cluster_rows(words: DataFrame, share: float = 0.55) -> DataFrame:
     gap = F.get(heights, F.floor(F.size("words") / 2).cast("int")) * share
     shape = "struct<mean:double,n:int,row:int,rows:array<int>>"
 
-    def step(done: Column, w: Column) -> Column:
-        new = done["mean"].isNull() | (F.abs(w["cy"] - done["mean"]) > F.col("gap"))
+    def step(done: Column, w: Column, gap: Column) -> Column:
+        new = done["mean"].isNull() | (F.abs(w["cy"] - done["mean"]) > gap)
         row = done["row"] + new.cast("int")
         mean = F.when(new, w["cy"]).otherwise((done["mean"] * done["n"] + w["cy"]) / (done["n"] + 1))
-        return F.struct(mean.alias("mean"), F.when(new, 1).otherwise(done["n"] + 1).alias("n"), row.alias("row"), F.concat(done["rows"], F.array(row)).alias("rows")).cast(shape)
+        return F.struct(mean.alias("mean"), F.when(new, 1).otherwise(done["n"] + 1).alias("n"), row.alias("row"), F.concat(done["rows"], F.array(row)).alias("rows"))
 
     start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0).alias("n"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows")).cast(shape)
-    rows = F.aggregate("words", start, step, lambda done: done["rows"])
-    placed = pages.withColumn("gap", gap).select("doc_id", "page", F.explode(F.arrays_zip("words", rows.alias("row_id"))).alias("w"))
-    return placed.select("doc_id", "page", *[F.col("w.words.of")[n].alias(n) for n in names], *[F.col("w.words")[n].alias(n) for n in middle], F.col("w.row_id").alias("row_id"))
+    # Bound, or the optimizer would put the median, a sort of the page, into every step.
+    rows = bound(gap, lambda g: F.aggregate("words", start, lambda done, w: step(done, w, g), lambda done: done["rows"]))
+    placed = lambda w: F.struct(*[w["words"]["of"][n].alias(n) for n in names], *[w["words"][n].alias(n) for n in middle], w["row_id"].alias("row_id"))
+    return pages.select("doc_id", "page", F.transform(F.arrays_zip("words", rows.alias("row_id")), placed).alias("words"))
+
+
+def cluster_rows(words: DataFrame, share: float = 0.55) -> DataFrame:
+    """words (doc_id, page, word_id, text, x1, y1, x2, y2) with cx, cy and row_id, as ``clustered_pages`` places them."""
+    return clustered_pages(words, share).select("doc_id", "page", F.inline("words"))
 
 
 def cluster_1d(values: DataFrame, keys: list[str], value: str, gap: Column) -> DataFrame:
@@ -101,51 +107,85 @@ def cluster_1d(values: DataFrame, keys: list[str], value: str, gap: Column) -> D
 # --- columns, cells -------------------------------------------------------------------------------------
 
 
+def _pages_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "page").agg(F.collect_list(F.struct("row_id", "word_id", "cx", "text")).alias("words"))
+
+
+def _by_header(words: Column, width: Column | float, first_rows: int) -> Column:
+    def kinds(w: Column) -> Column:
+        held = bound(F.lower(w["text"]), lambda lower: F.array_compact(F.array(*[F.when(lower.rlike(pattern), F.lit(column)) for column, pattern in COLUMN_WORDS.items()])))
+        return F.transform(held, lambda k: F.struct(k.alias("column"), w["row_id"].alias("row_id"), F.struct(w["cx"].alias("cx"), w["word_id"].alias("word_id")).alias("at")))
+
+    def of_row(named: Column, row: Column) -> Column:
+        found = F.filter(named, lambda n: n["row_id"] == row)
+        return bound(found, lambda f: F.transform(F.array_distinct(F.transform(f, lambda n: n["column"])), lambda c: reached(c, F.array_min(F.transform(F.filter(f, lambda n: n["column"] == c), lambda n: n["at"]))["cx"])))
+
+    def reached(column: Column, cx: Column) -> Column:
+        reach = F.when(column == "narration", 0.20).otherwise(0.12) * width
+        return F.struct(column.alias("column"), (cx - reach).alias("lo"), (cx + reach).alias("hi"))
+
+    def first(named: Column) -> Column:
+        rows = F.array_sort(F.array_distinct(F.transform(named, lambda n: n["row_id"])))
+        return F.get(F.filter(F.transform(rows, lambda r: of_row(named, r)), lambda f: F.size(f) >= 3), F.lit(0))
+
+    return bound(F.flatten(F.transform(F.filter(words, lambda w: w["row_id"] < first_rows), kinds)), first)
+
+
 def columns_by_header(rows: DataFrame, width: Column | float, first_rows: int = 20) -> DataFrame:
     """(doc_id, page, column, lo, hi): of the first rows, the first that names three columns or more.
 
     A column reaches 12 % of the page's width to either side of its heading's middle, narration 20 %.
     """
-    lower = F.lower("text")
-    kinds = F.array_compact(F.array(*[F.when(lower.rlike(pattern), F.lit(column)) for column, pattern in COLUMN_WORDS.items()]))
-    named = rows.where(F.col("row_id") < first_rows).select("doc_id", "page", "row_id", "word_id", "cx", F.explode(kinds).alias("column"))
-    per_row = named.groupBy("doc_id", "page", "row_id", "column").agg(F.min_by("cx", F.struct("cx", "word_id")).alias("cx"))
-    enough = per_row.groupBy("doc_id", "page", "row_id").agg(F.collect_list(F.struct("column", "cx")).alias("found")).where(F.size("found") >= 3)
-    first = enough.groupBy("doc_id", "page").agg(F.min_by("found", "row_id").alias("found"))
-    reach = F.when(F.col("column") == "narration", 0.20).otherwise(0.12) * width
-    return first.select("doc_id", "page", F.explode("found").alias("f")).select("doc_id", "page", "f.column", "f.cx").select("doc_id", "page", "column", (F.col("cx") - reach).alias("lo"), (F.col("cx") + reach).alias("hi"))
+    return _pages_of(rows).select("doc_id", "page", F.inline(_by_header(F.col("words"), width, first_rows)))
+
+
+def _by_amounts(words: Column, width: float) -> Column:
+    """Cut where the step to the next exceeds 7 % of the width, as cluster_1d does."""
+
+    def center(part: Column) -> Column:
+        known = F.filter(part, lambda x: x.isNotNull())
+        return bound(known, lambda k: F.when(F.size(k) > 0, F.aggregate(k, F.lit(0.0), lambda s, x: s + x) / F.size(k)))
+
+    def clusters(xs: Column) -> Column:
+        starts = F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (x - F.get(xs, i - 1) > 0.07 * width), i)), lambda i: i.isNotNull())
+        parts = lambda at: F.transform(at, lambda a, k: F.slice(xs, a + 1, F.coalesce(F.get(at, k + 1), F.size(xs)) - a))
+        return F.slice(F.reverse(bound(starts, parts)), 1, 3)
+
+    names = F.array(F.lit("balance"), F.lit("credit"), F.lit("debit"))
+    found = bound(F.sort_array(F.transform(F.filter(words, lambda w: is_amount(w["text"])), lambda w: w["cx"])), clusters)
+    return F.transform(found, lambda part, i: F.struct(F.get(names, i).alias("column"), center(part).alias("center"), F.size(part).cast("long").alias("n")))
 
 
 def columns_by_amounts(rows: DataFrame, width: float) -> DataFrame:
-    """(doc_id, page, column, center): clusters of amounts; from the right, balance, credit, debit."""
-    amounts = rows.where(is_amount(F.col("text")))
-    groups = cluster_1d(amounts, ["doc_id", "page"], "cx", F.lit(0.07 * width))
-    order = Window.partitionBy("doc_id", "page").orderBy(F.desc("center"))
-    ranked = groups.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 3)
-    return ranked.select("doc_id", "page", F.element_at(F.array(F.lit("balance"), F.lit("credit"), F.lit("debit")), F.col("nth").cast("int")).alias("column"), "center", "n")
+    """(doc_id, page, column, center, n): clusters of amounts; from the right, balance, credit, debit."""
+    return _pages_of(rows).select("doc_id", "page", F.inline(_by_amounts(F.col("words"), width)))
 
 
 #: Where columns are taken to be, as shares of the width, if nothing tells.
 FALLBACK_COLUMNS = {"date": (0.0, 0.14), "narration": (0.14, 0.5), "ref": (0.5, 0.58), "debit": (0.58, 0.72), "credit": (0.72, 0.86), "balance": (0.86, 1.0)}
 
 
-def columns_of_pages(rows: DataFrame, width: float) -> DataFrame:
-    """(doc_id, page, column, lo, hi) for every page: by its header row, else by its amounts, else FALLBACK_COLUMNS.
+def columns_in(words: Column, width: float) -> Column:
+    """(column, lo, hi) of a page's words (row_id, word_id, cx, text): by its header row, else by its amounts, else FALLBACK_COLUMNS.
 
     By amounts, a column reaches 11 % of the width to either side; the date lies left of 11 %, the narration between.
     """
-    page = ["doc_id", "page"]
-    by_header = columns_by_header(rows, width)
     range_ = lambda column, lo, hi: F.struct(F.lit(column).alias("column") if isinstance(column, str) else column.alias("column"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
     reach, start = 0.11 * width, F.lit(0.11 * width)
-    left = F.min("center") - reach
-    end = F.when((left - start > 0.30 * width) & (F.count("*") >= 3), F.lit(0.50 * width)).otherwise(left)
-    amounts = F.collect_list(range_(F.col("column"), F.col("center") - reach, F.col("center") + reach))
-    by_amounts = columns_by_amounts(rows, width).groupBy(*page).agg(F.concat(amounts, F.array(range_("date", F.lit(0.0), start), range_("narration", start, end))).alias("found"))
     fixed = F.array(*[range_(c, F.lit(lo * width), F.lit(hi * width)) for c, (lo, hi) in FALLBACK_COLUMNS.items()])
-    bare = rows.select(*page).distinct().join(by_header.select(*page).distinct(), page, "left_anti")
-    rest = bare.join(by_amounts, page, "left").select(*page, F.explode(F.coalesce("found", fixed)).alias("f")).select(*page, "f.column", "f.lo", "f.hi")
-    return by_header.unionByName(rest)
+
+    def around(found: Column) -> Column:
+        left = F.array_min(F.transform(found, lambda f: f["center"])) - reach
+        end = F.when((left - start > 0.30 * width) & (F.size(found) >= 3), F.lit(0.50 * width)).otherwise(left)
+        amounts = F.transform(found, lambda f: range_(f["column"], f["center"] - reach, f["center"] + reach))
+        return F.when(F.size(found) > 0, F.concat(amounts, F.array(range_("date", F.lit(0.0), start), range_("narration", start, end))))
+
+    return F.coalesce(_by_header(words, width, 20), bound(_by_amounts(words, width), around), fixed)
+
+
+def columns_of_pages(rows: DataFrame, width: float) -> DataFrame:
+    """(doc_id, page, column, lo, hi) for every page, as ``columns_in`` finds them."""
+    return _pages_of(rows).select("doc_id", "page", F.inline(columns_in(F.col("words"), width)))
 
 
 def cells(rows: DataFrame, columns: DataFrame) -> DataFrame:
@@ -165,6 +205,27 @@ def transactions_of_cells(found: DataFrame) -> DataFrame:
     return wide.where(F.col("date").rlike(r"\d"))
 
 
+def transactions_of_words(words: DataFrame, width: float) -> DataFrame:
+    """``transactions_of_cells`` of ``cells`` of clustered words and their pages' columns, all within a page's row: words are dealt out by page once and not joined."""
+    pages = clustered_pages(words.where(F.col("doc_id").isNotNull() & F.col("page").isNotNull()))
+    ranged = pages.select("*", columns_in(F.col("words"), width).alias("_in"))
+    range_of = lambda k: F.get(F.filter("_in", lambda c: c["column"] == k), F.lit(0))
+    held = F.struct(*[range_of(k).alias(k) for k in COLUMN_WORDS])
+
+    def row(part: Column) -> Column:
+        inside = lambda ws, k: F.filter(ws, lambda w: w["cx"].between(F.col("_at")[k]["lo"], F.col("_at")[k]["hi"]))
+        cell = lambda ws, k: bound(inside(ws, k), lambda found: F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda w: w["text"]), " ")))
+        ordered = F.sort_array(F.transform(part, lambda w: F.struct(w["cx"].alias("cx"), w["word_id"].alias("word_id"), w["text"].alias("text"))))
+        return bound(ordered, lambda ws: F.struct(F.get(part, F.lit(0))["row_id"].alias("row_id"), *[cell(ws, k).alias(k) for k in COLUMN_WORDS]))
+
+    def rows(ws: Column) -> Column:
+        starts = F.filter(F.transform(ws, lambda w, i: F.when((i == 0) | ~w["row_id"].eqNullSafe(F.get(ws, i - 1)["row_id"]), i)), lambda i: i.isNotNull())
+        return bound(starts, lambda at: F.transform(at, lambda a, k: row(F.slice(ws, a + 1, F.coalesce(F.get(at, k + 1), F.size(ws)) - a))))
+
+    found = ranged.select("doc_id", "page", "words", held.alias("_at")).select("doc_id", "page", F.inline(rows(F.col("words"))))
+    return found.where(F.col("date").rlike(r"\d"))
+
+
 # Words that tell a bank from a region's text, in order.
 REGION_BANKS = {
     "sbi": "State Bank of India", "state bank of india": "State Bank of India", "hdfc": "HDFC Bank", "icici": "ICICI Bank", "axis bank": "Axis Bank", "kotak": "Kotak", "yes bank": "Yes Bank", "bank of baroda": "Bank of Baroda",

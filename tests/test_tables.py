@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark import queries
 from foliospark.operators import keyvalue, layout, merge, ocr, retrieve
 from foliospark.plans import batch
 from foliospark.sources import files, render
@@ -301,3 +302,17 @@ def test_sentences_of_both_forms(spark):
     same = ["The invoice number is not found.", "The seller GSTIN is not found.", "Tax breakdown: CGST ₹1.00, SGST ₹N/A, IGST ₹N/A, Total Tax ₹N/A.", "The invoice date is not found.", "Payment method: not found."]
     assert [got[k] for k in (3, 4, 7, 8, 9)] == [(s, s) for s in same]
     assert told(10) == told(11) == (True, True)
+
+
+def test_words_are_dealt_out_once(spark):
+    """Rows, columns and cells of a page come of one reading of its words, and are those of the steps one by one."""
+    words = [(1, p, 10 * r + i, t, x, 50.0 * r, x + 40.0, 50.0 * r + 16) for p, top in ((0, "Date Narration Debit Credit Balance"), (1, ""), (2, "")) for r, line in enumerate([top, "01/01/2024 UPI 5.00 x 95.00", "02/01/2024 UPI x 7.00 102.00"])
+             for i, (t, x) in enumerate(zip(line.split() if p < 2 else line.replace(".", "").split(), (20.0, 140.0, 430.0, 550.0, 690.0)))]
+    words += [(None, 0, 1, "01/01/2024", 20.0, 0.0, 60.0, 16.0), (1, None, 1, "01/01/2024", 20.0, 0.0, 60.0, 16.0), (2, 0, 1, None, 20.0, 0.0, 60.0, 16.0), (2, 0, 2, "3/4", 20.0, 0.0, 60.0, 16.0)]
+    frame = spark.createDataFrame(words, "doc_id long, page int, word_id int, text string, x1 double, y1 double, x2 double, y2 double")
+    rows = layout.cluster_rows(frame)
+    want = layout.transactions_of_cells(layout.cells(rows, layout.columns_of_pages(rows, 800.0)))
+    got = layout.transactions_of_words(frame, 800.0)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 7
+    plan = queries.words_to_cells_range_join(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan
