@@ -1,10 +1,12 @@
 """Invoices, statements and checks on texts written by hand."""
 
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark import queries
 from foliospark.operators import bank, classify, invoice, validate
 
 SHOP = """Tax Invoice/Bill of Supply/Cash Memo
@@ -224,3 +226,14 @@ def test_holder_names_no_bank(spark):
     pages = [(1, 1, "Account Holder: CUSTOMER IDFCX"), (1, 2, "IFSC Code: HDFC0008352"), (2, 1, "IDFC First\nAccount Holder: CUSTOMER BX")]
     found = bank.header_over_pages(spark.createDataFrame(pages, "stmt_id int, page int, text string")).collect()
     assert {r["stmt_id"]: (r["bank_name"], r["account_holder"]) for r in found} == {1: ("HDFC Bank", "CUSTOMER IDFCX"), 2: ("IDFC First Bank", "CUSTOMER BX")}
+
+
+def test_items_are_read_in_one_pass(spark):
+    """Codes and prices are those of the two groups of each line found, over line ends too; a text is matched once."""
+    texts = ["HSN: 123456 goods ₹1,234.50\nhsn/12345678901 Rs.5.00 rs 7\nHSN 1234 x", "HSN\n 4321 a ₹ 12\n\nHSN:0000 ₹5 ₹\n6.25 \n", "HSN:12345 Rs.Rs. 1,2 x\nHSN1234₹,9.0", "none", "", None]
+    line = re.compile(r"HSN[:/]?\s*(\d{4,8})[^\n]*?(?:₹|Rs\.?)\s*([\d,]+\.?\d+)\s*$", re.I | re.M)
+    frame = spark.createDataFrame(list(enumerate(texts)), "inv_id long, text string")
+    got = {r["inv_id"]: r["i"] and [(x["hsn_code"], x["total_price"]) for x in r["i"]] for r in frame.select("inv_id", invoice.items(F.col("text")).alias("i")).collect()}
+    assert got == {i: [(a, Decimal(b.replace(",", "")).quantize(Decimal("0.01"))) for a, b in line.findall(t or "")] or None for i, t in enumerate(texts)} and got[1]
+    plan = queries.invoice_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("HSN[:/]") == 1
